@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, packing, simhash, substring_dedup
 from .common import read_table
 
 
@@ -18,13 +18,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_substring": op5_substring,
     "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL over whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        s AS (SELECT doc_id, unnest(generate_series(1, len(words) - 34)) AS i FROM d WHERE len(words) >= 35),
+        w AS (SELECT s.doc_id, s.i, md5(array_to_string(d.words[s.i : s.i + 34], ' ')) AS h FROM s JOIN d USING (doc_id)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+        c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM r) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)
+    """,
+}
