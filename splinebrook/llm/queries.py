@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, packing, simhash, substring_dedup
+from . import ann, bpe, embed_dedup, lang_id, packing, simhash, substring_dedup, toxicity
 from .common import read_table
 
 
@@ -31,6 +31,16 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def remainder(id_col: F.Column, by: int) -> F.Column:
+    return F.crc32(id_col.cast("string").cast("binary")) % by
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), lambda i: remainder(i, 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -40,13 +50,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    found = lang_id.identify(docs, lang_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ann": op2_ann,
     "op3_embedding": op3_embedding,
     "op5_substring": op5_substring,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_language": op10_language,
 }
 
 #: DuckDB SQL over whole tables.

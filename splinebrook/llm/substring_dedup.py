@@ -26,13 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, map_arrow, scratch_path
+from .common import delete, map_arrow, maybe_in, scratch_path
 
 WINDOW = 35
 GRAM = 8
 BATCHES = 2
-#: Bits of the filter that keeps untouched rows out of a shuffle: a broadcast of 8 MB at any input size.
-FILTER_BITS = 1 << 26
 
 digest = xxhash.xxh64_intdigest
 
@@ -144,20 +142,6 @@ class FingerprintIndex:
         return self.spark.table(self.history).filter("n_blocks > 1 OR inside > 0").select("fp", mixed.alias("mixed"))
 
 
-def slot(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
-
-def maybe_in(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """df with a boolean column `hit`: true for each row whose key is among members (one column), and for few others."""
-    at = members.select(slot(members.columns[0]).alias("s"))
-    bitmaps = at.groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    placed = df.withColumn("slot", slot(key)).withColumn("part", F.bitmap_bucket_number("slot")).withColumn("at", F.bitmap_bit_position("slot"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.floor(byte / F.pow(F.lit(2), F.col("at") % 8)) % 2 == 1
-    return placed.join(F.broadcast(bitmaps), "part", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("part", "at", "slot", "bits")
-
-
 def window_hashes(picked: DataFrame, window: int, kind: str) -> DataFrame:
     """picked: (text, parts array<struct<fp, block, start, n>>) -> rows (fp, block, offset, word_hash)."""
 
