@@ -280,9 +280,65 @@ class TrieEncoder:
         return " ".join(self.tokens[ids].tolist())
 
 
+#: Chunks that a RankEncoder remembers: the first ones it meets, so the frequent ones.
+KNOWN_CHUNKS = 100_000
+
+
+class RankEncoder(TrieEncoder):
+    """The same ids with new words merged by tiktoken, for callers that need no trie.
+
+    A word end is a zero byte that merges with the byte before it ahead of all other merges, as the vocabulary's end mark
+    belongs to the last character from the start. Words that hold a zero byte go through the trie.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        super().__init__(path)
+        value = {c: b for b, c in enumerate(self.bytes)}
+        ranks = {}
+        for token, i in self.vocab.items():
+            marked = token.endswith(END) and len(token) > len(END)
+            ranks[bytes(value[c] for c in (token[: -len(END)] if marked else token)) + b"\0" * marked] = i
+        self.merger = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.array([t.endswith(END) for t in self.tokens])
+        self.known = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        get = self.known.get
+        for text in texts:
+            chunks = self.chunked(text)
+            found = list(map(get, chunks))
+            new = [c for c, f in zip(chunks, found, strict=True) if f is None]
+            if new:
+                ids = self.encode_chunks(new)
+                if len(self.known) < KNOWN_CHUNKS:
+                    self.known.update(zip(new, ids, strict=True))
+                rest = iter(ids)
+                found = [next(rest) if f is None else f for f in found]
+            out.append(b"".join(found))
+        return out
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = self.split
+        words, ends = [], []
+        for c in chunks:
+            words += split(c)
+            ends.append(len(words))
+        joined = "\0".join(words) + "\0"
+        if joined.count("\0") != len(words):
+            self.prepare(set(chunks))
+            return [self.chunks[c] for c in chunks]
+        ids = self.merger.encode_to_numpy(joined)
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1))[np.array(ends) - 1].tolist()
+        flat = ids.astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
+
+
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> TrieEncoder:
-    return TrieEncoder(path)
+def encoder(path: str, trie: bool = True) -> TrieEncoder:
+    return (TrieEncoder if trie else RankEncoder)(path)
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

@@ -36,7 +36,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
     closing = np.array([closing_id], dtype="<u4").tobytes()
 
     def make():
-        enc = encoder(path)
+        enc = encoder(path, trie=False)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, starts, lengths, sums, totals = [], [], [], [], []
