@@ -129,6 +129,10 @@ class FpcaModel:
         n, total, outer = moments(coeffs, column)
         if not n:
             raise ValueError("no series to learn from")
+        return FpcaModel.of_moments(n, total, outer, q, u, f, fix_sign)
+
+    @staticmethod
+    def of_moments(n: int, total: np.ndarray, outer: np.ndarray, q: int, u: np.ndarray | None = None, f: np.ndarray | None = None, fix_sign: bool = True) -> FpcaModel:
         u = np.eye(len(total)) if u is None else u
         mean = total / n
         sigma = (outer - n * np.outer(mean, mean)) @ u / n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.basis import basis, lambdas, penalty, times
-from ..operators import fpca, relational as R, rsa, similarity as S, timeseries as T
+from ..operators import fpca, learning, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,6 +669,29 @@ def a27_metrics(spark, d):
     return R.classification_metrics(p, "y", "h", "score").select("tn", "fp", "fn", "tp", r6("accuracy", "accuracy"), r6("balanced_accuracy", "balanced_accuracy"), r6("auc", "auc"))
 
 
+def _pair_study(spark, d):
+    """Features of subjects (days), and labels of two pairs of parities."""
+    ids, x = learning.study(tab.subject_days(spark, d), "user_id", "y")
+    label = ids.astype(int) % 4
+    pairs = {"0 vs 1": np.where(label < 2, label, -1), "2 vs 3": np.where(label >= 2, label - 2, -1)}
+    return ids, x, {p: y for p, y in pairs.items() if np.bincount(y[y >= 0], minlength=2).min() > 1}
+
+
+@query()
+def m9_nested_cv(spark, d):
+    """Out-of-fold scores of logistic regression and a tree for each pair of groups."""
+    ids, x, pairs = _pair_study(spark, d)
+    return learning.nested_cv(spark, x, ids, pairs, ["LR", "DTree"], {"LR": [{"k": 10}, {"k": 20}]}, k=3).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
+
+
+@query()
+def m14_importances(spark, d):
+    """Importance of each feature (a day) for each pair and model, ranked."""
+    _, x, pairs = _pair_study(spark, d)
+    found = learning.importances(spark, x, pairs, ["LR", "SVM"])
+    return R.ranked(found, ["pair", "ml_model"], "weight", "feature_idx").select("pair", "ml_model", "feature_idx", r6("weight", "weight"), "selected", "rank")
+
+
 _PAIRDIST = f"SELECT split_part(pair, ' vs ', 1) AS group_a, split_part(pair, ' vs ', 2) AS group_b, avg(importance) AS distance, min(importance) AS intra_a, max(importance) AS intra_b FROM ({IMP}) GROUP BY pair"
 
 
