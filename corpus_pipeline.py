@@ -43,9 +43,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs)
     # the few that may have to go meet their verdicts in a join; the others stay where they are
     verdicts = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT (doc_id <=> component_id)")
-    flagged = maybe_in(docs, "doc_id", verdicts.select("doc_id"))
-    sure = flagged.filter("NOT hit").drop("hit")
-    asked = flagged.filter("hit").drop("hit").alias("d").join(verdicts.alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left")
+    flagged = maybe_in(docs, "doc_id", verdicts.select("doc_id"), hit="__hit")
+    sure = flagged.filter("NOT __hit").drop("__hit")
+    asked = flagged.filter("__hit").drop("__hit").alias("d").join(verdicts.alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left")
     kept = asked.filter("v.n IS NULL OR d.doc_id <=> v.component_id").select("d.*").dropDuplicates(["doc_id"])
     return sure.unionByName(kept)
 

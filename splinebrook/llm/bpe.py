@@ -18,10 +18,10 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,6 @@ from .common import map_arrow
 
 #: Fixed values of the vocabulary file's own rules.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 END = "</w>"
 
 #: Separators that str.split() knows and the vocabulary's white space does not.
@@ -54,6 +53,22 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def ranges(among: Callable[[str], bool]) -> str:
+    """The inside of a character class of all code points that are among."""
+    at = [c for c in range(0x110000) if among(chr(c))]
+    starts = [c for k, c in enumerate(at) if not k or at[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(at) if k == len(at) - 1 or at[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+@functools.lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """Contractions, runs of letters, single numerals, runs of the rest but white space."""
+    letters = ranges(str.isalpha)
+    numerals = ranges(lambda c: c.isnumeric() and not c.isalpha())
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numerals}]|[^{SPACE}{letters}{numerals}]+")
+
+
 class Recent(dict):
     """A cache of two generations: when the young one is full it becomes the old one; what is used again moves up."""
 
@@ -92,6 +107,7 @@ class TrieEncoder:
             letters = token[: len(token) - len(mark)]
             self.reach[letters[-3:] + mark] = max(self.reach.get(letters[-3:] + mark, 2), len(letters))
         self.bytes = byte_chars()
+        self.pattern = word_pattern()
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.made = {x + y: (x, y, r) for (x, y), r in self.rank.items()}
         self.proper: dict[str, bool] = {}
@@ -234,7 +250,7 @@ class TrieEncoder:
             return [chunk]
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
-        return WORD.findall(chunk)
+        return self.pattern.findall(chunk)
 
     def prepare(self, chunks: set[str]) -> None:
         """Make the encodings of all these chunks (runs without white space) known."""

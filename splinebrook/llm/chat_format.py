@@ -37,6 +37,8 @@ STATES = 2 * N
 SEGMENT = 256
 MOST = 4096
 SMOOTH = 0.5
+#: Counts that stand for a marker's meaning beforehand.
+MARKER_WEIGHT = 50
 
 #: Fixed speaker markers.
 SPEAKERS = {
@@ -175,8 +177,8 @@ def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role
         follow[r["r"], r["next"]] = r["count"]
     for r in known.filter("turn = 0").groupBy("r").count().collect():
         start[r["r"]] = r["count"]
-    # an unmarked line may come from anyone: markers are only missing, never against their role
-    marker = logs(tables["marker"])
+    # a marker speaks for its role before any is counted; an unmarked line may come from anyone
+    marker = logs(tables["marker"] + MARKER_WEIGHT * np.eye(N, N + 1))
     marker[:, N] = np.log(0.2)
     return Hmm(logs(start), logs(follow), marker, logs(tables["length"]), logs(tables["asks"]), 0.05)
 

@@ -75,11 +75,11 @@ def slot(key) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def maybe_in(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, key: str, members: DataFrame, hit: str = "hit") -> DataFrame:
     """df with a boolean column `hit`: true for each row whose key is among members (one column), and for few others."""
     at = members.select(slot(members.columns[0]).alias("s"))
-    bitmaps = at.groupBy(F.bitmap_bucket_number("s").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    placed = df.withColumn("slot", slot(key)).withColumn("part", F.bitmap_bucket_number("slot")).withColumn("at", F.bitmap_bit_position("slot"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.floor(byte / F.pow(F.lit(2), F.col("at") % 8)) % 2 == 1
-    return placed.join(F.broadcast(bitmaps), "part", "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("part", "at", "slot", "bits")
+    bitmaps = at.groupBy(F.bitmap_bucket_number("s").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    placed = df.withColumn("__slot", slot(key)).withColumn("__part", F.bitmap_bucket_number("__slot")).withColumn("__at", F.bitmap_bit_position("__slot"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1
+    return placed.join(F.broadcast(bitmaps), "__part", "left").withColumn(hit, F.coalesce(found, F.lit(False))).select(*df.columns, hit)
