@@ -176,6 +176,29 @@ def a8_mean_abs_error(spark, d):
     return spark.createDataFrame([(e,)], "v double").select(r6("v", "mean_error"))
 
 
+def _reconstruct_sql() -> str:
+    t = times(VOLUMES, 0, TR)
+    f, p = basis(t, K, DEGREE), penalty(t[0], t[-1], K, DEGREE, 2)
+    hat = f @ np.linalg.solve(f.T @ f + FIXED_LAMBDA * (p + 1e-12 * np.eye(K)), f.T)
+    return f"SELECT l.voxel_id, CAST(m.i AS BIGINT) AS t, round(sum(m.v * l.y), 6) + 0.0 AS fit FROM ({LONG}) l JOIN ({values_sql(hat)}) m ON m.j = l.t GROUP BY ALL"
+
+
+@query(_reconstruct_sql())
+def t10_reconstruct(spark, d):
+    """The fitted curves at the times of the volumes."""
+    s = base_smoother()
+    fitted = fpca.fit_series(tab.signals(spark, d), s, np.array([FIXED_LAMBDA])).select("voxel_id", "c")
+    curves = fpca.map_series(fitted, "c", "y array<double>", lambda c: (fpca.as_lists(c @ s.f.T),))
+    return curves.select("voxel_id", F.posexplode("y").alias("t", "v")).select("voxel_id", F.col("t").cast("long").alias("t"), r6("v", "fit"))
+
+
+@query()
+def t2_band_pass(spark, d):
+    """Forward and backward band-pass of every signal."""
+    out = T.preprocess(tab.signals(spark, d).select("voxel_id", "y"), TR, (0.05, 0.3))
+    return out.select("voxel_id", F.posexplode("y").alias("t", "v")).select("voxel_id", "t", r6("v", "y"))
+
+
 @query()
 def fpca_explained(spark, d):
     """The flagship: GCV fits of all signals, then their functional principal components."""
@@ -371,6 +394,13 @@ def _roi_arrays(spark, d):
     return s.select("roi", F.col("m.y").alias("y"))
 
 
+@query(f"SELECT i, j, round(abs(r), 6) + 0.0 AS score FROM (SELECT a.roi AS i, b.roi AS j, corr(a.y, b.y) AS r FROM ({_ROI_SERIES}) a JOIN ({_ROI_SERIES}) b ON a.t = b.t AND a.roi < b.roi GROUP BY ALL) ORDER BY round(abs(r), 6) DESC, i, j LIMIT 10")
+def o4_best_scores(spark, d):
+    """The ten pairs of region series with the largest absolute correlation."""
+    pairs = S.all_pairs(_roi_arrays(spark, d), "roi", "y").select("i", "j", r6(F.abs(C.pearson(F.col("a"), F.col("b"))), "score"))
+    return R.top_k(pairs, 10, F.desc("score"), F.col("i"), F.col("j"))
+
+
 @query()
 def r3_dtw_similarity(spark, d):
     return S.dtw_pairs(S.all_pairs(_roi_arrays(spark, d), "roi", "y")).select("i", "j", r6("sim", "sim"))
@@ -684,6 +714,22 @@ def m9_nested_cv(spark, d):
     return learning.nested_cv(spark, x, ids, pairs, ["LR", "DTree"], {"LR": [{"k": 10}, {"k": 20}]}, k=3).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
 
 
+@query()
+def m10_permutation_p(spark, d):
+    """p of the cross-validated accuracy of logistic regression under shuffled labels, for each pair."""
+    _, x, pairs = _pair_study(spark, d)
+    rows = [(p, learning.permutation_test(spark, x[y >= 0], y[y >= 0], "LR", 0.6, n=20, k=3)) for p, y in pairs.items()]
+    return spark.createDataFrame(rows, "pair string, p double")
+
+
+@query()
+def m12_principal_plane(spark, d):
+    """Subjects on the two leading principal axes of their features."""
+    model = fpca.FpcaModel.fit(tab.subject_days(spark, d), 2, column="y")
+    scores = model.transform(tab.subject_days(spark, d), "y")
+    return scores.select("user_id", r6(F.element_at("s", 1), "pc1", 4), r6(F.element_at("s", 2), "pc2", 4))
+
+
 @query()
 def m14_importances(spark, d):
     """Importance of each feature (a day) for each pair and model, ranked."""
