@@ -101,10 +101,13 @@ class TrieEncoder:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
+        self.inner: set[str] = set()  # tokens within a word
+        self.final: set[str] = set()  # tokens at its end, without the mark
         self.reach: dict[str, int] = {}  # from a token's last three characters: the most characters such a token has
         for token in self.vocab:
             mark = END if token.endswith(END) and len(token) > len(END) else ""
             letters = token[: len(token) - len(mark)]
+            (self.final if mark else self.inner).add(letters)
             self.reach[letters[-3:] + mark] = max(self.reach.get(letters[-3:] + mark, 2), len(letters))
         self.bytes = byte_chars()
         self.pattern = word_pattern()
@@ -183,13 +186,16 @@ class TrieEncoder:
     def last_token(self, path: str, lasts: list[str | None], mark: str) -> str:
         """The last token of the encoding of path; lasts[i] is that of its first i characters, "" until it is asked for."""
         n = len(path)
-        for size in range(min(n, self.reach.get(path[-3:] + mark, 2)), 0, -1):
-            token = path[n - size :] + mark
-            if token in self.vocab:
-                before = lasts[n - size]
+        letters = self.final if mark else self.inner
+        for at in range(n - min(n, self.reach.get(path[-3:] + mark, 2)), n):
+            token = path[at:]
+            if token in letters:
+                token += mark
+                before = lasts[at]
                 if before == "":
-                    before = lasts[n - size] = self.last_token(path[: n - size], lasts, "")
-                if self.follows(before, token):
+                    before = lasts[at] = self.last_token(path[:at], lasts, "")
+                known = self.pairs.get((before, token))
+                if known or (known is None and self.follows(before, token)):
                     return token
         raise ValueError(f"no token ends {path!r}")
 
