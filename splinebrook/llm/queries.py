@@ -81,6 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op3_embedding": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS r FROM v WHERE list_dot_product(e, e) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.9),
+        reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+        c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, least(e.vec_id, coalesce(m.least, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.least, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+    """,
     "op5_substring": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
         s AS (SELECT doc_id, unnest(generate_series(1, len(words) - 34)) AS i FROM d WHERE len(words) >= 35),
