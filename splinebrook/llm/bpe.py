@@ -94,6 +94,7 @@ class TrieEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        self.path, self.library = path, None
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = np.empty(max([*self.vocab.values(), *self.special.values()]) + 1, dtype=object)
@@ -250,6 +251,8 @@ class TrieEncoder:
     def split(self, chunk: str) -> list[str]:
         """The words of a run without white space, after the vocabulary's normalisation."""
         if not chunk.isascii():
+            if not chunk.isprintable() and any(unicodedata.category(c) == "Cn" for c in chunk):
+                return self.library_words(chunk)
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         chunk = chunk.lower()
         if chunk.isalpha():
@@ -258,6 +261,15 @@ class TrieEncoder:
             return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
+    def library_words(self, chunk: str) -> list[str]:
+        """The same by the library's own rules, for characters that are newer than Python's tables."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        chunk = self.library.normalizer.normalize_str(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def prepare(self, chunks: set[str]) -> None:
         """Make the encodings of all these chunks (runs without white space) known."""
         missing = self.chunks.missing(chunks)
