@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow
+from .common import checkpoint, draw, map_arrow
 from .embed_dedup import matrix, usable
 
 #: Rows of the sample the index is fitted on, at most.
@@ -200,7 +200,7 @@ def search(df: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector_col
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     dims = int(sizes["d"]) if sizes else 1
     rows = rows.filter(F.size("vector") == dims)
-    drawn = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").toArrow().column(0).combine_chunks()
+    drawn = draw(rows, sample, F.col("id"), seed).select("vector").toArrow().column(0).combine_chunks()
     router = fit(matrix(drawn, dims), parts, k, recall, seed)
     parts = len(router.b2)
     placed = checkpoint(routed(rows, router, dims, None, k))

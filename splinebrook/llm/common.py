@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows whose texts a Python worker holds as Python strings at once.
@@ -41,6 +41,20 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def draw(df: DataFrame, rows: int, key: Column, seed: int, spare: int = 4) -> DataFrame:
+    """At most `rows` rows of df, those with the least hashes of the key.
+
+    Sorting for the least ones would gather that many from each task, so only about `spare` times as many rows as are
+    wanted are let through to the sort, by a bound on the hash that follows from the number of rows.
+    """
+    total = total_rows(df)
+    hashed = df.withColumn("__draw", F.xxhash64(key, F.lit(seed)))
+    if total > spare * rows:
+        bound = int(-(1 << 63) + (1 << 64) * (spare * rows / total))
+        hashed = hashed.filter(F.col("__draw") < F.lit(bound))
+    return hashed.orderBy("__draw", *[c for c in df.columns if c != "text"][:1]).limit(rows).drop("__draw")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a table that an operator wrote under scratch_path, through Hadoop's file systems."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import draw, map_arrow
 
 UNKNOWN = "und"
 #: Labelled documents that the model is fitted on, at most, and the longest text taken among them.
@@ -212,10 +212,10 @@ def label(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[f
 
 def train(df: DataFrame, is_training: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Crf | None:
     """Fit on at most `rows` of the labelled rows with is_training, drawn by a hash of the id."""
-    text = F.col(text_col).cast("string")
-    usable = df.filter(is_training & F.col(lang_col).isNotNull() & text.isNotNull() & (F.length(text) <= TRAIN_CHARS))
-    drawn = usable.select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), text.alias("t"), F.col(lang_col).cast("string").alias("l"))
-    found = drawn.orderBy("h", "t", "l").limit(rows).collect()
+    known = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), is_training.alias("training"))
+    known = known.filter(F.col("training") & F.col("lang").isNotNull()).drop("training")
+    some = draw(known, 2 * rows, F.col("id"), seed).filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    found = some.orderBy(F.xxhash64("id", F.lit(seed)), "text", "lang").limit(rows).select(F.col("text").alias("t"), F.col("lang").alias("l")).collect()
     return fit([r["t"] for r in found], [r["l"] for r in found], seed)
 
 

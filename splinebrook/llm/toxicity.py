@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import draw, map_arrow
 
 #: Labelled rows that are learned from, at most, of each label.
 TRAIN_TOXIC = 8_000
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training: F.Column, id_col: str
     """Learn from at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows with is_training (over the id), drawn by a hash of it."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
     known = known.join(docs.select(F.col(id_col).alias("id")).filter(is_training(F.col("id"))).distinct(), "id", "left_semi").distinct()
-    drawn = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most) for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    drawn = [draw(known.filter(F.col("toxic") == value), most, F.col("id"), seed) for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     # at most 20 000 rows of two numbers
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", "toxic").persist()
     try:
