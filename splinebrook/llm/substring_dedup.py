@@ -139,7 +139,8 @@ class FingerprintIndex:
     def repeated(self) -> DataFrame:
         """Rows (fp, mixed) of fingerprints that can stand for a repeated window; mixed: their blocks differ."""
         mixed = (F.col("least_block") != F.col("greatest_block")) | (F.col("inside") > 0)
-        return self.spark.table(self.history).filter("n_blocks > 1 OR inside > 0").select("fp", mixed.alias("mixed"))
+        # read as plain files: both sides of a join are then shuffled, and Spark can split a very common fingerprint
+        return self.spark.read.schema("fp long, n_blocks long, least_block long, greatest_block long, inside long").parquet(f"{self.root}/{self.history}").filter("n_blocks > 1 OR inside > 0").select("fp", mixed.alias("mixed"))
 
 
 def window_hashes(picked: DataFrame, window: int, kind: str) -> DataFrame:
@@ -229,12 +230,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = window_hashes(picked, window, kind)
     windows.write.parquet(f"{root}/windows")
     windows = spark.read.schema("fp long, block long, offset long, word_hash long").parquet(f"{root}/windows")
-    twice = windows.groupBy("fp", "word_hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("fp", "word_hash")
-    single = windows.join(twice, ["fp", "word_hash"]).groupBy("fp", "block").agg(F.collect_list("offset").alias("offsets"))
+    # windows that occur once; counting brings no common window's rows together in one place
+    counted = windows.groupBy("fp", "word_hash").agg(F.count(F.lit(1)).alias("k"), F.min("block").alias("block"), F.min("offset").alias("offset"))
+    once = counted.filter("k = 1").groupBy("fp", "block").agg(F.collect_list("offset").alias("once"))
 
     whole = hits.filter("NOT mixed").select("id", "mark", "start", "n", F.lit(None).cast("array<bigint>").alias("offsets"))
-    verdicts = different.select("fp", "block", "copies").join(single, ["fp", "block"], "left").filter("copies > 1 OR offsets IS NOT NULL")
-    partly = hits.filter("mixed").join(verdicts, ["fp", "block"]).select("id", "mark", "start", "n", F.when(F.col("copies") == 1, F.col("offsets")).alias("offsets"))
+    none = F.array().cast("array<bigint>")
+    repeats = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.coalesce("once", none))
+    verdicts = different.select("fp", "block", "copies", "r.n").join(once, ["fp", "block"], "left").select("fp", "block", F.when(F.col("copies") == 1, repeats).alias("offsets"))
+    verdicts = verdicts.filter("offsets IS NULL OR size(offsets) > 0")
+    partly = hits.filter("mixed").join(verdicts, ["fp", "block"]).select("id", "mark", "start", "n", "offsets")
     spans = whole.unionByName(partly).groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "offsets")).alias("spans"))
     spans.write.parquet(f"{root}/spans")
     spans = spark.read.schema(f"id {kind}, mark long, spans array<struct<start:bigint,n:bigint,offsets:array<bigint>>>").parquet(f"{root}/spans")
