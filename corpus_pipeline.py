@@ -39,15 +39,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that with the smallest id. Repeated rows count as copies."""
-    found = simhash.near_duplicates(docs)
+    """Keeps one document of each group of near duplicates: that with the smallest id. Repeated rows count as copies.
+
+    A row is judged by its own text: others that share its id, or have none either, are copies only if their texts are.
+    """
+    verdicts = simhash.copies(docs).withColumn("__both", F.xxhash64("doc_id", "key"))
     # the few that may have to go meet their verdicts in a join; the others stay where they are
-    verdicts = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT (doc_id <=> component_id)")
-    flagged = maybe_in(docs, "doc_id", verdicts.select("doc_id"), hit="__hit")
-    sure = flagged.filter("NOT __hit").drop("__hit")
-    asked = flagged.filter("__hit").drop("__hit").alias("d").join(verdicts.alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left")
-    kept = asked.filter("v.n IS NULL OR d.doc_id <=> v.component_id").select("d.*").dropDuplicates(["doc_id"])
-    return sure.unionByName(kept)
+    keyed = docs.withColumn("__key", simhash.text_key()).withColumn("__both", F.xxhash64("doc_id", "__key"))
+    flagged = maybe_in(keyed, "__both", verdicts.select("__both"), hit="__hit")
+    sure = flagged.filter("NOT __hit").select(*docs.columns)
+    asked = flagged.filter("__hit").alias("d").join(verdicts.alias("v"), F.expr("d.doc_id <=> v.doc_id AND d.__key = v.key"), "left")
+    kept = asked.filter("v.n IS NULL OR v.stays").select("d.doc_id", "d.__key", F.struct(*[F.col(f"d.{c}") for c in docs.columns]).alias("row"))
+    return sure.unionByName(kept.groupBy("doc_id", "__key").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

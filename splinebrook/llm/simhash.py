@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow
@@ -63,19 +63,24 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<u8")[0])
 
 
+def text_key(text_col: str = "text") -> Column:
+    """A hash that tells the texts of rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Rows (id, fp long), one per row of df; fp holds the 64 bits as a signed number."""
+    """Rows (id, key long, fp long), one per row of df; fp holds the 64 bits as a signed number, key is a hash of the text."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "key", "fp"])
 
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, make, f"id {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, make, f"id {kind}, key long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -238,15 +243,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def rooted(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows (fp, least), one for each fingerprint: the first row of its component as (without, id, key), null ids last."""
+    row = F.struct(F.col("id").isNull().alias("without"), "id", "key")
+    of_fp = prints.groupBy("fp").agg(F.min(row).alias("own"))
+    roots = connected(links(of_fp.select("fp"), radius, tile))
+    grouped = of_fp.join(roots, of_fp.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("own").alias("least"))
+    return grouped.select("fp", "root").join(least, "root").select("fp", "least")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """Rows (id, fp, component_id), one per row of df; component_id is the smallest id reachable by links, itself included.
 
     Ids should be unique; rows of one id each get a row, and a null id can't be the smallest.
     """
     prints = checkpoint(fingerprints(df, id_col, text_col, shingle, seed))
-    of_fp = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected(links(of_fp.select("fp"), radius, tile))
-    grouped = of_fp.join(roots, of_fp.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", "fp", "component_id").withColumnRenamed("id", id_col)
+    return prints.join(rooted(prints, radius, tile), "fp").select("id", "fp", F.col("least.id").alias("component_id")).withColumnRenamed("id", id_col)
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """Rows (id, key, n, stays) for the ids and texts of which a row has to go; key is the text's text_key.
+
+    Each row counts by its own component, whatever other rows share its id. The row that stays of a component is that of the
+    smallest id (null ids last) and then key; n > 1 rows with that id and text are copies of one another.
+    """
+    prints = checkpoint(fingerprints(df, id_col, text_col, shingle, seed))
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))
+    marked = prints.join(rooted(prints, radius, tile), "fp").select("id", "key", first.alias("stays"))
+    found = marked.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays"))
+    return found.filter("n > 1 OR NOT stays").withColumnRenamed("id", id_col)

@@ -189,3 +189,14 @@ def test_pipeline_stages_on_odd_rows(spark, sf, which, request):
         assert out.count() <= df.count() + 30
         if "text" in out.columns:
             assert out.columns == df.columns
+
+
+def test_near_dedup_judges_rows_not_ids(spark, sf):
+    rng = np.random.default_rng(3)
+    a, b, c, d, e, f = (" ".join(f"w{w}" for w in rng.integers(0, 5000, 60)) for _ in range(6))
+    rows = [(1, a, "x"), (None, a, "x"), (None, b, "x"), (None, c, "x"), (None, c, "y"), (2, d, "x"), (2, e, "x"), (3, e, "x"), (2, a, "x"), (4, f, "y"), (4, f, "x"), (5, None, "x"), (None, " ", "x")]
+    df = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    want = {(1, a, "x"), (None, b, "x"), (None, c, "x"), (2, d, "x"), (2, e, "x"), (4, f, "x"), (5, None, "x")}
+    for parts in (1, 5):
+        got = [tuple(r) for r in corpus_pipeline.distinct(spark, df.repartition(parts), sf).collect()]
+        assert len(got) == len(want) and set(got) == want
