@@ -1,7 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element; what page furniture elements hold (navigation, headers,
-footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles) becomes empty lines. The lengths of the
+footers, sidebars, notices, adverts, forms, comments of readers, scripts, styles) becomes an empty line, neighbouring
+furniture elements one together, so that however many stand in an article they don't split it. The lengths of the
 lines are summed over a sliding window. Text surges where the sum rises from nothing towards the page's bulk and dives
 where it falls to nothing again; what lies between such points is a region, and the region with the most text is the
 article. Where the page marks its article or main element, lines outside count as empty.
@@ -72,6 +73,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if text:
             out.append((text, marked > 0))
 
+    def gap() -> None:
+        if not out or out[-1][0]:
+            out.append(("", marked > 0))
+
     def close(depth: int) -> None:
         nonlocal hidden_at, marked
         for name in reversed(stack[depth:]):
@@ -79,7 +84,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         del stack[depth:]
         if hidden_at > depth:
             hidden_at = 0
-            out.append(("", marked > 0))
+            gap()
 
     at, size = 0, len(page)
     while at < size:
@@ -115,7 +120,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if not hidden_at and is_furniture(name, m[4]):
             flush()
             hidden_at = len(stack)
-            out.append(("", marked > 0))
+            gap()
     flush()
     return out
 

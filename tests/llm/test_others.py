@@ -200,3 +200,9 @@ def test_near_dedup_judges_rows_not_ids(spark, sf):
     for parts in (1, 5):
         got = [tuple(r) for r in corpus_pipeline.distinct(spark, df.repartition(parts), sf).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("between", ['<div class="ad">x</div><aside>y</aside>', '<div class="ad">x</div> <div class="ad">y</div>\n<nav>z</nav><!-- c --><aside>u<p>v</p></aside>'])
+def test_neighbouring_furniture_is_one_gap(between):
+    assert html_extract.main_text(f"<p>The first part.</p>{between}<p>B</p><ul><li>C</ul>{between}<p>The last.</p>") == "The first part.\nB\nC\nThe last."
+    assert [t for t, _ in html_extract.lines_of(f"<p>A</p>{between}<p>B</p>")] == ["A", "", "B"]
