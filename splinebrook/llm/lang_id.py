@@ -19,15 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import draw, map_arrow
+from .common import map_arrow
 
 UNKNOWN = "und"
-#: Labelled documents that the model is fitted on, at most, and the longest text taken among them.
+#: Labelled documents that the model is fitted on, shared evenly among the languages, and how many of each are taken at
+#: least (or all that there are) where there are so many languages that the share would be smaller.
 TRAIN_ROWS = 800
+LANG_ROWS = 8
+#: Characters of a training text that are looked at, from its start.
 TRAIN_CHARS = 20_000
+#: How many times the rows that are wanted of a language are let through to the sort that draws them.
+SPARE = 4
 CHAIN = 128
 ORDERS = (2, 3, 4)
 HASH_BITS = 16
@@ -211,11 +216,24 @@ def label(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[f
 
 
 def train(df: DataFrame, is_training: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Crf | None:
-    """Fit on at most `rows` of the labelled rows with is_training, drawn by a hash of the id."""
-    known = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), is_training.alias("training"))
-    known = known.filter(F.col("training") & F.col("lang").isNotNull()).drop("training")
-    some = draw(known, 2 * rows, F.col("id"), seed).filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    found = some.orderBy(F.xxhash64("id", F.lit(seed)), "text", "lang").limit(rows).select(F.col("text").alias("t"), F.col("lang").alias("l")).collect()
+    """Fit on labelled rows with is_training: the same number of each language, those with the least hashes of the id.
+
+    That number is `rows` over the number of languages, but LANG_ROWS at least. Rows without a letter can't be drawn, so
+    that every language with a text to learn from is among the model's labels, however rare it is.
+    """
+    known = df.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS).alias("text"), F.col(lang_col).cast("string").alias("lang"), is_training.alias("training"))
+    known = known.filter(F.col("training") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).drop("training")
+    # one row for each label of the model
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    most = max(LANG_ROWS, rows // len(counts))
+    bounds = [(lang, (1 << 63) - 1 if n <= SPARE * most else int(-(1 << 63) + (1 << 64) * (SPARE * most / n))) for lang, n in counts.items()]
+    bound = F.broadcast(df.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    hashed = known.withColumn("draw", F.xxhash64("id", F.lit(seed))).join(bound, "lang").filter("draw <= bound")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"), "text"))
+    some = hashed.withColumn("place", place).filter(F.col("place") <= most)
+    found = some.orderBy("draw", "text", "lang").select(F.col("text").alias("t"), F.col("lang").alias("l")).collect()
     return fit([r["t"] for r in found], [r["l"] for r in found], seed)
 
 

@@ -229,3 +229,12 @@ def test_every_operator_on_odd_rows(spark, sf, which, request):
     assert toxicity.score(df, model, carry=("lang",)).count() == n
     assert lang_id.identify(df, crf, carry=("source",)).count() == n
     assert packing.pack(df).count() >= n
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat with the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(20_000)]
+    rows += [(30_000, "le chat est avec le chien", "fr"), (30_001, "el perro y el gato " * 2_000, "es"), (30_002, None, "it"), (30_003, "1 2", "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, F.lit(True))
+    assert model.labels == ["de", "en", "es", "fr"]
+    assert lang_id.label(model, ["le chien est avec le chat", "el gato y el perro", "die katze", "the dog"])[0] == ["fr", "es", "de", "en"]
