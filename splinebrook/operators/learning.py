@@ -397,12 +397,37 @@ def nested_cv(spark: SparkSession, x: np.ndarray, ids: np.ndarray, pairs: dict[s
     return found.join(F.broadcast(names), "row").select("pair", "ml_model", "id", "y", "cv_prob", "cv_pred")
 
 
-def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: str, observed: float, n: int = 200, k: int = 5, seed: int = 42) -> float:
-    """p of a balanced accuracy: cross-validation with shuffled labels, permutation i seeded by seed + i; failures don't count."""
-    data = spark.sparkContext.broadcast((x, y))
+def accuracies(predictions: DataFrame) -> DataFrame:
+    """nested_cv's rows -> (pair, ml_model, balanced_accuracy)."""
+    recall = predictions.groupBy("pair", "ml_model", "y").agg(F.avg((F.col("cv_pred") == F.col("y")).cast("double")).alias("r"))
+    return recall.groupBy("pair", "ml_model").agg(F.avg("r").alias("balanced_accuracy"))
+
+
+def chosen_params(spark: SparkSession, x: np.ndarray, pairs: dict[str, np.ndarray], model: str, grid: list[dict], seed: int = 42) -> dict[str, dict]:
+    """For each pair the best parameters by cross-validation over all of its subjects; a pair is a task."""
+    data = spark.sparkContext.broadcast((x, pairs, grid))
 
     def run(batches):
-        held, labels = data.value
+        held, labels, held_grid = data.value
+        for pdf in batches:
+            for p in pdf["pair"]:
+                rows = np.flatnonzero(labels[p] >= 0)
+                best = best_params(held[rows], labels[p][rows], model, held_grid, np.random.default_rng(seed_of(p, model, seed)))
+                yield pd.DataFrame({"pair": [p], "at": [held_grid.index(best)]})
+
+    df = spark.createDataFrame([(p,) for p in pairs], "pair string").repartition(max(1, min(len(pairs), 64)), "pair")
+    return {r["pair"]: grid[r["at"]] for r in df.mapInPandas(run, "pair string, at int").collect()}
+
+
+def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: str, observed: float, n: int = 200, k: int = 5, seed: int = 42, params: dict | None = None) -> float:
+    """p of a balanced accuracy: cross-validation with shuffled labels, permutation i seeded by seed + i; failures don't count.
+
+    The estimator is that of nested_cv (bagged where there are subjects enough) with the given parameters.
+    """
+    data = spark.sparkContext.broadcast((x, y, params or {}))
+
+    def run(batches):
+        held, labels, chosen = data.value
         for pdf in batches:
             out = []
             for i in pdf["id"]:
@@ -412,7 +437,7 @@ def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: s
                     s = np.empty(len(shuffled))
                     at = folds(shuffled, k, seed)
                     for f in np.unique(at):
-                        s[at == f] = MODELS[model]({}).fit(held[at != f], shuffled[at != f], rng).score(held[at == f])
+                        s[at == f] = estimator(model, chosen, shuffled[at != f]).fit(held[at != f], shuffled[at != f], rng).score(held[at == f])
                     out.append(balanced_accuracy(shuffled, s))
                 except np.linalg.LinAlgError:
                     out.append(float("nan"))

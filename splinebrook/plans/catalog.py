@@ -717,8 +717,12 @@ def m9_nested_cv(spark, d):
 @query()
 def m10_permutation_p(spark, d):
     """p of the cross-validated accuracy of logistic regression under shuffled labels, for each pair."""
-    _, x, pairs = _pair_study(spark, d)
-    rows = [(p, learning.permutation_test(spark, x[y >= 0], y[y >= 0], "LR", 0.6, n=20, k=3)) for p, y in pairs.items()]
+    ids, x, pairs = _pair_study(spark, d)
+    grid = [{"k": 10}, {"k": 20}]
+    scored = learning.accuracies(learning.nested_cv(spark, x, ids, pairs, ["LR"], {"LR": grid}, k=3))
+    observed = {r["pair"]: r["balanced_accuracy"] for r in scored.collect()}
+    params = learning.chosen_params(spark, x, pairs, "LR", grid)
+    rows = [(p, learning.permutation_test(spark, x[y >= 0], y[y >= 0], "LR", observed[p], k=3, params=params[p])) for p, y in pairs.items()]
     return spark.createDataFrame(rows, "pair string, p double")
 
 
