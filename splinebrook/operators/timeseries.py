@@ -70,28 +70,64 @@ def lag_grid(series: DataFrame, event: float, lags: list[float], durations: list
     return r.groupBy("lag", "duration").agg(F.avg("r").alias("mean_abs_r"))
 
 
-def search_lag(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y", rounds: int = 50) -> tuple[float, float, float]:
-    """Best lag with duration 1, then best duration, then hill-climbing by `fine`; each step is one aggregation.
-
-    Candidates without a correlation (a constant regressor) count as missing.
+def run_values(series: DataFrame, runs: list[tuple[bool, ...]], column: str = "y") -> list[float | None]:
+    """The mean absolute correlation over all series with each of the 0/1 regressors, in one pass."""
+    rows = [(k, [float(v) for v in run]) for k, run in enumerate(runs)]
+    candidates = series.sparkSession.createDataFrame(rows, "k int, reg array<double>")
+    r = series.select(column).crossJoin(F.broadcast(candidates)).select("k", F.abs(pearson(F.col(column), F.col("reg"))).alias("r"))
+    found = {x["k"]: x["v"] for x in r.groupBy("k").agg(F.avg("r").alias("v")).collect()}
+    return [found.get(k) for k in range(len(runs))]
+
+
+def search_lag(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y", rounds: int = 10_000) -> tuple[float, float, float]:
+    """Best lag with duration 1, then best duration, then hill-climbing in steps of `fine` until no neighbour is better.
+
+    Candidates without a correlation (a constant regressor) count as missing. A boxcar is a run of samples, so all candidates
+    with one run have one value, which is worked out once; a neighbour is the next candidate with another run in each of the
+    eight directions, so that the climb doesn't end on the first plateau where `fine` is smaller than the sampling step. The
+    value rises with every move and there are finitely many runs, so the climb ends; beyond `rounds` moves it raises.
     """
-
-    def best(found: list) -> tuple[float, float, float]:
-        known = [(r["mean_abs_r"], -r["lag"], -r["duration"]) for r in found if r["mean_abs_r"] is not None]
+    series = series.select(column).persist()
+    values: dict[tuple[bool, ...], float | None] = {}
+
+    def run_of(lag: float, d: float) -> tuple[bool, ...]:
+        return tuple(bool(v) for v in (t >= event + lag - 1e-9) & (t <= event + lag + d + 1e-9))
+
+    def best(candidates: list[tuple[float, float]]) -> tuple[float, float, float]:
+        runs = [run_of(lag, d) for lag, d in candidates]
+        new = [run for run in dict.fromkeys(runs) if run not in values]
+        if new:
+            values.update(zip(new, run_values(series, new, column), strict=True))
+        known = [(values[run], -float(lag), -float(d)) for run, (lag, d) in zip(runs, candidates, strict=True) if values[run] is not None]
         if not known:
             return lags[0], durations[0], float("nan")
         value, lag, d = max(known)
         return -lag, -d, value
 
-    lag, _, _ = best(lag_grid(series, event, lags, [1.0], step, column).collect())
-    lag, d, value = best(lag_grid(series, event, [lag], durations, step, column).collect())
-    for _ in range(rounds):
-        around = lag_grid(series, event, [lag - fine, lag, lag + fine], [max(fine, d - fine), d, d + fine], step, column).collect()
-        new_lag, new_d, new = best(around)
-        if not new > value:
-            break
-        lag, d, value = new_lag, new_d, new
-    return lag, d, value
+    def neighbour(lag: float, d: float, a: int, b: int) -> tuple[float, float] | None:
+        here = run_of(lag, d)
+        for k in range(1, int(np.ceil(step / fine)) + 2):
+            x, y = round(lag + a * k * fine, 9), round(d + b * k * fine, 9)
+            if y < fine:
+                return None
+            if run_of(x, y) != here:
+                return x, y
+        return None
+
+    try:
+        size = series.select(F.size(column)).first()
+        t = np.arange(size[0] if size else 0) * step
+        lag, _, _ = best([(x, 1.0) for x in lags])
+        lag, d, value = best([(lag, x) for x in durations])
+        for _ in range(rounds):
+            around = [n for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (n := neighbour(lag, d, a, b))]
+            new_lag, new_d, new = best(around)
+            if not new > value:
+                return lag, d, value
+            lag, d, value = new_lag, new_d, new
+        raise RuntimeError(f"the lag search has not settled after {rounds} moves")
+    finally:
+        series.unpersist()
 
 
 def combine(components: DataFrame, target: list[float], threshold: float = 0.1, column: str = "y") -> DataFrame:

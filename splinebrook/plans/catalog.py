@@ -330,7 +330,7 @@ def t7_lag_grid(spark, d):
 @query()
 def t8_best_lag(spark, d):
     """The whole search: coarse lag, coarse duration, then hill-climbing."""
-    lag, duration, r = T.search_lag(tab.subject_days(spark, d), 10.0, [float(x) for x in range(-3, 4)], [1.0, 3.0, 5.0], fine=0.5, rounds=5)
+    lag, duration, r = T.search_lag(tab.subject_days(spark, d), 10.0, [float(x) for x in range(-3, 4)], [1.0, 3.0, 5.0])
     return spark.createDataFrame([(lag, duration, r)], "lag double, duration double, mean_abs_r double")
 
 

@@ -121,6 +121,17 @@ def test_cross_validation_and_permutations(spark):
     assert principal_plane(x).shape == (60, 2)
 
 
+def test_lag_search_climbs_until_it_settles(spark):
+    y = [-abs(t - 22.0) for t in range(30)]
+    days = spark.createDataFrame([(y,), ([2 * v for v in y],)], "y array<double>")
+    lag, d, r = T.search_lag(days, 10.0, [2.0, 3.0], [1.0, 3.0, 5.0])
+    corr = {(a, b): abs(np.corrcoef(y, [float(a <= t <= b) for t in range(30)])[0, 1]) for a in range(30) for b in range(a, 30) if b - a < 29}
+    on = [t for t in range(30) if 10 + lag - 1e-9 <= t <= 10 + lag + d + 1e-9]
+    assert r == pytest.approx(max(corr.values())) and r == pytest.approx(corr[on[0], on[-1]]) and len(on) > 9
+    with pytest.raises(RuntimeError):
+        T.search_lag(days, 10.0, [2.0, 3.0], [1.0, 3.0, 5.0], rounds=1)
+
+
 def test_permutation_p_is_of_the_observed_accuracy(spark, sf, monkeypatch):
     seen = []
 
