@@ -666,7 +666,7 @@ def r8_rsa_rho(spark, d):
 def r9_r10_rsa_tests(spark, d):
     """Separation and cohesion tests with seeded permutations, and their false-discovery rates."""
     s = tab.subject_days(spark, d).select("user_id", F.col("y").alias("x"))
-    out = rsa.analyse(spark, s, "user_id", _labels(spark, d).withColumn("label", F.col("label").cast("string")), "parity", n=100, seed=7)
+    out = rsa.analyse(spark, s, "user_id", _labels(spark, d).withColumn("label", F.col("label").cast("string")), "parity", seed=7)
     return out.select("target", "pair", r6("distance", "distance"), r6("rsa_p", "rsa_p"), r6("rsa_q", "rsa_q"))
 
 
