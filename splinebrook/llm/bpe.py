@@ -1,13 +1,17 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Distinct words go into a trie. A depth-first walk gives every node the last token of the encoding of its prefix: the one
-vocabulary entry that is a suffix of the prefix and may follow the last token of what is left before it; it is worked out
-when a word below first asks for it, and stays for all other words below. The last tokens along a path are enough to read off the whole encoding backwards, so a prefix shared by many words is encoded once.
+Distinct words go into a trie; what a word shares with no other is one leaf. A depth-first walk hands down, for each
+prefix, its last token: the one vocabulary entry that is a suffix of the prefix and may follow the last token of what is
+left before it. It follows from the last tokens further up the same path, so a prefix shared by many words is encoded
+once. Which entries are suffixes of a prefix is told by a state that goes down with it: the longest suffix of the prefix
+that some entry begins with. The last tokens along a path are enough to read off the whole encoding backwards.
 
 A sequence of tokens is the encoding of its text just when each neighbouring pair is the encoding of its own text, so a
-node only ever tests pairs; the tests are cached.
+prefix only ever tests pairs; the tests are cached. Nothing recurses: the work on a word is in proportion to its length,
+however long it is.
 
-Null texts count as empty and give no tokens. White space separates words and is dropped. Texts are never cut.
+Null texts count as empty and give no tokens. White space separates words and is dropped. Texts are never cut. Repeated
+rows are encoded like any other, one row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ END = "</w>"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(f"[{SPACE}]+")
 
-#: Entries a worker keeps before it starts a new cache; bounds memory, not results.
+#: Entries, and characters of them, that a worker keeps before it starts a new cache; bounds memory, not results.
 CACHE_ENTRIES = 400_000
+CACHE_CHARS = 16_000_000
 NEVER = 1 << 60
 
 
@@ -74,14 +79,15 @@ class Recent(dict):
 
     def __init__(self, entries: int = CACHE_ENTRIES // 2):
         super().__init__()
-        self.entries, self.old = entries, {}
+        self.entries, self.old, self.chars = entries, {}, 0
 
     def missing(self, keys: set[str]) -> set[str]:
         """The keys that neither generation has; those of the old one move to the young one."""
-        if len(self) > self.entries:
-            self.old = dict(self)
+        if len(self) > self.entries or self.chars > CACHE_CHARS // 2:
+            self.old, self.chars = dict(self), 0
             self.clear()
         absent = keys - self.keys()
+        self.chars += sum(map(len, absent))
         for k in absent & self.old.keys():
             self[k] = self.old[k]
         return absent - self.old.keys()
@@ -102,14 +108,12 @@ class TrieEncoder:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.inner: set[str] = set()  # tokens within a word
-        self.final: set[str] = set()  # tokens at its end, without the mark
-        self.reach: dict[str, int] = {}  # from a token's last three characters: the most characters such a token has
-        for token in self.vocab:
-            mark = END if token.endswith(END) and len(token) > len(END) else ""
-            letters = token[: len(token) - len(mark)]
-            (self.final if mark else self.inner).add(letters)
-            self.reach[letters[-3:] + mark] = max(self.reach.get(letters[-3:] + mark, 2), len(letters))
+        letters = {t: t[: -len(END)] if t.endswith(END) and len(t) > len(END) else t for t in self.vocab}
+        self.inner = {t: (self.vocab[t], len(t), {}, t) for t, own in letters.items() if t is own}
+        self.final = {own: (self.vocab[t], len(own), {}, t) for t, own in letters.items() if t is not own}
+        self.begun = {own[:k] for own in letters.values() for k in range(len(own) + 1)}
+        self.root, self.states, self.n_states, self.n_pairs = None, {}, 0, 0
+        self.forget()
         self.bytes = byte_chars()
         self.pattern = word_pattern()
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -117,7 +121,6 @@ class TrieEncoder:
         self.proper: dict[str, bool] = {}
         self.right_edges: dict[str, list[tuple[str, int]]] = {}
         self.left_edges: dict[str, list[tuple[str, int]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.words = Recent()
         self.chunks = Recent()
 
@@ -162,46 +165,58 @@ class TrieEncoder:
         """
         if left is None:
             return self.alone(right)
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
-        lefts, rights, i, j, known = self.edge(left, True), self.edge(right, False), 0, 0, True
+        lefts, rights, i, j = self.edge(left, True), self.edge(right, False), 0, 0
         while True:
             (x, x_ends), (y, y_ends) = lefts[i], rights[j]
             rank = self.rank.get((x, y), NEVER)
             if rank < x_ends and rank <= y_ends and rank < NEVER:
-                known = False
-                break
+                return False
             if x_ends == y_ends == NEVER:
-                break
+                return True
             if x_ends <= y_ends:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= CACHE_ENTRIES:
-            self.pairs.clear()
-        self.pairs[key] = known
+
+    def forget(self) -> None:
+        """Drop the states and the tested pairs; they are worked out again when they are met."""
+        for token in (*self.inner.values(), *self.final.values()):
+            token[2].clear()
+        self.states, self.n_states, self.n_pairs = {}, 0, 0
+        self.root = self.state("")
+
+    def state(self, suffix: str) -> tuple[dict, tuple, tuple, str]:
+        """Next states by character, the entries that are suffixes within a word and at its end (longest first), itself."""
+        known = self.states.get(suffix)
+        if known is None:
+            ends = [suffix[k:] for k in range(len(suffix))]
+            known = self.states[suffix] = ({}, tuple(self.inner[e] for e in ends if e in self.inner), tuple(self.final[e] for e in ends if e in self.final), suffix)
         return known
 
-    def last_token(self, path: str, lasts: list[str | None], mark: str) -> str:
-        """The last token of the encoding of path; lasts[i] is that of its first i characters, "" until it is asked for."""
-        n = len(path)
-        letters = self.final if mark else self.inner
-        for at in range(n - min(n, self.reach.get(path[-3:] + mark, 2)), n):
-            token = path[at:]
-            if token in letters:
-                token += mark
-                before = lasts[at]
-                if before == "":
-                    before = lasts[at] = self.last_token(path[:at], lasts, "")
-                known = self.pairs.get((before, token))
-                if known or (known is None and self.follows(before, token)):
-                    return token
-        raise ValueError(f"no token ends {path!r}")
+    def next_state(self, state: tuple, c: str) -> tuple:
+        suffix = state[3] + c
+        while suffix not in self.begun:
+            suffix = suffix[1:]
+        self.n_states += 1
+        found = state[0][c] = self.state(suffix)
+        return found
+
+    def pick(self, entries: tuple, lasts: list[tuple], depth: int) -> tuple:
+        """The entry that ends a prefix of depth characters, given the last tokens of all shorter ones."""
+        for entry in entries:
+            before = lasts[depth - entry[1]]
+            known = entry[2].get(before[0])
+            if known is None:
+                known = entry[2][before[0]] = self.follows(before[3], entry[3])
+                self.n_pairs += 1
+            if known:
+                return entry
+        raise ValueError("no token ends a prefix")
 
     def encode_words(self, words: set[str]) -> None:
         """Put the words' encodings (ids as bytes) into self.words: insert them into a trie, then walk it depth first."""
+        if self.n_pairs > CACHE_ENTRIES or self.n_states > CACHE_ENTRIES:
+            self.forget()
         collecting = gc.isenabled()
         gc.disable()  # a trie is many small dicts and no cycles
         try:
@@ -211,42 +226,56 @@ class TrieEncoder:
                 gc.enable()
 
     def trie(self, words: set[str]) -> dict:
+        """Dicts by character; a leaf is (word, its spelling), and "" leads to a word that ends where others go on."""
         trie: dict = {}
         for word in words:
-            node = trie
             spelled = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])
-            for c in spelled:
+            node = trie
+            for depth, c in enumerate(spelled, 1):
                 below = node.get(c)
                 if below is None:
-                    below = node[c] = {}
+                    node[c] = (word, spelled)
+                    break
+                if type(below) is tuple:  # a leaf gives way to a branch
+                    node[c] = {below[1][depth : depth + 1]: below}
+                    below = node[c]
                 node = below
-            node[""] = (word, spelled)
+            else:
+                node[""] = (word, spelled)
         return trie
 
     def walk(self, trie: dict) -> None:
-        lasts: list[str | None] = [None]
-        path = ""
-        stack = [("", trie, 0)]
+        """Depth first, with the last tokens and the states of all prefixes on the path from the root."""
+        lasts: list[tuple] = [(-1, 0, None, None)]
+        states = [self.root]
+        stack = [(0, c, node) for c, node in trie.items()]
+        pick = self.pick
         while stack:
-            c, node, depth = stack.pop()
-            if depth:
-                path = path[: depth - 1] + c
-                del lasts[depth:]
-                lasts.append("")
-            if "" in node:
-                word, spelled = node[""]
-                token = self.last_token(spelled, lasts, END)
-                ids, at = [self.vocab[token]], len(spelled) - (len(token) - len(END))
-                while at:
-                    token = lasts[at] = lasts[at] or self.last_token(spelled[:at], lasts, "")
-                    ids.append(self.vocab[token])
-                    at -= len(token)
-                ids.reverse()
-                self.words[word] = array("I", ids).tobytes()
-            depth += 1
-            for k, child in node.items():
-                if k:
-                    stack.append((k, child, depth))
+            depth, c, node = stack.pop()
+            del lasts[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
+            if type(node) is dict:
+                state = state[0].get(c) or self.next_state(state, c)
+                depth += 1
+                states.append(state)
+                lasts.append(pick(state[1], lasts, depth))
+                stack += [(depth, k, below) for k, below in node.items()]
+                continue
+            word, spelled = node
+            n = len(spelled)
+            for at in range(depth, n):
+                c = spelled[at]
+                state = state[0].get(c) or self.next_state(state, c)
+                if at + 1 < n:
+                    lasts.append(pick(state[1], lasts, at + 1))
+            token = pick(state[2], lasts, n)
+            ids, at = [token[0]], n - token[1]
+            while at:
+                token = lasts[at]
+                ids.append(token[0])
+                at -= token[1]
+            ids.reverse()
+            self.words[word] = array("I", ids).tobytes()
 
     def split(self, chunk: str) -> list[str]:
         """The words of a run without white space, after the vocabulary's normalisation."""
@@ -314,8 +343,9 @@ class TrieEncoder:
         return " ".join(self.tokens[ids].tolist())
 
 
-#: Chunks that a RankEncoder remembers: the first ones it meets, so the frequent ones.
+#: Chunks that a RankEncoder remembers: the first ones it meets, so the frequent ones, unless they are long.
 KNOWN_CHUNKS = 100_000
+KNOWN_CHARS = 64
 
 
 class RankEncoder(TrieEncoder):
@@ -348,7 +378,7 @@ class RankEncoder(TrieEncoder):
             if new:
                 ids = self.encode_chunks(new)
                 if len(self.known) < KNOWN_CHUNKS:
-                    self.known.update(zip(new, ids, strict=True))
+                    self.known.update((c, i) for c, i in zip(new, ids, strict=True) if len(c) <= KNOWN_CHARS)
                 rest = iter(ids)
                 found = [next(rest) if f is None else f for f in found]
             out.append(b"".join(found))

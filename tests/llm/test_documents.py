@@ -33,6 +33,34 @@ def test_both_encoders_equal_the_library(text):
     assert bpe.encoder(bpe.default_vocab()).decode(np.array(want, dtype=int)) == Tokenizer_cached().decode(want, skip_special_tokens=False)
 
 
+def long_words():
+    rng = np.random.default_rng(1)
+    latin = "".join(map(chr, rng.integers(97, 123, 100_000)))
+    base64 = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(0, 52, 100_000))
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 100_000)))
+    cyrillic = "".join(map(chr, rng.integers(0x430, 0x450, 100_000)))
+    return [latin, base64, han, cyrillic, "a" * 100_000, "!" * 100_000, latin[:50_000] + "x" + latin[:50_000], latin[:60_000], "9" * 20_000, han[:30_000] + " " + han[:30_001]]
+
+
+@pytest.mark.parametrize("trie", [True, False])
+def test_long_unbroken_words_equal_the_library(trie):
+    texts = long_words()
+    got = bpe.encoder(bpe.default_vocab(), trie).encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == Tokenizer_cached().encode(text, add_special_tokens=False).ids
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.text(alphabet="abcé漢", min_size=1, max_size=8), min_size=1, max_size=60))
+def test_words_that_share_prefixes(words):
+    """One batch whose trie has leaves that split, words that end inside others, and shared paths."""
+    enc = bpe.TrieEncoder.__new__(bpe.TrieEncoder)
+    enc.__dict__ = dict(bpe.encoder(bpe.default_vocab()).__dict__, words=bpe.Recent(), chunks=bpe.Recent())
+    enc.forget()
+    for word, ids in zip(words, enc.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == Tokenizer_cached().encode(word, add_special_tokens=False).ids
+
+
 def Tokenizer_cached(held=[]):
     if not held:
         held.append(Tokenizer.from_file(bpe.default_vocab()))
