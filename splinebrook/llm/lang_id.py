@@ -2,19 +2,26 @@
 
 Each word is labelled with a language: its score for a label is the sum of weights of its character n-grams (those at
 either end, with the border as a character, are its affixes) and of the word itself where the lexicon has it; learned
-transitions tie neighbouring words together. Forward-backward gives each word's probabilities, and a document's language
-is the one with the largest share of them, which is also the score. Code-switched texts are thus split among languages.
+transitions tie neighbouring words together. Forward-backward gives each word's probabilities over the whole text, and a
+document's language is the one with the largest share of them, which is also the score. Code-switched texts are thus split
+among languages; `switches` gives their runs of words of one language.
+
+A text of any number of words is one chain. It is worked on in segments: each gives the matrix of what passes from its
+left to its right end, the matrices of a text give the messages that reach every segment from both sides, and with these
+the segments are decoded together. The result is that of one pass over the whole chain, wherever the segments lie.
 
 Labels of training documents hold for whole documents; training chains are spliced from pieces of documents of different
-languages, so that the transitions are learned on switched text. A chain is a run of at most CHAIN words.
+languages, so that the transitions are learned on switched text.
 
 Texts that are null or have no letter get the language `und` and the score 0. Ties go to the language that sorts first.
-Where no labelled document can be learned from, all texts get `und`.
+Where no labelled document can be learned from, all texts get `und`. Repeated rows each get a row of their own, an empty
+table gives none, and texts are read whole, however long.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +36,13 @@ UNKNOWN = "und"
 #: least (or all that there are) where there are so many languages that the share would be smaller.
 TRAIN_ROWS = 800
 LANG_ROWS = 8
-#: Characters of a training text that are looked at, from its start.
+#: Characters of the passage that is learned from in a longer training text; it starts where a hash of the id says.
 TRAIN_CHARS = 20_000
 #: How many times the rows that are wanted of a language are let through to the sort that draws them.
 SPARE = 4
-CHAIN = 128
+#: Words of a segment of a chain, and segments that are held in memory together.
+SEGMENT = 128
+SEGMENTS = 2048
 ORDERS = (2, 3, 4)
 HASH_BITS = 16
 #: Words of the lexicon, at most; the most frequent of the training sample.
@@ -46,6 +55,7 @@ SEED = 5
 PIECE = (4, 40)
 
 WORD = re.compile(r"[^\W\d_]+")
+LETTER = r"\p{L}"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -99,21 +109,39 @@ class Crf:
     def emissions(self, f: Features) -> np.ndarray:
         return np.add.reduceat(self.weights[f.grams], f.starts, axis=0) + self.lexical[f.lexical] if len(f.starts) else np.zeros((0, len(self.labels)))
 
-    def marginals(self, emissions: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over (chains, steps, labels): word marginals, and the expected transitions over all chains."""
-        e = np.exp(emissions - emissions.max(axis=2, keepdims=True))
-        t = np.exp(self.transitions - self.transitions.max())
+    def exponentials(self, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.exp(emissions - emissions.max(axis=2, keepdims=True)), np.exp(self.transitions - self.transitions.max())
+
+    def passage(self, emissions: np.ndarray, valid: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """(segments, labels, labels): from each label before a segment to each at its end, up to a factor; opens: none is before."""
+        e, t = self.exponentials(emissions)
+        out = np.where(opens[:, None, None], 1.0, t[None]) * e[:, 0, None, :]
+        for s in range(1, e.shape[1]):
+            step = (out @ t) * e[:, s, None, :]
+            step /= step.max(axis=(1, 2), keepdims=True)
+            out = np.where(valid[:, s, None, None], step, out)
+        return out
+
+    def marginals(self, emissions: np.ndarray, valid: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over (chains, steps, labels): word marginals, and the expected transitions over all chains.
+
+        before: what comes in at the left of each chain (all ones after the transition where nothing does); after: at its
+        right.
+        """
+        e, t = self.exponentials(emissions)
         n, steps, k = e.shape
         forward = np.empty_like(e)
-        a = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+        a = e[:, 0] if before is None else e[:, 0] * before
+        a = a / a.sum(axis=1, keepdims=True)
         forward[:, 0] = a
         for s in range(1, steps):
             a = (a @ t) * e[:, s]
             a /= a.sum(axis=1, keepdims=True)
             forward[:, s] = a
-        b = np.ones((n, k))
+        b = np.ones((n, k)) if after is None else after
         marginals = np.empty_like(e)
-        marginals[:, -1] = forward[:, -1]
+        last = forward[:, -1] * b
+        marginals[:, -1] = last / last.sum(axis=1, keepdims=True)
         pairs = np.zeros((k, k))
         for s in range(steps - 2, -1, -1):
             ahead = e[:, s + 1] * b
@@ -121,23 +149,58 @@ class Crf:
             back = ahead @ t.T
             total = (forward[:, s] * back).sum(axis=1, keepdims=True)
             pairs += ((forward[:, s] / total * live).T @ ahead) * t
-            b = np.where(live, back / back.sum(axis=1, keepdims=True), 1.0)
+            b = np.where(live, back / back.sum(axis=1, keepdims=True), b)
             m = forward[:, s] * b
             marginals[:, s] = m / m.sum(axis=1, keepdims=True)
         return marginals, pairs
 
-
-def chained(lengths: list[int], chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (chains, chain) of the words of documents that lie one after another, and which of them are real."""
-    firsts, sizes, at = [], [], 0
-    for n in lengths:
-        for start in range(0, n, chain):
-            firsts.append(at + start)
-            sizes.append(min(chain, n - start))
-        at += n
-    steps = np.arange(max(sizes, default=1))
-    valid = steps[None, :] < np.array(sizes, dtype=np.int64)[:, None]
-    return np.where(valid, np.array(firsts, dtype=np.int64)[:, None] + steps[None, :], 0), valid
+    def chain_marginals(self, per_word: np.ndarray, index: np.ndarray, lengths: list[int], segment: int = SEGMENT, segments: int = SEGMENTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, marginals) of the words of whole chains that lie one after another; per_word: emissions by word number."""
+        k = len(self.labels)
+        chain, place, firsts, sizes = segmented(lengths, segment)
+        _, t = self.exponentials(np.zeros((1, 1, k)))
+        before, after = np.ones((len(firsts), k)), np.ones((len(firsts), k))
+        cut = np.flatnonzero((np.bincount(chain, minlength=len(lengths)) > 1)[chain])
+        matrix = np.empty((len(cut), k, k))
+        for lo in range(0, len(cut), segments):
+            some = cut[lo : lo + segments]
+            at, valid = positions(firsts[some], sizes[some])
+            matrix[lo : lo + segments] = self.passage(per_word[index[at]], valid, place[some] == 0)
+        row = np.zeros(len(firsts), dtype=np.int64)
+        row[cut] = np.arange(len(cut))
+        # one step along all chains at a time, from the left and then from the right
+        order = cut[np.argsort(place[cut], kind="stable")]
+        for some in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            some = some[(some + 1 < len(chain)) & (chain[np.minimum(some + 1, len(chain) - 1)] == chain[some])]
+            came = np.where((place[some] == 0)[:, None], 1 / k, before[some])
+            out = np.einsum("nk,nkl->nl", came, matrix[row[some]])
+            before[some + 1] = out / out.sum(axis=1, keepdims=True)
+        for some in reversed(np.split(order, np.flatnonzero(np.diff(place[order])) + 1)):
+            some = some[place[some] > 0]
+            out = np.einsum("nkl,nl->nk", matrix[row[some]], after[some])
+            after[some - 1] = out / out.sum(axis=1, keepdims=True)
+        entered = np.where((place > 0)[:, None], before @ t, 1.0)
+        for lo in range(0, len(firsts), segments):
+            some = slice(lo, lo + segments)
+            at, valid = positions(firsts[some], sizes[some])
+            found, _ = self.marginals(per_word[index[at]], valid, entered[some], after[some])
+            yield at[valid], found[valid]
+
+
+def segmented(lengths: list[int], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment of chains that lie one after another: its chain, its number there, its first word and its words."""
+    n = np.array(lengths, dtype=np.int64)
+    parts = -(-n // segment)
+    chain = np.repeat(np.arange(len(n)), parts)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return chain, place, (np.cumsum(n) - n)[chain] + place * segment, np.minimum(segment, n[chain] - place * segment)
+
+
+def positions(firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (segments, words) of the segments' words, and which of them are real."""
+    steps = np.arange(sizes.max() if len(sizes) else 1)
+    valid = steps[None, :] < sizes[:, None]
+    return np.where(valid, firsts[:, None] + steps[None, :], 0), valid
 
 
 def numbered(lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
@@ -171,7 +234,7 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED) -> Crf | None:
     f = Features.of(words, lexicon)
     k = len(labels)
     model = Crf(labels, np.zeros((1 << HASH_BITS, k)), np.zeros((len(lexicon) + 1, k)), np.zeros((k, k)), lexicon)
-    at, valid = chained([len(index)])
+    at, valid = positions(*segmented([len(index)])[2:])
     given = np.eye(k)[truth]
     empirical = np.zeros((k, k))
     y = truth[at]
@@ -201,28 +264,46 @@ def label(model: Crf | None, texts: list[str | None]) -> tuple[list[str], list[f
     words, index = numbered(lists)
     shares = np.zeros((len(texts), len(model.labels)))
     if words:
-        at, valid = chained([len(ws) for ws in lists])
-        scores = model.emissions(Features.of(words, model.lexicon))[index]
-        marginals, _ = model.marginals(scores[at].astype(np.float64), valid)
-        flat = np.empty((len(index), len(model.labels)))
-        flat[at[valid]] = marginals[valid]
-        document = np.repeat(np.arange(len(texts)), [len(ws) for ws in lists])
-        for c in range(len(model.labels)):
-            shares[:, c] = np.bincount(document, weights=flat[:, c], minlength=len(texts))
+        lengths = [len(ws) for ws in lists]
+        document = np.repeat(np.arange(len(texts)), lengths)
+        scores = model.emissions(Features.of(words, model.lexicon)).astype(np.float64)
+        for at, found in model.chain_marginals(scores, index, lengths):
+            for c in range(len(model.labels)):
+                shares[:, c] += np.bincount(document[at], weights=found[:, c], minlength=len(texts))
         shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-300)
     best = shares.argmax(axis=1)
     names = [model.labels[b] if ws else UNKNOWN for b, ws in zip(best, lists, strict=True)]
     return names, [min(1.0, float(shares[r, b])) if lists[r] else 0.0 for r, b in enumerate(best)]
 
 
+def runs(model: Crf | None, text: str | None) -> list[tuple[int, int, str, float]]:
+    """Runs of a text's words whose most probable label is the same: first word, words, label, mean probability."""
+    words, index = numbered([words_of(text)])
+    if model is None or not words:
+        return []
+    found = np.empty((len(index), len(model.labels)))
+    for at, part in model.chain_marginals(model.emissions(Features.of(words, model.lexicon)).astype(np.float64), index, [len(index)]):
+        found[at] = part
+    best = found.argmax(axis=1)
+    edges = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+    return [(a, b - a, model.labels[best[a]], float(found[a:b, best[a]].mean())) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def train(df: DataFrame, is_training: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Crf | None:
     """Fit on labelled rows with is_training: the same number of each language, those with the least hashes of the id.
 
     That number is `rows` over the number of languages, but LANG_ROWS at least. Rows without a letter can't be drawn, so
-    that every language with a text to learn from is among the model's labels, however rare it is.
+    that every language with a text to learn from is among the model's labels, however rare it is and however long its
+    texts are: of a text of more than TRAIN_CHARS characters so many are read, from a place given by a hash of the id, or
+    from its first letter if there is none after that.
     """
-    known = df.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS).alias("text"), F.col(lang_col).cast("string").alias("lang"), is_training.alias("training"))
-    known = known.filter(F.col("training") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).drop("training")
+    text = F.col(text_col).cast("string")
+    known = df.select(F.col(id_col).alias("id"), text.alias("whole"), F.col(lang_col).cast("string").alias("lang"), is_training.alias("training"))
+    known = known.filter(F.col("training") & F.col("lang").isNotNull() & F.col("whole").rlike(LETTER))
+    start = F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.length("whole") - TRAIN_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
+    passage = F.substring("whole", start, F.lit(TRAIN_CHARS))
+    from_letter = F.substring("whole", F.regexp_instr("whole", F.lit(LETTER)), F.lit(TRAIN_CHARS))
+    known = known.select("id", "lang", F.when(F.length("whole") <= TRAIN_CHARS, F.col("whole")).when(passage.rlike(LETTER), passage).otherwise(from_letter).alias("text"))
     # one row for each label of the model
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -256,3 +337,22 @@ def identify(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col:
     kinds = "".join(f", x{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = map_arrow(rows, make, f"id {kind}, lang_pred string, score double{kinds}", rows=128)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", *[F.col(f"x{k}").alias(c) for k, c in enumerate(carry)])
+
+
+def switches(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, start, words, lang, score): the runs of words of one language in each text, start counted in words."""
+    broadcast = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        held = broadcast.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(r, *run) for r, text in enumerate(batch.column(1).to_pylist()) for run in runs(held, text)]
+            row, start, words, lang, score = zip(*found, strict=True) if found else ((),) * 5
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "start", "words", "lang", "score"])
+
+        return step
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, make, f"id {kind}, start long, words long, lang string, score double").withColumnRenamed("id", id_col)

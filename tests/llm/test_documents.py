@@ -221,6 +221,48 @@ def test_crf_marginals():
     assert np.allclose(got[0], want / total)
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 64])
+def test_segments_do_not_change_the_chain(segment):
+    rng = np.random.default_rng(segment)
+    lengths = [5, 0, 1, 17, 64, 2, 30]
+    m = lang_id.Crf(["a", "b", "c"], None, None, rng.standard_normal((3, 3)), {})
+    per_word = 3 * rng.standard_normal((20, 3))
+    index = rng.integers(0, 20, sum(lengths))
+    got = np.full((len(index), 3), np.nan)
+    for at, found in m.chain_marginals(per_word, index, lengths, segment, segments=4):
+        got[at] = found
+    at = 0
+    for n in filter(None, lengths):
+        want, _ = m.marginals(per_word[index[at : at + n]][None], np.ones((1, n), dtype=bool))
+        assert np.allclose(got[at : at + n], want[0])
+        at += n
+
+
+def test_code_switched_words(spark, docs):
+    """Held-out documents of different languages spliced together: the share of words that get their own language."""
+    held_out = queries.remainder(F.col("doc_id"), 5) == 0
+    model = lang_id.train(docs, ~held_out)
+    rows = docs.filter(held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").orderBy("doc_id").collect()
+    pieces = [(lang_id.words_of(r["text"])[:25], r["lang"]) for r in rows]
+    pieces = [pieces[k] for k in np.random.default_rng(0).permutation(len(pieces))]
+    text, truth = " ".join(w for p, _ in pieces for w in p), [lang for p, lang in pieces for _ in p]
+    found = [lang for _, n, lang, _ in lang_id.runs(model, text) for _ in range(n)]
+    assert len(found) == len(truth) > 300
+    assert np.mean([a == b for a, b in zip(found, truth, strict=True)]) > 0.95
+    df = spark.createDataFrame([(1, text), (2, None), (3, "1 2")], "doc_id long, text string")
+    assert [tuple(r)[1:4] for r in lang_id.switches(df, model).orderBy("start").collect()] == [r[:3] for r in lang_id.runs(model, text)]
+
+
+def test_long_training_texts_are_learned_from(spark):
+    rows = [(k, "1 2 3 " * 10_000 + "the cat sat with the dog " * 2_000, "en") for k in range(6)]
+    rows += [(10 + k, "der hund und die katze " * 2_000, "de") for k in range(6)] + [(20, "4 " * 30_000 + "le chat " * 20, "fr")]
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.labels == ["de", "en", "fr"]
+    long = "the dog sat with the cat " * 40 + "die katze und der hund " * 30
+    names, scores = lang_id.label(model, [long, "die katze", "le chat"])
+    assert names == ["en", "de", "fr"] and 0.55 < scores[0] < 0.68
+
+
 def test_toxicity_grammar():
     m = toxicity.Model({"idiot": 1.0}, {"blar": 1.0}, toxicity.PRIOR)
     kinds = lambda t: [toxicity.KINDS[k] for k in np.flatnonzero(m.matches(t))]
