@@ -1,25 +1,32 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
-A record is one row of a conversation: its text, and a role if one is given. Each line of it is an observation: the
-speaker marker at its start (for a record's first line the given role, if the text has no marker of its own), its length
-class, whether it asks, and whether it opens the record. Hidden states are the three roles, each opening or going on with
-a turn; a record's first line always opens one. Transition and emission probabilities are counted over all labelled
-records, smoothed. Viterbi gives the most probable states; each opened turn is rendered as one canonical turn.
-
-Conversations may be of any length: they are cut into segments of a bounded number of records. A segment gives the best
-score from each state before it to each state at its end, a small matrix; one ordered pass over the matrices of a
+A record is one row of a conversation, and its text is all that is known of it: who speaks has to be recovered. Each line
+is an observation: the speaker marker at its start, its length class, whether it asks, and whether it is the first or the
+last line of the record. Hidden states say who speaks, whether the line opens a turn or goes on with it, and whether the
+record is plain (one turn, and what looks like a marker is text) or a transcript (turns that carry markers). A record's
+first line always opens a turn. Viterbi gives the most probable states; each opened turn is rendered as one canonical
+turn. A marker is taken off a line only where the state opens a turn of the role that it names, and is kept in a column of
+its own, so no text is lost.
+
+The model is counted over labelled records (`train`), with smoothing. Labels are one role for a record, so what they can't
+show has fixed prior values: how turns follow inside a transcript, and how markers lie in it.
+
+Conversations may be of any length: one that is longer is cut into segments of a bounded number of records. A segment gives
+the best score from each state before it to each state at its end, a small matrix; one ordered pass over the matrices of a
 conversation and one back fix the states at the borders, and each segment is then decoded on its own. The result is that
 of Viterbi over the whole conversation.
 
-Records go by turn, then by role and text where turns repeat; null turns come first. Null texts are empty and give one
-empty turn. Ties between states go to the first of ROLES. Without labelled records the smoothing alone decides.
+Records go by turn; where turns repeat, those with other texts by a hash of the text, and equal records one after another,
+MOST of them at a time. Null turns come first. Null texts are empty and give one empty turn. Ties between states go to the
+first of ROLES. Without labelled records the smoothing alone decides. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +38,21 @@ from .common import checkpoint
 
 ROLES = ("system", "user", "assistant")
 N = len(ROLES)
-#: State 2 * r opens a turn of role r, state 2 * r + 1 goes on with it.
-STATES = 2 * N
-#: Range of turn numbers of a segment, and records beyond which such a range is cut by a hash of the text.
+#: State 6 * style + 2 * r opens a turn of role r, the next one goes on with it; style 1 is a transcript.
+STATES = 4 * N
+OPENS = np.arange(STATES) % 2 == 0
+ROLE = np.arange(STATES) // 2 % N
+MARKED = np.arange(STATES) >= 2 * N
+#: Turn numbers of a segment, and records beyond which such a range is cut further; also copies of a record in one piece.
 SEGMENT = 256
 MOST = 4096
 SMOOTH = 0.5
-#: Counts that stand for a marker's meaning beforehand.
-MARKER_WEIGHT = 50
+#: Prior values: share of records that are transcripts (as records seen beforehand), of a transcript's lines that open a
+#: turn, of opening lines with their own role's marker, and of other lines with any (mostly one that suits the speaker).
+TRANSCRIPTS = (1, 20)
+TURNS = 0.3
+OWN = 0.97
+STRAY = 0.05
 
 #: Fixed speaker markers.
 SPEAKERS = {
@@ -52,89 +66,86 @@ END_MARK = re.compile(r"<\|(?:im_end|end|eot_id|endoftext)\|>\s*$")
 LENGTHS = (0, 40, 120, 400)
 
 
-def read_marker(line: str) -> tuple[int | None, str]:
-    """The role that a line's marker names, and the line without it."""
+Observation = tuple[int, int, int, int, int]
+
+
+def read_marker(line: str) -> tuple[int, int]:
+    """The role that a line's marker names (N: none), and where the rest of the line begins."""
     m = MARKER.match(line)
-    if m:
-        role = ROLE_OF.get((m[1] or m[2] or m[3] or m[4] or "").lower())
-        if role is not None:
-            return role, line[m.end() :]
-    return None, line
-
-
-def observe(text: str | None, given: str | None) -> tuple[list[tuple[int, int, int, int]], list[str]]:
-    """(marker or N, length class, asks, opens) of each line, and the lines without markers."""
-    observations, clean = [], []
-    hint = ROLE_OF.get((given or "").strip().lower())
-    for k, raw in enumerate((text or "").split("\n")):
-        role, line = read_marker(END_MARK.sub("", raw))
-        if role is None and not k:
-            role = hint
+    role = ROLE_OF.get((m[1] or m[2] or m[3] or m[4] or "").lower()) if m else None
+    return (N, 0) if role is None else (role, m.end())
+
+
+def observe(text: str | None) -> tuple[list[Observation], list[tuple[str, int]]]:
+    """(marker, length class, asks, first, last) of each line, and the lines with the length of their markers."""
+    lines = (text or "").split("\n")
+    observations, found = [], []
+    for k, line in enumerate(lines):
+        role, end = read_marker(line)
         body = line.strip()
-        observations.append((N if role is None else role, sum(len(body) > n for n in LENGTHS), int(body.endswith(("?", "？"))), int(not k)))
-        clean.append(line.rstrip())
-    return observations, clean
+        observations.append((role, sum(len(body) > n for n in LENGTHS), int(body.endswith(("?", "？"))), int(not k), int(k == len(lines) - 1)))
+        found.append((line, end))
+    return observations, found
 
 
 @dataclass
 class Hmm:
     start: np.ndarray  # log probability of the first role
     follow: np.ndarray  # of the next turn's role, by role
-    marker: np.ndarray  # of the marker of an opening line, by role
-    length: np.ndarray  # of a line's length class, by role
+    length: np.ndarray  # of a line's length class, by role and whether it opens (0) or goes on (1)
     asks: np.ndarray
-    inner: float  # of a turn that opens inside a record
-
-    def emission(self, o: tuple[int, int, int, int]) -> np.ndarray:
-        marker, length, asks, opens = o
-        out = np.empty(STATES)
-        line = self.length[:, length] + self.asks[:, asks]
-        out[0::2] = line + self.marker[:, marker]
-        # a line that goes on carries no marker and opens no record
-        out[1::2] = line + (0.0 if marker == N else -20.0) + (-np.inf if opens else 0.0)
-        return out
-
-    def transition(self, opens: int) -> np.ndarray:
+    last: np.ndarray  # of being a plain record's last line
+    marker: np.ndarray  # of a plain record's marker, by whether the line opens or goes on
+    style: np.ndarray  # of a record's being plain, or a transcript
+
+    def emission(self, o: Observation) -> np.ndarray:
+        marker, length, asks, first, last = o
+        on = 1 - OPENS.astype(int)
+        # a transcript's lines are known by their markers: how long lines are was counted over plain records
+        plain = self.length[ROLE, on, length] + self.asks[ROLE, on, asks] + self.last[ROLE, on, last] + self.marker[on, marker]
+        own = np.where(ROLE == marker, np.log(OWN), np.log((1 - OWN) / N))
+        stray = np.log(1 - STRAY) if marker == N else np.log(np.where(ROLE == marker, STRAY * 0.6, STRAY * 0.4 / (N - 1)))
+        out = np.where(MARKED, np.where(OPENS, own, stray) - np.log(self.length.shape[2] * 4), plain)
+        return np.where(OPENS | (not first), out, -np.inf)
+
+    def transition(self, first: int) -> np.ndarray:
         """From each state to each state at the next line."""
-        out = np.full((STATES, STATES), -np.inf)
-        turn = self.follow if opens else self.follow + np.log(self.inner)
-        for a in range(N):
-            for b in range(N):
-                out[2 * a : 2 * a + 2, 2 * b] = turn[a, b]
-            if not opens:
-                out[2 * a : 2 * a + 2, 2 * a + 1] = np.log1p(-self.inner)
-        return out
+        turn = self.follow[ROLE[:, None], ROLE[None, :]]
+        if first:
+            return np.where(OPENS[None, :], turn + self.style[MARKED.astype(int)][None, :], -np.inf)
+        same = (MARKED[:, None] == MARKED[None, :]) & (OPENS[None, :] | (ROLE[:, None] == ROLE[None, :]))
+        opens = np.where(MARKED[None, :], turn + np.log(TURNS), -np.inf)
+        goes_on = np.where(MARKED[None, :], np.log1p(-TURNS), 0.0)
+        return np.where(same, np.where(OPENS[None, :], opens, goes_on), -np.inf)
 
     def first(self) -> np.ndarray:
-        out = np.full(STATES, -np.inf)
-        out[0::2] = self.start
-        return out
+        return np.where(OPENS, self.start[ROLE] + self.style[MARKED.astype(int)], -np.inf)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.transition(0), self.transition(1)
+    def steps(self) -> Callable[[Observation], np.ndarray]:
+        """Transition and emission together, by observation; there are few different ones."""
+        return functools.lru_cache(maxsize=None)(lambda o: self.transition(o[3]) + self.emission(o)[None, :])
 
-    def transfer(self, observations: list[tuple[int, int, int, int]], opening: bool) -> np.ndarray:
+    def transfer(self, observations: list[Observation], opening: bool) -> np.ndarray:
         """Best score from each state before the lines to each state at the last; opening: nothing is before them."""
-        inner, outer = self.tables()
-        score = None
+        step, score = self.steps(), None
         for o in observations:
-            step = (np.broadcast_to(self.first(), (STATES, STATES)) if opening and score is None else outer if o[3] else inner) + self.emission(o)[None, :]
-            score = step if score is None else (score[:, :, None] + step[None, :, :]).max(axis=1)
+            if score is None:
+                score = np.broadcast_to(self.first() + self.emission(o), (STATES, STATES)) if opening else step(o)
+            else:
+                score = (score[:, :, None] + step(o)[None, :, :]).max(axis=1)
         return score
 
-    def decode(self, observations: list[tuple[int, int, int, int]], before: int | None, last: int) -> list[int]:
-        """The best states between the given ones."""
-        inner, outer = self.tables()
-        score, back = None, []
+    def decode(self, observations: list[Observation], before: int | None, last: int | None) -> list[int]:
+        """The best states between the given ones; before None: nothing is before the lines; last None: any may be last."""
+        step, score, back = self.steps(), None, []
         for o in observations:
-            e = self.emission(o)
             if score is None:
-                score = (self.first() if before is None else (outer if o[3] else inner)[before]) + e
+                score = self.first() + self.emission(o) if before is None else step(o)[before]
                 continue
-            step = score[:, None] + (outer if o[3] else inner)
-            back.append(step.argmax(axis=0))
-            score = step.max(axis=0) + e
-        states = [last]
+            ways = score[:, None] + step(o)
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0)
+        states = [int(score.argmax()) if last is None else last]
         for b in reversed(back):
             states.append(int(b[states[-1]]))
         return states[::-1]
@@ -145,9 +156,10 @@ def logs(counts: np.ndarray) -> np.ndarray:
     return np.log(counts / counts.sum(axis=-1, keepdims=True))
 
 
-def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Hmm:
-    """Count over all labelled records; only the counts reach the driver."""
-    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+def train(df: DataFrame, is_training: F.Column | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Hmm:
+    """Count over all labelled records with is_training (all if None); only the counts reach the driver."""
+    rows = df if is_training is None else df.filter(is_training)
+    rows = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
 
     def counted(batches):
         counts: Counter = Counter()
@@ -156,17 +168,23 @@ def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role
                 role = ROLE_OF.get((given or "").strip().lower())
                 if role is None:
                     continue
-                for marker, length, asks, opens in observe(text, given)[0]:
-                    counts["length", role, length] += 1
-                    counts["asks", role, asks] += 1
-                    if opens:
-                        counts["marker", role, marker] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["what", "a", "b", "n"])
-
-    emitted = rows.select("role", "text").mapInArrow(counted, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    tables = {"marker": np.zeros((N, N + 1)), "length": np.zeros((N, len(LENGTHS) + 1)), "asks": np.zeros((N, 2))}
+                observations = observe(text)[0]
+                transcript = observations[0][0] == role
+                counts["style", 0, 0, int(transcript)] += 1
+                for marker, length, asks, first, last in observations:
+                    on = 1 - first
+                    counts["length", role, on, length] += 1
+                    counts["asks", role, on, asks] += 1
+                    if not transcript:
+                        counts["last", role, on, last] += 1
+                        counts["marker", 0, on, marker] += 1
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[c] for k in keys], pa.int32()) for c in (1, 2, 3)), pa.array(list(counts.values()), pa.int64())], ["what", "a", "b", "c", "n"])
+
+    emitted = rows.select("role", "text").mapInArrow(counted, "what string, a int, b int, c int, n long").groupBy("what", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    tables = {"length": np.zeros((N, 2, len(LENGTHS) + 1)), "asks": np.zeros((N, 2, 2)), "last": np.zeros((N, 2, 2)), "marker": np.zeros((1, 2, N + 1)), "style": np.zeros((1, 1, 2))}
     for r in emitted:
-        tables[r["what"]][r["a"], r["b"]] = r["n"]
+        tables[r["what"]][r["a"], r["b"], r["c"]] = r["n"]
     role = F.when(F.col("role").isNull(), None)
     for name, k in ROLE_OF.items():
         role = role.when(F.lower(F.trim("role")) == name, k)
@@ -177,10 +195,9 @@ def train(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role
         follow[r["r"], r["next"]] = r["count"]
     for r in known.filter("turn = 0").groupBy("r").count().collect():
         start[r["r"]] = r["count"]
-    # a marker speaks for its role before any is counted; an unmarked line may come from anyone
-    marker = logs(tables["marker"] + MARKER_WEIGHT * np.eye(N, N + 1))
-    marker[:, N] = np.log(0.2)
-    return Hmm(logs(start), logs(follow), marker, logs(tables["length"]), logs(tables["asks"]), 0.05)
+    plain, transcripts = tables["style"][0, 0]
+    share = (transcripts + TRANSCRIPTS[0]) / (plain + transcripts + TRANSCRIPTS[1])
+    return Hmm(logs(start), logs(follow), logs(tables["length"]), logs(tables["asks"]), logs(tables["last"]), logs(tables["marker"][0]), np.log([1 - share, share]))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -203,38 +220,58 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def observed(table: pa.Table) -> tuple[list, list[tuple[int, list[str]]]]:
-    """All observations of a segment, and for each record its number of lines and clean lines."""
-    found = [observe(text, role) for role, text in zip(table["role"].to_pylist(), table["text"].to_pylist(), strict=True)]
-    return [o for f in found for o in f[0]], [(len(f[0]), f[1]) for f in found]
+def observed(table: pa.Table) -> tuple[list[Observation], list[list[tuple[str, int]]]]:
+    """All observations of a segment, and the lines of each record; a record counts as often as it has copies."""
+    found = [f for text, copies in zip(table["text"].to_pylist(), table["copies"].to_pylist(), strict=True) for f in [observe(text)] * copies]
+    return [o for f in found for o in f[0]], [f[1] for f in found]
+
+
+def pieces(df: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
+    """Rows (conv, range, piece, cut, alone, turn, rank, text, copies): the distinct records with their segments.
 
+    A segment has one (conv, range, piece, cut). Equal records are counted, MOST in a piece at most; a range of turn numbers
+    with more than MOST records is cut at turns, pieces and ranks (hashes of the text), the order in which its records come
+    anyway. alone: the conversation has no other segment.
+    """
+    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.groupBy("conv", "turn", "text").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / MOST))))
+    rows = rows.withColumn("copies", F.least(F.lit(MOST).cast("long"), F.col("n") - F.col("number") * MOST))
+    rows = rows.withColumn("range", F.floor(F.col("turn") / SEGMENT)).withColumn("rank", F.xxhash64("text") / F.lit(2.0**64) + 0.5)
+    sizes = rows.groupBy("conv", "range").agg(F.ceil(F.sum("copies") / MOST).alias("cuts"))
+    of_conv = sizes.groupBy("conv").agg(F.count(F.lit(1)).alias("ranges"), F.max("cuts").alias("most")).filter("ranges > 1 OR most > 1")
+    several = sizes.alias("s").join(of_conv.alias("c"), F.expr("s.conv <=> c.conv")).select("s.conv", "s.range", "s.cuts")
+    rows = rows.alias("r").join(several.alias("l"), F.expr("r.conv <=> l.conv AND r.range <=> l.range"), "left")
+    crowded = F.col("l.cuts") > 1
+    piece = F.when(crowded, F.struct(F.col("r.turn"), F.col("r.number")))
+    return rows.select("r.conv", "r.range", piece["turn"].alias("sub_turn"), piece["number"].alias("piece"), F.when(crowded, F.floor(F.col("r.rank") * F.col("l.cuts"))).alias("cut"), F.col("l.cuts").isNull().alias("alone"), "r.turn", "r.number", "r.rank", "r.text", "r.copies")
 
-def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows (conv, turn, part, role, text, rendered): the turns of each record, numbered by part from 0."""
+
+SEGMENT_KEYS = ["conv", "range", "sub_turn", "piece", "cut"]
+ORDER = [*SEGMENT_KEYS, "turn", "number", "rank", "text"]
+
+
+def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """Rows (conv, turn, part, role, text, marker, rendered): the turns of each record, numbered by part from 0.
+
+    marker is what was taken off the turn's lines (speaker and end marks), empty for most. Roles in df are not looked at.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("range", F.floor(F.col("turn") / SEGMENT))
-    # a range of turn numbers with very many records is cut further, by the order in which its records come anyway
-    large = rows.groupBy("conv", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("conv", "range", F.ceil(F.col("n") / MOST).alias("cuts"))
-    rank = F.xxhash64("turn", "role", "text") / F.lit(2.0**64) + 0.5
-    rows = rows.alias("r").join(large.alias("l"), F.expr("r.conv <=> l.conv AND r.range <=> l.range"), "left")
-    crowded = F.col("l.cuts").isNotNull()
-    rows = rows.select("r.conv", "r.range", F.when(crowded, F.col("r.turn")).alias("sub_turn"), F.when(crowded, F.floor(rank * F.col("l.cuts"))).alias("cut"), "r.turn", F.when(crowded, rank).alias("rank"), "r.role", "r.text")
-    segment = ["conv", "range", "sub_turn", "cut"]
-    sorted_rows = rows.repartition(*segment).sortWithinPartitions(*segment, "turn", "rank", "role", "text")
+    rows = pieces(df, conv_col, turn_col, text_col)
     kind = rows.schema["conv"].dataType.simpleString()
-    keys = f"conv {kind}, range long, sub_turn long, cut long"
+    keys, n_keys = f"conv {kind}, range long, sub_turn long, piece long, cut long", len(SEGMENT_KEYS)
 
     def matrices(batches):
         hmm = held.value
-        for table in runs(batches, 4):
+        for table in runs(batches, n_keys):
             observations, _ = observed(table)
             found = [hmm.transfer(observations, opening).ravel() for opening in (True, False)]
-            key = [table.column(c).slice(0, 1).combine_chunks() for c in range(4)]
+            key = [table.column(c).slice(0, 1).combine_chunks() for c in range(n_keys)]
             lists = [pa.array([f.tolist()], pa.list_(pa.float64())) for f in found]
-            yield pa.RecordBatch.from_arrays([*key, *lists], ["conv", "range", "sub_turn", "cut", "opening", "inside"])
+            yield pa.RecordBatch.from_arrays([*key, *lists], [*SEGMENT_KEYS, "opening", "inside"])
 
-    transfers = checkpoint(sorted_rows.mapInArrow(matrices, f"{keys}, opening array<double>, inside array<double>"))
+    long = rows.filter("NOT alone").repartition(*SEGMENT_KEYS).sortWithinPartitions(*ORDER)
+    transfers = checkpoint(long.mapInArrow(matrices, f"{keys}, opening array<double>, inside array<double>"))
 
     def ahead(batches):
         conv, score, seen = None, None, False
@@ -244,10 +281,10 @@ def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
                 first = not seen or name != conv
                 conv, seen = name, True
                 entries.append(None if first else score.tolist())
-                matrix = np.array(batch.column(4 if first else 5)[k].as_py()).reshape(STATES, STATES)
+                matrix = np.array(batch.column(n_keys if first else n_keys + 1)[k].as_py()).reshape(STATES, STATES)
                 score = matrix[0] if first else (score[:, None] + matrix).max(axis=0)
             lists = pa.array(entries, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(6)), lists], ["conv", "range", "sub_turn", "cut", "opening", "inside", "entry"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n_keys + 2)), lists], [*SEGMENT_KEYS, "opening", "inside", "entry"])
 
     def behind(batches):
         conv, wanted, seen = None, None, False
@@ -256,46 +293,61 @@ def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
             for k, name in enumerate(batch.column(0).to_pylist()):
                 last_of_conv = not seen or name != conv
                 conv, seen = name, True
-                entry = batch.column(6)[k].as_py()
-                matrix = np.array(batch.column(4 if entry is None else 5)[k].as_py()).reshape(STATES, STATES)
+                entry = batch.column(n_keys + 2)[k].as_py()
+                matrix = np.array(batch.column(n_keys if entry is None else n_keys + 1)[k].as_py()).reshape(STATES, STATES)
                 total = matrix[0][None, :] if entry is None else np.array(entry)[:, None] + matrix
                 last = int(total.max(axis=0).argmax()) if last_of_conv else wanted
                 before = None if entry is None else int(total[:, last].argmax())
                 lasts.append(last)
                 befores.append(before)
                 wanted = before
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(befores, pa.int32()), pa.array(lasts, pa.int32())], ["conv", "range", "sub_turn", "cut", "before", "last"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n_keys)), pa.array(befores, pa.int32()), pa.array(lasts, pa.int32())], [*SEGMENT_KEYS, "before", "last"])
 
-    entered = transfers.repartition("conv").sortWithinPartitions(*segment).mapInArrow(ahead, f"{keys}, opening array<double>, inside array<double>, entry array<double>")
-    down = [F.col("conv"), *[F.col(c).desc() for c in segment[1:]]]
+    entered = transfers.repartition("conv").sortWithinPartitions(*SEGMENT_KEYS).mapInArrow(ahead, f"{keys}, opening array<double>, inside array<double>, entry array<double>")
+    down = [F.col("conv"), *[F.col(c).desc() for c in SEGMENT_KEYS[1:]]]
     borders = entered.repartition("conv").sortWithinPartitions(*down).mapInArrow(behind, f"{keys}, before int, last int")
-    same = " AND ".join(f"r.{c} <=> b.{c}" for c in segment)
-    joined = rows.alias("r").join(borders.alias("b"), F.expr(same)).select("r.*", "b.before", "b.last")
+    same = " AND ".join(f"r.{c} <=> b.{c}" for c in SEGMENT_KEYS)
+    joined = rows.alias("r").join(borders.alias("b"), F.expr(same), "left").select("r.*", "b.before", "b.last")
 
     def turns(batches):
         hmm = held.value
-        for table in runs(batches, 4):
+        for table in runs(batches, n_keys):
             observations, records = observed(table)
             states = hmm.decode(observations, table["before"][0].as_py(), table["last"][0].as_py())
+            numbers = np.repeat(np.arange(table.num_rows), table["copies"].to_numpy())
             out, at = [], 0
-            for r, (n, lines) in enumerate(records):
-                part = -1
-                for state, line in zip(states[at : at + n], lines, strict=True):
-                    if state % 2 == 0:
-                        part += 1
-                        out.append([r, part, ROLES[state // 2], []])
-                    out[-1][3].append(line)
-                at += n
-            texts = ["\n".join(o[3]).strip() for o in out]
-            index = pa.array([o[0] for o in out], pa.int64())
-            roles = [o[2] for o in out]
-            columns = [table["conv"].take(index).combine_chunks(), table["turn"].take(index).combine_chunks(), pa.array([o[1] for o in out], pa.int64()), pa.array(roles), pa.array(texts), pa.array([render(a, t) for a, t in zip(roles, texts, strict=True)])]
-            yield pa.RecordBatch.from_arrays(columns, ["conv", "turn", "part", "role", "text", "rendered"])
-
-    decoded = joined.repartition(*segment).sortWithinPartitions(*segment, "turn", "rank", "role", "text").mapInArrow(turns, f"conv {kind}, turn long, part long, role string, text string, rendered string")
+            for number, lines in zip(numbers.tolist(), records, strict=True):
+                out += [(number, part, *turn) for part, turn in enumerate(spoken(lines, states[at : at + len(lines)], observations[at : at + len(lines)]))]
+                at += len(lines)
+            index, part, roles, texts, markers = zip(*out, strict=True)
+            index = pa.array(index, pa.int64())
+            rendered = [render(a, t) for a, t in zip(roles, texts, strict=True)]
+            columns = [table["conv"].take(index).combine_chunks(), table["turn"].take(index).combine_chunks(), pa.array(part, pa.int64()), *(pa.array(x, pa.string()) for x in (roles, texts, markers, rendered))]
+            yield pa.RecordBatch.from_arrays(columns, ["conv", "turn", "part", "role", "text", "marker", "rendered"])
+
+    decoded = joined.repartition(*SEGMENT_KEYS).sortWithinPartitions(*ORDER).mapInArrow(turns, f"conv {kind}, turn long, part long, role string, text string, marker string, rendered string")
     return decoded.withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
 
 
+def spoken(lines: list[tuple[str, int]], states: list[int], observations: list[Observation]) -> list[tuple[str, str, str]]:
+    """(role, text, marks taken off) of each turn of a record."""
+    turns: list[tuple[str, list[str], list[str]]] = []
+    for (line, end), state, o in zip(lines, states, observations, strict=True):
+        if OPENS[state]:
+            turns.append((ROLES[ROLE[state]], [], []))
+        _, texts, marks = turns[-1]
+        if MARKED[state]:
+            if OPENS[state] and o[0] == ROLE[state]:
+                marks.append(line[:end])
+                line = line[end:]
+            closing = END_MARK.search(line)
+            if closing:
+                marks.append(closing[0])
+                line = line[: closing.start()]
+        texts.append(line)
+    return [(role, "\n".join(texts).strip(), "".join(marks)) for role, texts, marks in turns]
+
+
 def render(role: str, text: str) -> str:
     """One canonical turn."""
     return f"<|{role}|>\n{text}\n<|end|>"

@@ -55,8 +55,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learned from conversations whose crc32 mod 3 is not 1, and hidden from the decoding of all of them."""
     conversations = read_table(spark, sf_dir, "conversations")
-    return chat_format.format_chats(conversations, chat_format.train(conversations))
+    held_out = remainder(F.col("conv_id"), 3) == 1
+    model = chat_format.train(conversations, ~held_out)
+    return chat_format.format_chats(conversations.drop("role"), model).withColumn("held_out", held_out)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

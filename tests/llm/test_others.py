@@ -1,5 +1,7 @@
 """Operators over vectors, pages and conversations, and the pipeline."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,38 +132,104 @@ def slow_viterbi(hmm, observations):
     return states[::-1]
 
 
-def test_chats(spark, sf, monkeypatch):
-    conversations = spark.read.parquet(f"{sf}/conversations.parquet")
+def path_score(hmm, observations, states):
+    moves = zip(observations[1:], states, states[1:])
+    return hmm.first()[states[0]] + sum(hmm.emission(o)[s] for o, s in zip(observations, states, strict=True)) + sum(hmm.transition(o[3])[a, b] for o, a, b in moves)
+
+
+def decoded(df, model):
+    return {(r["conv_id"], r["turn"], r["part"]): r["role"] for r in chat_format.format_chats(df, model).collect()}
+
+
+def test_chats(spark, sf):
+    """Roles of held-out conversations are recovered from their texts alone."""
+    truth = {(r["conv_id"], r["turn"]): r["role"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = queries.op9_chat(spark, sf).collect()
+    assert {(r["conv_id"], r["turn"]) for r in got} == truth.keys() and len(got) == len(truth)
+    for held_out in (True, False):
+        assert np.mean([truth[r["conv_id"], r["turn"]] == r["role"] for r in got if r["held_out"] == held_out]) > 0.9
+
+
+def test_chats_against_whole_viterbi(spark, sf, monkeypatch):
+    """Whatever the segments, the states are those of Viterbi over each whole conversation."""
+    conversations = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") % 7).alias("conv_id"), (F.col("turn") + 10 * F.floor(F.col("conv_id") / 7)).alias("turn"), "role", "text")
     model = chat_format.train(conversations)
-    truth = {(r["conv_id"], r["turn"]): r["role"] for r in conversations.collect()}
-    got = chat_format.format_chats(conversations, model).collect()
-    assert len(got) == len(truth) and all(truth[r["conv_id"], r["turn"]] == r["role"] for r in got)
-    hidden = conversations.withColumn("role", F.when(F.col("turn") % 3 == 0, F.col("role")))
-    whole = {(r["conv_id"], r["turn"], r["part"]): r["role"] for r in chat_format.format_chats(hidden, model).collect()}
-    assert np.mean([truth[k[:2]] == v for k, v in whole.items()]) > 0.9
-    monkeypatch.setattr(chat_format, "SEGMENT", 2)
-    monkeypatch.setattr(chat_format, "MOST", 1)
-    assert {(r["conv_id"], r["turn"], r["part"]): r["role"] for r in chat_format.format_chats(hidden, model).collect()} == whole
+    want = {}
+    for conv in range(7):
+        rows = conversations.filter(F.col("conv_id") == conv).orderBy("turn").collect()
+        found = [chat_format.observe(r["text"])[0] for r in rows]
+        states = slow_viterbi(model, [o for f in found for o in f])
+        at = 0
+        for r, f in zip(rows, found, strict=True):
+            opened = [s for s in states[at : at + len(f)] if chat_format.OPENS[s]]
+            want |= {(conv, r["turn"], p): chat_format.ROLES[chat_format.ROLE[s]] for p, s in enumerate(opened)}
+            at += len(f)
+    assert decoded(conversations, model) == want
+    for segment, most in ((2, 4096), (100, 2)):
+        monkeypatch.setattr(chat_format, "SEGMENT", segment)
+        monkeypatch.setattr(chat_format, "MOST", most)
+        assert decoded(conversations, model) == want
+
+
+def test_crowded_turns_keep_their_order(spark, monkeypatch):
+    """Repeated turns, equal and not, come in one order however they are cut into segments."""
+    rows = [(1, 0, f"what is {k % 37}?" if k % 3 else f"it is {k % 11}\nand more") for k in range(500)] + [(1, 1, "so"), (2, 0, "hm?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    labelled = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", "what?" if t % 2 == 0 else "it is\nand") for c in range(20) for t in range(4)], "conv_id long, turn long, role string, text string")
+    model = chat_format.train(labelled)
+    want = sorted(tuple(r) for r in chat_format.format_chats(df, model).collect())
+    assert len(want) == len(rows)
+    monkeypatch.setattr(chat_format, "MOST", 5)
+    # pieces of 5 copies put equal records further apart, at every size alike: hold it against Viterbi in that order
+    texts = sorted((k // 5, r["rank"], r["text"]) for r in chat_format.pieces(df.filter("conv_id = 1 AND turn = 0").dropDuplicates(), "conv_id", "turn", "text").collect() for k in range(sum(x[2] == r["text"] for x in rows)))
+    states = slow_viterbi(model, [o for _, _, t in [*texts, (0, 0, "so")] for o in chat_format.observe(t)[0]])
+    roles = Counter()
+    at = 0
+    for _, _, t in texts:
+        roles[t, chat_format.ROLES[chat_format.ROLE[states[at]]]] += 1
+        at += len(chat_format.observe(t)[0])
+    got = Counter((r["text"], r["role"]) for r in chat_format.format_chats(df, model).filter("conv_id = 1 AND turn = 0").collect())
+    assert got == roles
 
 
 def test_segments_give_viterbi(spark, sf):
     model = chat_format.train(spark.read.parquet(f"{sf}/conversations.parquet"))
     rng = np.random.default_rng(0)
     for _ in range(20):
-        o = [(int(rng.integers(0, 4)), int(rng.integers(0, 5)), int(rng.integers(0, 2)), int(k == 0 or rng.random() < 0.4)) for k in range(12)]
+        firsts = [k == 0 or rng.random() < 0.4 for k in range(12)]
+        o = [(int(rng.integers(0, 4)), int(rng.integers(0, 5)), int(rng.integers(0, 2)), int(f), int(n)) for f, n in zip(firsts, [*firsts[1:], True])]
         want = slow_viterbi(model, o)
-        assert model.decode(o, None, want[-1]) == want
+        for path in (model.decode(o, None, want[-1]), model.decode(o, None, None)):
+            assert path_score(model, o, path) == pytest.approx(path_score(model, o, want))  # equal but for ties
         joined = (model.transfer(o[:5], True)[0][:, None] + model.transfer(o[5:], False)).max(axis=0)
         assert np.allclose(model.transfer(o, True)[0], joined)
 
 
+def test_markers(spark, sf):
+    """Markers are taken off where they open turns of a transcript; elsewhere they are text."""
+    model = chat_format.train(spark.read.parquet(f"{sf}/conversations.parquet"))
+    texts = {
+        1: "System: be nice\nUser: hi there?\nAssistant: hello\nmore\nAnswer: 42\nUser: thanks",
+        2: "The settings are these.\nuser: root\nport: 22\nThat is all of them.",
+        3: "a > b and b > c, so a > c",
+        4: "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>",
+        5: "He asked me this.\nQ: what\nI could not say.",
+    }
+    df = spark.createDataFrame([(k, 0, t) for k, t in texts.items()], "conv_id long, turn long, text string")
+    got = {}
+    for r in chat_format.format_chats(df, model).orderBy("conv_id", "part").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"], r["marker"]))
+    assert got[1] == [("system", "be nice", "System: "), ("user", "hi there?", "User: "), ("assistant", "hello\nmore\nAnswer: 42", "Assistant: "), ("user", "thanks", "User: ")]
+    assert [t for _, t, _ in got[2]] == [texts[2]] and [t for _, t, _ in got[3]] == [texts[3]] and [t for _, t, _ in got[5]] == [texts[5]]
+    assert [x[:2] for x in got[4]] == [("user", "hi"), ("assistant", "hello")]
+
+
 def test_odd_chats(spark):
-    rows = [(1, 0, None, "System: be nice\nUser: hi there?\nAssistant: hello\nmore"), (1, 1, "bot", "ok"), (2, None, None, None), (None, 3, "user", ""), (3, 0, "user", "a"), (3, 0, "user", "a")]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, part int, range int")
+    rows = [(1, 0, None, "hi there?"), (1, 1, "bot", "ok"), (2, None, None, None), (None, 3, "user", ""), (3, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, "user", "line\n" * 20_000)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, part int, range int, copies int")
     got = chat_format.format_chats(df, chat_format.train(df)).collect()
-    first = sorted((r["turn"], r["part"], r["role"], r["text"]) for r in got if r["conv_id"] == 1)
-    assert first == [(0, 0, "system", "be nice"), (0, 1, "user", "hi there?"), (0, 2, "assistant", "hello\nmore"), (1, 0, "assistant", "ok")]
-    assert sum(r["conv_id"] == 3 for r in got) == 2 and len(got) == 8
+    assert sum(r["conv_id"] == 3 for r in got) == 2 and len(got) == len(rows)
+    assert {(r["conv_id"], r["turn"]): r["text"] for r in got}[2, None] == ""
     assert got[0]["rendered"].startswith("<|") and chat_format.format_chats(df.filter("false"), chat_format.train(df.filter("false"))).count() == 0
 
 
