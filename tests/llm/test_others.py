@@ -1,5 +1,6 @@
 """Operators over vectors, pages and conversations, and the pipeline."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -115,9 +116,81 @@ def test_long_page():
     assert len(html_extract.main_text(page)) == 5 * 200_000 - 1 + 2 * 5000
 
 
-def test_line_blocks():
+def slow_regions(masses, window, share, chars):
+    """Surge and dive by their definitions: from each surge walk out to the dives on both sides."""
+    n = len(masses)
+    total = lambda i: sum(masses[max(i, 0) : max(i + window, 0)])
+    sums = [total(i) for i in range(n)]
+    least = min(chars, share * max(sums, default=0))
+    found = set()
+    for i in range(n):
+        if sums[i] > 0 and sums[i] >= least:
+            a = b = i
+            while a > 0 and sums[a - 1] > 0:
+                a -= 1
+            while b + 1 < n and sums[b + 1] > 0:
+                b += 1
+            run = [k for k in range(a, min(n, b + window)) if masses[k]]
+            found.add((run[0], run[-1] + 1))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5])
+def test_line_blocks(window):
     assert html_extract.regions([0, 5, 0, 0, 0, 7, 8, 0], 2) == [(1, 2), (5, 7)]
+    assert html_extract.regions([0, 5, 0, 0, 0, 700, 0, 0, 0, 60, 60], 2) == [(5, 6), (9, 11)]
     assert html_extract.regions([], 3) == [] and html_extract.regions([0, 0], 3) == []
+    rng = np.random.default_rng(window)
+    for _ in range(300):
+        masses = (rng.integers(0, 4, rng.integers(0, 40)) * rng.integers(0, 60)).tolist()
+        for share in (0.0, 0.1, 0.6):
+            assert html_extract.regions(masses, window, share) == slow_regions(masses, window, share, html_extract.SURGE_CHARS)
+
+
+P = [f"Paragraph number {k} says something of its own, and it says it in a whole sentence." for k in range(6)]
+BODY = "".join(f"<p>{p}</p>" for p in P)
+MENU = "<div><a href=/a>Home</a></div><div><a href=/b>News</a></div><div><a href=/c>Sport</a></div><div><a href=/d>More</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<h1>T</h1>{BODY}",
+        f"{MENU}<h1>T</h1>{BODY}{MENU}<div>© 2020 Someone, all rights reserved</div>",
+        f'<body class="home"><div class="site header-fixed"><h1>T</h1>{BODY}</div></body>',
+        f'<div class="layout-sidebar-right"><h1>T</h1>{BODY}</div><aside>other things</aside>',
+        f'<div class="article-header-image"><h1>T</h1>{BODY}</div>',
+        f'<nav><a href=/>x</a><h1>T</h1>{BODY}',
+        f'<form action=/ method=post><div class="search"><input><button>Go</button></div><h1>T</h1>{BODY}</form>',
+        f"<article><header><h1>T</h1></header>{BODY}</article><footer>f</footer>",
+        f"<h1>T</h1>{BODY}<section id=comments><article class=comment><p>{' '.join(P)} {' '.join(P)}</p></article></section>",
+        f"<h1>T</h1>{'<div class=ad>buy this now</div><aside>more</aside>'.join(f'<p>{p}</p>' for p in P)}",
+        f"<html><head><title>x</title><meta name=a><h1>T</h1>{BODY}",
+        f"<b><div><h1>T</b></h1>{BODY}</div>",
+        f"<a name=top><h1>T</h1>{BODY}",
+        f"<h1>T<button>share</button></h1>{BODY}<div class=related-posts>{MENU}</div><!-- never closed <p>no</p>",
+    ],
+)
+def test_pages_without_help(page):
+    """No article element to go by, misleading classes, elements that are never closed."""
+    assert html_extract.main_text(page) == "\n".join(["T", *P])
+
+
+def test_short_ends_of_an_article_stay():
+    parts = ["First, a paragraph that is long enough to be the bulk of this page, whatever else may come.", "Yes.", "No."]
+    page = "<p>" + "</p><div class=ad>a</div><div class=ad>b</div><nav>c</nav><p>".join(parts) + "</p>"
+    assert html_extract.main_text(page) == "\n".join(parts)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<![CDATA[", "<!--", "<", "<div class='", "<b><i></b>", "<form>", "<div><i>", "</i><i><div>", "<p><b>", "<script>", "<a href=", "&amp", "<aside hidden><article>"])
+def test_malformed_pages_take_little_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    html_extract.main_text(f"<p>{P[0]}</p>" + page)
+    assert time.perf_counter() - start < 10  # in proportion to the page: a square would take hours
+    half = time.perf_counter()
+    html_extract.main_text(page[: len(page) // 10])
+    assert time.perf_counter() - half < 1
 
 
 def slow_viterbi(hmm, observations):
@@ -273,4 +346,4 @@ def test_near_dedup_judges_rows_not_ids(spark, sf):
 @pytest.mark.parametrize("between", ['<div class="ad">x</div><aside>y</aside>', '<div class="ad">x</div> <div class="ad">y</div>\n<nav>z</nav><!-- c --><aside>u<p>v</p></aside>'])
 def test_neighbouring_furniture_is_one_gap(between):
     assert html_extract.main_text(f"<p>The first part.</p>{between}<p>B</p><ul><li>C</ul>{between}<p>The last.</p>") == "The first part.\nB\nC\nThe last."
-    assert [t for t, _ in html_extract.lines_of(f"<p>A</p>{between}<p>B</p>")] == ["A", "", "B"]
+    assert [t for t, _, _ in html_extract.lines_of(f"<p>A</p>{between}<p>B</p>")] == ["A", "", "B"]
