@@ -1,23 +1,29 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Vectors are scaled to unit length and turned onto the principal axes of a covariance that is summed over all vectors, so
-that the leading coordinates hold most of the length. Equal vectors are collapsed. The rest is ordered along the first
-axis and dealt into tiles; two tiles are compared only if their boxes on the leading axes come close enough. Within a
-pair of tiles the products are summed over the leading coordinates first; what the others can still add is at most the
-product of the two suffix norms, and a pair of vectors is dropped once that cannot reach the threshold. Pairs that are
+that the leading coordinates hold most of the length. Equal vectors are collapsed. The rest is ordered along a curve
+through the leading axes (their coordinates' bits, interleaved) and range-partitioned into tiles, which are boxes on these
+axes; two tiles are compared only if their boxes come close enough, which is asked of groups of neighbouring tiles first.
+Within a pair of tiles the products are summed over the leading coordinates first; what the others can still add is at most
+the product of the two suffix norms, and a pair of vectors is dropped once that cannot reach the threshold. Pairs that are
 left are decided by the cosine of the given vectors in double precision.
 
-A tile pair gives the number of links of each vector and a star for each linked group, never the links themselves.
+A unit of work holds a group of tiles and lets the tiles that it has to meet pass by, a bounded number of them. Links are
+turned into counts and into a star for each linked group a strip of vectors at a time, so all of a tile may link with all.
 
 Vectors that are null, empty, zero, of another dimension than the most common one, or that hold null or non-finite
-components link with nothing and are their own component.
+components link with nothing and are their own component. Ids should be unique longs; each row with a null or a repeated id
+still gives one row, and counts as a vector of its own, but a null id can't name a component. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow, total_rows
@@ -26,11 +32,17 @@ from .components import connected, local_roots
 THRESHOLD = 0.9
 #: Vectors of a tile; a pair of tiles of 64 doubles each is 8 MB.
 TILE = 8192
-#: Coordinates added at a time, and the axes on which tiles have boxes.
+#: Coordinates added at a time, and the axes on which tiles have boxes, with bits of a coordinate on the curve.
 STEPS = (16, 32)
 BOX_AXES = 8
+CURVE_BITS = 7
 #: Vectors of a tile compared with the other tile at a time.
-STRIP = 512
+STRIP = 256
+#: Tiles that a unit of work holds, and tiles that pass by.
+HELD = 8
+PASSING = 64
+#: Tiles whose boxes are joined into one before tiles are looked at.
+GROUP = 512
 #: Allowance for single precision in the bounds; decisions are made in double precision.
 SLACK = 1e-4
 
@@ -67,15 +79,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into a, into b) with a cosine of threshold or more; a and b hold the given vectors as rows."""
+def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into a, into b) with a cosine of threshold or more, a strip of a at a time; rows are the given vectors."""
     x, y = unit(a), unit(b)
     u, v = (x @ axes).astype(np.float32), (y @ axes).astype(np.float32)
     dims, cuts = u.shape[1], [*[s for s in STEPS if s < u.shape[1]], u.shape[1]]
     suffix_u = [np.linalg.norm(u[:, c:], axis=1) for c in cuts]
     suffix_v = [np.linalg.norm(v[:, c:], axis=1) for c in cuts]
     least = np.float32(threshold - SLACK)
-    left, right = [], []
     for start in range(0, len(u), STRIP):
         part = u[start : start + STRIP]
         sums = part[:, : cuts[0]] @ v[:, : cuts[0]].T
@@ -93,47 +104,88 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) ->
         for lo in range(0, len(i), 1 << 18):
             p, q = i[lo : lo + (1 << 18)] + start, j[lo : lo + (1 << 18)]
             sure = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
-            left.append(p[sure])
-            right.append(q[sure])
+            yield p[sure], q[sure]
     assert dims == axes.shape[0]
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def tile_links(tiles: DataFrame, pairs: DataFrame, axes: np.ndarray, dims: int, threshold: float) -> DataFrame:
-    """tiles: (tile, ids, copies, vectors); pairs: (i, j) -> rows (id, links, root): partial link counts and stars."""
+@dataclass
+class Tile:
+    nodes: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, r: int, dims: int) -> Tile:
+        nodes, copies, vectors = (np.asarray(batch.column(c)[r].values) for c in (4, 5, 6))
+        return Tile(nodes, copies, vectors.astype(np.float64).reshape(-1, dims))
+
+    def links(self, other: Tile, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, links, root) of the linked ones of both tiles: weighted counts and stars."""
+        same = self is other or np.array_equal(self.nodes, other.nodes)
+        n = len(self.nodes)
+        nodes = self.nodes if same else np.concatenate([self.nodes, other.nodes])
+        counts, roots = np.zeros(len(nodes)), np.arange(len(nodes))
+        for p, q in compare(self.vectors, other.vectors, axes, threshold):
+            counts[:n] += np.bincount(p, weights=other.copies[q] * ~(same & (p == q)), minlength=n)
+            if not same:
+                counts[n:] += np.bincount(q, weights=self.copies[p], minlength=len(other.nodes))
+                q = q + n
+            roots = local_roots(len(nodes), roots[p], roots[q])[roots]
+        some = counts > 0
+        return nodes[some], counts[some].astype(np.int64), nodes[roots[some]]
 
-    def step_of():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids_out, links_out, roots_out = [], [], []
-            for r in range(batch.num_rows):
-                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
-                ids_a, ids_b = (np.asarray(batch.column(c)[r].values) for c in (2, 5))
-                n_a, n_b = (np.asarray(batch.column(c)[r].values) for c in (3, 6))
-                a, b = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dims) for c in (4, 7))
-                p, q = compare(a, b, axes, threshold)
-                if same:
-                    off = p != q
-                    p, q = p[off], q[off]
-                count_a = np.bincount(p, weights=n_b[q], minlength=len(ids_a)).astype(np.int64)
-                ids, counts = ids_a, count_a
-                if not same:
-                    ids = np.concatenate([ids_a, ids_b])
-                    counts = np.concatenate([count_a, np.bincount(q, weights=n_a[p], minlength=len(ids_b)).astype(np.int64)])
-                    q = q + len(ids_a)
-                roots = local_roots(len(ids), p, q)
-                some = counts > 0
-                ids_out.append(ids[some])
-                links_out.append(counts[some])
-                roots_out.append(ids[roots[some]])
-            out = [np.concatenate(x) for x in (ids_out, links_out, roots_out)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "links", "root"])
 
-        return step
+def tile_links(tiles: DataFrame, pairs: DataFrame, axes: np.ndarray, dims: int, threshold: float) -> DataFrame:
+    """tiles: (tile, nodes, copies, vectors); pairs: (i, j), i <= j -> rows (node, links, root): partial counts and stars."""
+    unit_of = [F.floor(F.col("i") / HELD).alias("g"), F.floor(F.col("j") / PASSING).alias("s")]
+    load = [F.col(c) for c in ("nodes", "copies", "vectors")]
+    held = pairs.select(*unit_of, F.col("i").alias("tile")).distinct().join(tiles, "tile").select("g", "s", F.col("tile").alias("number"), F.lit(None).cast("array<bigint>").alias("meets"), *load)
+    passing = pairs.groupBy(*unit_of, F.col("j").alias("tile")).agg(F.collect_list("i").alias("meets"))  # HELD at most
+    passing = passing.join(tiles, "tile").select("g", "s", F.col("tile").alias("number"), "meets", *load)
+    dealt = held.unionByName(passing).repartition("g", "s").sortWithinPartitions("g", "s", F.col("meets").isNotNull(), "number")
 
-    left = tiles.select(F.col("tile").alias("i"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "copies", "vectors")])
-    right = tiles.select(F.col("tile").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "copies", "vectors")])
-    matched = pairs.join(left, "i").join(right, "j").select("i", "j", "ids_a", "copies_a", "vectors_a", "ids_b", "copies_b", "vectors_b")
-    return map_arrow(matched.repartition("i", "j"), step_of, "id long, links long, root long", rows=1)
+    def run(batches):
+        unit_at, own = None, {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = (batch.column(0)[r].as_py(), batch.column(1)[r].as_py())
+                if at != unit_at:
+                    unit_at, own = at, {}
+                tile, meets = Tile.of(batch, r, dims), batch.column(3)[r].as_py()
+                if meets is None:
+                    own[batch.column(2)[r].as_py()] = tile
+                    continue
+                for i in sorted(meets):
+                    found = own[i].links(tile, axes, threshold)
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "links", "root"])
+
+    return dealt.mapInArrow(run, "node long, links long, root long")
+
+
+def near_tiles(boxes: DataFrame, axes: int, reach: float) -> DataFrame:
+    """Pairs (i, j), i <= j, of tiles whose boxes come within the squared distance reach: groups of tiles first, then theirs."""
+
+    def close(left: str, right: str) -> Column:
+        gaps = [F.greatest(F.col(f"{left}.lo{k}") - F.col(f"{right}.hi{k}"), F.col(f"{right}.lo{k}") - F.col(f"{left}.hi{k}"), F.lit(0.0)) for k in range(axes)]
+        return sum(g * g for g in gaps) <= reach
+
+    grouped = boxes.withColumn("group", F.floor(F.col("tile") / GROUP))
+    spans = [f(f"{name}{k}").alias(f"{name}{k}") for k in range(axes) for name, f in (("lo", F.min), ("hi", F.max))]
+    groups = grouped.groupBy("group").agg(*spans)
+    met = groups.alias("a").join(groups.alias("b"), (F.col("a.group") <= F.col("b.group")) & close("a", "b")).select(F.col("a.group").alias("ga"), F.col("b.group").alias("gb"))
+    both = met.join(grouped.alias("a"), F.col("a.group") == F.col("ga")).join(grouped.alias("b"), (F.col("b.group") == F.col("gb")) & (F.col("a.tile") <= F.col("b.tile")) & close("a", "b"))
+    return both.select(F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
+
+
+def curve(heads: np.ndarray) -> np.ndarray:
+    """Places on a curve through the leading axes: bits of the coordinates (of unit vectors), interleaved from the highest."""
+    levels = ((np.clip(heads, -1, 1) + 1) / 2 * ((1 << CURVE_BITS) - 1)).astype(np.int64)
+    place = np.zeros(len(heads), dtype=np.int64)
+    for bit in range(CURVE_BITS - 1, -1, -1):
+        for k in range(heads.shape[1]):
+            place = place << 1 | (levels[:, k] >> bit & 1)
+    return place
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -142,60 +194,53 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n_links counts the other vectors with a cosine of threshold or more, component_id is the smallest id reachable by
     links, itself included, and kept marks the rows that carry it.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    fit = rows.filter(usable("vector"))
-    sizes = fit.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).withColumn("usable", F.coalesce(usable("vector"), F.lit(False)))
+    sizes = rows.filter("usable").groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
-        return finished(alone, id_col)
+        return finished(alone(rows), id_col)
     dims = int(sizes["d"])
-    fit = fit.filter(F.size("vector") == dims)
+    fits = F.col("usable") & (F.size("vector") == dims)
+    fit = rows.filter(fits)
     axes = principal_axes(fit, dims)
-    # equal vectors: one representative with the number of copies
-    key = F.xxhash64("vector")
-    grouped = fit.withColumn("key", key).groupBy("key", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # equal vectors: one node with the number of copies
+    digests = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(17), "vector").alias("h2")]
+    grouped = fit.select("id", "vector", *digests).groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     lead = axes[:, :BOX_AXES]
+    kind = "array<float>" if single else "array<double>"
 
     def place():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = unit(matrix(batch.column(2), dims)) @ lead
-            flat = pa.array(x.ravel())
-            heads = pa.FixedSizeListArray.from_arrays(flat, x.shape[1]).cast(pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), heads], ["rep", "copies", "vector", "head"])
+            heads = unit(matrix(batch.column(4), dims)) @ lead
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(heads.ravel()), heads.shape[1]).cast(pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*batch.columns, listed, pa.array(curve(heads))], ["h1", "h2", "least", "copies", "vector", "head", "place"])
 
         return step
 
-    placed = checkpoint(map_arrow(grouped.select("rep", "copies", "vector"), place, "rep long, copies long, vector array<double>, head array<double>", rows=4096))
+    placed = map_arrow(grouped.select("h1", "h2", "least", "copies", "vector"), place, f"h1 long, h2 long, least long, copies long, vector {kind}, head array<double>, place long", rows=4096)
+    placed = checkpoint(placed.withColumn("node", F.monotonically_increasing_id()))
     n_tiles = max(1, -(-total_rows(placed) // tile))
-    first = F.element_at("head", 1)
-    cuts = [k / n_tiles for k in range(1, n_tiles)]
-    bounds = placed.select(first.alias("first")).approxQuantile("first", cuts, 0.1 / n_tiles) if cuts else []
-    number = F.lit(0).cast("long")
-    if bounds:
-        number = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= first)).cast("long")
-    # a run of equal leading coordinates may overfill a tile: such tiles are split by the representatives' hash
-    loads = placed.withColumn("band", number).groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
-    tiled = placed.withColumn("band", number).join(F.broadcast(loads), "band").withColumn("tile", F.col("band") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # a run of equal places may overfill a range: what it holds is dealt into tiles of a bounded size by the nodes' hash
+    ranged = placed.repartitionByRange(n_tiles, "place", F.xxhash64("node")).withColumn("range", F.spark_partition_id())
     box = [f(F.element_at("head", k + 1)).alias(f"{name}{k}") for k in range(min(BOX_AXES, dims)) for name, f in (("lo", F.min), ("hi", F.max))]
-    listed = F.collect_list(F.struct("rep", "copies", "vector"))
-    tiles = checkpoint(tiled.groupBy("tile").agg(listed.alias("members"), *box))
-    packed = tiles.select("tile", F.col("members.rep").alias("ids"), F.col("members.copies").alias("copies"), F.flatten("members.vector").alias("vectors"))
-    boxes = tiles.drop("members")
-    other = boxes.select(*[F.col(c).alias(f"{c}_o") for c in boxes.columns])
-    gap = [F.greatest(F.col(f"lo{k}") - F.col(f"hi{k}_o"), F.col(f"lo{k}_o") - F.col(f"hi{k}"), F.lit(0.0)) for k in range(min(BOX_AXES, dims))]
-    reach = 2 - 2 * threshold + SLACK
-    pairs = boxes.join(F.broadcast(other), (F.col("tile") <= F.col("tile_o")) & (sum(g * g for g in gap) <= reach)).select(F.col("tile").alias("i"), F.col("tile_o").alias("j"))
+    listed = F.collect_list(F.struct("node", "copies", "vector"))
+    tiles = checkpoint(ranged.groupBy(F.col("range").cast("long").alias("tile")).agg(listed.alias("members"), *box))
+    packed = tiles.select("tile", F.col("members.node").alias("nodes"), F.col("members.copies").alias("copies"), F.flatten("members.vector").alias("vectors"))
+    pairs = near_tiles(tiles.drop("members"), min(BOX_AXES, dims), 2 - 2 * threshold + SLACK)
     found = checkpoint(tile_links(packed, pairs, axes, dims, threshold))
-    counts = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    reps = placed.select("rep", "copies").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    reps = reps.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    # back from representatives to rows: by the vector's hash and value
-    members = fit.select("id", "vector").withColumn("key", key).join(grouped.select("key", "vector", "rep"), ["key", "vector"]).select("id", "rep")
-    linked = members.join(reps, "rep").select("id", F.col("n_links").cast("long").alias("n_links"), "component_id")
-    rest = rows.join(members.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return finished(linked.unionByName(rest), id_col)
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
+    own = placed.select("h1", "h2", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    reps = own.join(named, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = fit.select("id", *digests).join(reps, ["h1", "h2"]).select("id", "n_links", "component_id")
+    return finished(linked.unionByName(alone(rows.filter(~fits))), id_col)
+
+
+def alone(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
 
 
 def finished(found: DataFrame, id_col: str) -> DataFrame:
-    return found.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return found.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -1,7 +1,11 @@
 """Operators over vectors, pages and conversations, and the pipeline."""
 
+import os
+import subprocess
+import sys
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -44,6 +48,37 @@ def test_embedding_links(spark, tile):
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k, _ in ODD)
 
 
+def test_embedding_ids_that_are_null_or_repeated(spark):
+    v, w = [1.0] * 16, [1.0, -1.0] * 8
+    rows = [(1, v), (None, v), (None, w), (3, w), (3, w), (None, [0.0] * 16), (None, None), (9, [2.0] * 16)]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in rows], "vec_id long, embedding array<double>, node long, place int")
+    got = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (None, 2, 1, False), (9, 2, 1, False), (None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (None, 0, None, False), (None, 0, None, False)], key=str)
+
+
+def test_a_tile_that_links_throughout_takes_bounded_memory():
+    """8192 near vectors have 33 million links: they are counted and joined a strip at a time."""
+    code = (
+        "import resource, numpy as np\n"
+        "from splinebrook.llm import embed_dedup as e\n"
+        "x = 1 + 0.1 * np.random.default_rng(0).standard_normal((8192, 64))\n"
+        "t = e.Tile(np.arange(8192), np.ones(8192, dtype=int), x)\n"
+        "nodes, links, roots = t.links(t, np.eye(64), 0.9)\n"
+        "assert (links == 8191).all() and (roots == 0).all()\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)\n"
+    )
+    root = str(Path(corpus_pipeline.__file__).parent)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, env=os.environ | {"PYTHONPATH": root})
+    assert int(out.stdout.split()[-1]) < 1_000_000
+
+
+def test_tiles_that_come_close():
+    rng = np.random.default_rng(0)
+    heads = rng.uniform(0.02, 1, (500, 8)) * rng.choice([-1, 1], (500, 8))
+    places = embed_dedup.curve(heads)
+    assert len(set(places.tolist())) > 490 and (embed_dedup.curve(np.sign(heads)) >> 48 == embed_dedup.curve(heads) >> 48).all()
+
+
 def exact(x, q, k):
     d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
     d[q] = np.inf
