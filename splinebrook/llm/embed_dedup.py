@@ -30,17 +30,19 @@ from .common import checkpoint, map_arrow, total_rows
 from .components import connected, local_roots
 
 THRESHOLD = 0.9
-#: Vectors of a tile; a pair of tiles of 64 doubles each is 8 MB.
-TILE = 8192
+#: Vectors of a tile; a pair of tiles of 64 doubles each is 4 MB.
+TILE = 4096
 #: Coordinates added at a time, and the axes on which tiles have boxes, with bits of a coordinate on the curve.
 STEPS = (16, 32)
 BOX_AXES = 8
 CURVE_BITS = 7
 #: Vectors of a tile compared with the other tile at a time.
 STRIP = 256
-#: Tiles that a unit of work holds, and tiles that pass by.
+#: Tiles that a unit of work holds, and tiles that pass by, at most; with few tiles also this part of them, so that there
+#: are units enough.
 HELD = 8
 PASSING = 64
+UNITS = 8
 #: Tiles whose boxes are joined into one before tiles are looked at.
 GROUP = 512
 #: Allowance for single precision in the bounds; decisions are made in double precision.
@@ -87,11 +89,14 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) ->
     suffix_u = [np.linalg.norm(u[:, c:], axis=1) for c in cuts]
     suffix_v = [np.linalg.norm(v[:, c:], axis=1) for c in cuts]
     least = np.float32(threshold - SLACK)
+    # the bound in one product: the suffix norm is one more coordinate
+    lead_u, lead_v = (np.hstack([w[:, : cuts[0]], n[0][:, None]]) for w, n in ((u, suffix_u), (v, suffix_v)))
+    lead_v = np.ascontiguousarray(lead_v.T)
     for start in range(0, len(u), STRIP):
         part = u[start : start + STRIP]
-        sums = part[:, : cuts[0]] @ v[:, : cuts[0]].T
-        i, j = np.nonzero(sums + suffix_u[0][start : start + STRIP, None] * suffix_v[0][None, :] >= least)
-        some = sums[i, j]
+        bounds = lead_u[start : start + STRIP] @ lead_v
+        i, j = np.divmod(np.flatnonzero(bounds >= least), len(v))
+        some = bounds[i, j] - suffix_u[0][start + i] * suffix_v[0][j]
         for k in range(1, len(cuts)):
             if not len(i):
                 break
@@ -135,9 +140,10 @@ class Tile:
         return nodes[some], counts[some].astype(np.int64), nodes[roots[some]]
 
 
-def tile_links(tiles: DataFrame, pairs: DataFrame, axes: np.ndarray, dims: int, threshold: float) -> DataFrame:
+def tile_links(tiles: DataFrame, pairs: DataFrame, axes: np.ndarray, dims: int, threshold: float, n_tiles: int) -> DataFrame:
     """tiles: (tile, nodes, copies, vectors); pairs: (i, j), i <= j -> rows (node, links, root): partial counts and stars."""
-    unit_of = [F.floor(F.col("i") / HELD).alias("g"), F.floor(F.col("j") / PASSING).alias("s")]
+    part = max(1, n_tiles // UNITS)
+    unit_of = [F.floor(F.col("i") / min(HELD, part)).alias("g"), F.floor(F.col("j") / min(PASSING, part)).alias("s")]
     load = [F.col(c) for c in ("nodes", "copies", "vectors")]
     held = pairs.select(*unit_of, F.col("i").alias("tile")).distinct().join(tiles, "tile").select("g", "s", F.col("tile").alias("number"), F.lit(None).cast("array<bigint>").alias("meets"), *load)
     passing = pairs.groupBy(*unit_of, F.col("j").alias("tile")).agg(F.collect_list("i").alias("meets"))  # HELD at most
@@ -228,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     tiles = checkpoint(ranged.groupBy(F.col("range").cast("long").alias("tile")).agg(listed.alias("members"), *box))
     packed = tiles.select("tile", F.col("members.node").alias("nodes"), F.col("members.copies").alias("copies"), F.flatten("members.vector").alias("vectors"))
     pairs = near_tiles(tiles.drop("members"), min(BOX_AXES, dims), 2 - 2 * threshold + SLACK)
-    found = checkpoint(tile_links(packed, pairs, axes, dims, threshold))
+    found = checkpoint(tile_links(packed, pairs, axes, dims, threshold, n_tiles))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
     own = placed.select("h1", "h2", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
