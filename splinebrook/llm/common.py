@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Rows whose texts a Python worker holds as Python strings at once.
 SLICE_ROWS = 256
-#: Bits of the filter that keeps untouched rows out of a shuffle: a broadcast of 8 MB at any input size.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps untouched rows out of a shuffle: so many for each member, 32 MB in all at most. Beyond
+#: about 10^8 members it lets through ever more rows, which the join that follows then settles.
+MEMBER_BITS = 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +87,16 @@ def total_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-def slot(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def maybe_in(df: DataFrame, key: str, members: DataFrame, hit: str = "hit") -> DataFrame:
+    """df with a boolean column `hit`: true for each row whose key is among members (one column), and for few others.
+
+    members is read twice, so it should be cheap to read.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (MEMBER_BITS * total_rows(members)).bit_length()))
 
+    def slot(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(bits))
 
-def maybe_in(df: DataFrame, key: str, members: DataFrame, hit: str = "hit") -> DataFrame:
-    """df with a boolean column `hit`: true for each row whose key is among members (one column), and for few others."""
     at = members.select(slot(members.columns[0]).alias("s"))
     bitmaps = at.groupBy(F.bitmap_bucket_number("s").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
     placed = df.withColumn("__slot", slot(key)).withColumn("__part", F.bitmap_bucket_number("__slot")).withColumn("__at", F.bitmap_bit_position("__slot"))

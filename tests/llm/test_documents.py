@@ -198,6 +198,51 @@ def test_substrings(spark, batches, seed):
     assert all(r["n_removed"] == len(w) - len(k.split()) for r, w, k in zip(got, lists, kept, strict=True))
 
 
+def passages(seed, n=40):
+    rng = np.random.default_rng(seed)
+    shared = [" ".join(rng.choice(list("abcdefgh"), 14)) for _ in range(4)]
+    texts = []
+    for _ in range(n):
+        words = [str(rng.choice(list("abcdefghij"))) + str(rng.integers(0, 40)) for _ in range(rng.integers(0, 40))]
+        at = int(rng.integers(0, len(words) + 1))
+        texts.append(" ".join([*words[:at], str(rng.choice(shared)) if rng.random() < 0.5 else "", *words[at:]]))
+    return [*texts, texts[3], None, "x " * 20]
+
+
+def test_index_fed_batch_after_batch(spark, tmp_path):
+    """Each batch through an index that is opened anew; the last row of each document is that of one call over all."""
+    texts = passages(5)
+    rng = np.random.default_rng(5)
+    order = rng.permutation(len(texts)).tolist()
+    lists, kept = slow_repeats(texts, 10)
+    rows = {}
+    for k in range(5):
+        some = order[k::5]
+        index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"), window=10, gram=3, buckets=4)
+        assert index.batches == k
+        got = index.dedupe(spark.createDataFrame([(i, texts[i]) for i in some], "doc_id long, text string")).collect()
+        assert len({r["doc_id"] for r in got}) == len(got) and {r["doc_id"] for r in got} >= set(some)
+        rows |= {r["doc_id"]: r for r in got}
+        seen = sorted(i for s in range(k + 1) for i in order[s::5])
+        so_far = dict(zip(seen, slow_repeats([texts[i] for i in seen], 10)[1], strict=True))
+        assert {i: r["kept"] for i, r in rows.items()} == so_far
+    assert [rows[i]["kept"] for i in range(len(texts))] == kept and [rows[i]["n_words"] for i in range(len(texts))] == [len(w) for w in lists]
+    # five batches: levels 2 and 0 are left of the runs
+    assert sorted(r["level"] for r in index.runs) == [0, 2]
+
+
+def test_a_batch_leaves_untouched_documents_alone(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10_000, 80)) for _ in range(30)]
+    index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"), buckets=4)
+    first = index.dedupe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert first.filter("n_removed > 0").count() == 0 and first.count() == 30
+    copy = "before " + " ".join(texts[7].split()[10:60]) + " after"
+    index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in index.dedupe(spark.createDataFrame([(100, copy), (101, "alone " * 3)], "doc_id long, text string")).collect()}
+    assert got == {100: (52, 50), 101: (3, 0), 7: (80, 50)}
+
+
 def test_language(spark, sf, docs):
     got = queries.op10_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
