@@ -2,6 +2,9 @@
 
 Each stage takes all documents that its predecessor kept and returns a table with the columns of documents, the last one
 the pieces of packed sequences. Between stages the table is written as Parquet and read again.
+
+Rows may have null or repeated ids, null, empty and very long texts, and repeat each other; a stage judges each by its text.
+Null and empty texts have no letter, so they go with the language stage. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splinebrook.llm import lang_id, packing, simhash, substring_dedup, toxicity
-from splinebrook.llm.common import maybe_in, read_table, scratch_path
+from splinebrook.llm.common import checkpoint, delete, maybe_in, read_table, scratch_path
 from splinebrook.llm.queries import remainder
 
 #: A document stays if its language has this share of it at least; an even mix of three languages has more.
@@ -43,7 +46,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row is judged by its own text: others that share its id, or have none either, are copies only if their texts are.
     """
-    verdicts = simhash.copies(docs).withColumn("__both", F.xxhash64("doc_id", "key"))
+    verdicts = checkpoint(simhash.copies(docs).withColumn("__both", F.xxhash64("doc_id", "key")))
     # the few that may have to go meet their verdicts in a join; the others stay where they are
     keyed = docs.withColumn("__key", simhash.text_key()).withColumn("__both", F.xxhash64("doc_id", "__key"))
     flagged = maybe_in(keyed, "__both", verdicts.select("__both"), hit="__hit")
@@ -79,9 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's table; what the stages before it wrote is deleted once it has been read."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
