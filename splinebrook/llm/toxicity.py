@@ -1,24 +1,31 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as a string of symbols: the lexical transducer turns each word into insult (with a weight), threat verb,
-intent, target, negation, reported speech or other. Small transducers for insults, threats, targets, negation and
-reported speech run composed over it; a match comes out with what its clause says about it (aimed at someone, negated,
-reported), and a document is scored by its matched clauses, not by its words.
+A clause is a string of words, and the grammar a cascade of transducers composed into one: what one puts out is what the
+next one reads. The lexical transducer turns words into insult, threat verb, intent, target, negation, reported speech,
+contrast or other, with a weight on each arc. The negation transducer marks what a negation reaches, the threat transducer
+keeps those threat verbs that an intent precedes, the report transducer marks what is reported up to a contrast, and the
+target transducer, which has to guess and is held to its guess at the clause's end, marks what is aimed at someone. The
+last tape holds the kinds of match; arcs of the kinds carry the learned weights that score a document by its matched
+clauses, not by its words.
 
 The insult lexicon (words, and stems that several such words share) is learned from labelled documents: what is found in
 clearly more toxic than clean ones, counted once for each group of near copies. The weights of the kinds of match are
-learned by logistic regression, pulled towards what the grammar means.
+learned by logistic regression, pulled towards what the grammar means. Ids that are labelled both ways are not learned
+from; a label that is repeated counts once.
 
-Null and empty texts hold no match and get the base score, as all texts without a match do.
+Null and empty texts hold no match and get the base score, as all texts without a match do. Texts are read whole, however
+long; repeated rows each get their score; an empty table gives no rows. Without labels to learn from the prior weights and
+the fixed word lists decide.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -57,84 +64,111 @@ REPORTS = frozenset("said says say called calls quoted quotes claimed claims wro
 INTENTS = frozenset("will gonna going shall 'll i'll we'll werde werden vais va allons voy vamos".split())
 THREATS = frozenset("kill hurt destroy beat shoot stab burn murder strangle töten umbringen schlagen verletzen tuer frapper brûler blesser matar golpear quemar herir".split())
 
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = "other insult threat intent target negation report".split()
-KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "negated threat", "reported threat")
+CONTRASTS = frozenset("but however although though aber doch jedoch mais pourtant pero sino aunque".split())
+
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, CONTRAST = "other insult threat intent target negation report contrast".split()
+MATCHES = (INSULT, THREAT)
+KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
 #: What the kinds mean before any label is seen: bias, then one weight for each kind.
-PRIOR = np.array([-3.0, 6.0, 1.0, 1.5, 2.0, 5.0, 0.5, 1.0])
+PRIOR = np.array([-3.0, 6.0, 1.0, 1.5, 2.0, 4.0, 1.5, 0.5, 1.0])
+
+#: (next state, output, weight)
+Arc = tuple[object, str, float]
 
 
+@dataclass(frozen=True)
 class Transducer:
-    """States and arcs; arc(state, symbol) gives the next state and an output or None."""
+    """States and arcs; arcs(state, symbol) may be several, and a string is accepted where it ends in a final state."""
+
+    start: tuple
+    arcs: Callable[[object, str], tuple[Arc, ...]]
+    final: Callable[[object], bool] = lambda state: True
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """Reads what first reads and puts out what second makes of what first puts out; weights multiply."""
+
+    @functools.lru_cache(maxsize=4096)
+    def arcs(state, symbol):
+        return tuple(((a, b), out, x * y) for a, middle, x in first.arcs(state[0], symbol) for b, out, y in second.arcs(state[1], middle))
 
-    def __init__(self, start, arc: Callable):
-        self.start, self.arc = start, arc
+    return Transducer(tuple((a, b) for a in first.start for b in second.start), arcs, lambda state: first.final(state[0]) and second.final(state[1]))
 
 
-def insults() -> Transducer:
-    return Transducer(0, lambda state, symbol: (0, "insult" if symbol == INSULT else None))
+def negation(reach: int = NEGATION_REACH) -> Transducer:
+    """Marks matches that a negation reaches; a second negation within reach undoes the first, a contrast ends it."""
+
+    def arcs(state, symbol):
+        if symbol == NEGATION:
+            return ((0 if state else reach + 1, OTHER, 1.0),)
+        marked = f"negated {symbol}" if state > 0 and symbol in MATCHES else symbol
+        return ((0 if symbol == CONTRAST else max(0, state - 1), marked, 1.0),)
+
+    return Transducer((0,), arcs)
 
 
 def threats() -> Transducer:
-    """Intent, then a threat verb within the clause."""
+    """Keeps threat verbs after an intent in the clause, negated or not; others are words like any other."""
 
-    def arc(state, symbol):
+    def arcs(state, symbol):
         if symbol == INTENT:
-            return 1, None
-        return state, "threat" if symbol == THREAT and state else None
+            return ((1, OTHER, 1.0),)
+        return ((state, symbol if state or not symbol.endswith(THREAT) else OTHER, 1.0),)
 
-    return Transducer(0, arc)
+    return Transducer((0,), arcs)
 
 
-def targets() -> Transducer:
-    return Transducer(0, lambda state, symbol: (1, "aimed") if symbol == TARGET or state else (0, None))
+def reports() -> Transducer:
+    """Marks matches between a verb of speech and the next contrast; what is negated stays so."""
 
+    def arcs(state, symbol):
+        if symbol in (REPORT, CONTRAST):
+            return ((int(symbol == REPORT), OTHER, 1.0),)
+        return ((state, f"reported {symbol}" if state and symbol in MATCHES else symbol, 1.0),)
 
-def negation(reach: int = NEGATION_REACH) -> Transducer:
-    """Counts down the words that a negation still reaches; a second negation within reach undoes the first."""
+    return Transducer((0,), arcs)
 
-    def arc(state, symbol):
-        if symbol == NEGATION:
-            return (0 if state else reach + 1), None
-        return max(0, state - 1), "negated" if state > 0 else None
-
-    return Transducer(0, arc)
 
+def targets() -> Transducer:
+    """Marks matches of a clause that names a target anywhere: it guesses, and a wrong guess is not accepted."""
 
-def reported() -> Transducer:
-    return Transducer(0, lambda state, symbol: (1, None) if symbol == REPORT else (state, "reported" if state else None))
+    def arcs(state, symbol):
+        guess, seen = state
+        seen = seen or symbol == TARGET
+        out = OTHER if symbol == TARGET else f"aimed {symbol}" if guess and symbol in MATCHES else symbol
+        return (((guess, seen), out, 1.0),)
 
+    return Transducer(((True, False), (False, False)), arcs, lambda state: state[0] == state[1])
 
-@dataclass
-class Composition:
-    """Transducers run side by side over one string; transitions are worked out when first met and kept."""
 
-    parts: tuple[Transducer, ...]
-    table: dict = field(default_factory=dict)
+def grammar(without: str = "") -> Transducer:
+    """The cascade from symbols to kinds of match; without: the name of a transducer to leave out."""
+    parts = [make() for make in (negation, threats, reports, targets) if make.__name__ != without]
+    return functools.reduce(compose, parts)
 
-    @property
-    def start(self) -> tuple:
-        return tuple(p.start for p in self.parts)
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, frozenset]:
-        key = (state, symbol)
-        known = self.table.get(key)
-        if known is None:
-            moves = [p.arc(s, symbol) for p, s in zip(self.parts, state, strict=True)]
-            known = self.table[key] = (tuple(m[0] for m in moves), frozenset(m[1] for m in moves if m[1]))
-        return known
+def accepted(machine: Transducer, symbols: Iterable[str]) -> np.ndarray:
+    """Weights of the matches on the one accepted path, summed by kind."""
+    paths = {state: np.zeros(len(KINDS)) for state in machine.start}
+    for symbol in symbols:
+        ahead = {}
+        for state, found in paths.items():
+            for after, out, weight in machine.arcs(state, symbol):
+                kind = KIND_OF.get(out)
+                if kind is not None:
+                    found = found.copy()
+                    found[kind] += weight
+                ahead[after] = found
+        paths = ahead
+    return next(found for state, found in paths.items() if machine.final(state))
 
 
-def grammar() -> Composition:
-    return Composition((insults(), threats(), targets(), negation(), reported()))
+KIND_OF = {kind: k for k, kind in enumerate(KINDS)}
 
 
-def kind_of(outputs: frozenset, aimed: bool) -> int | None:
-    """Number in KINDS of what a step puts out; being aimed at someone holds for the clause so far or to come."""
-    if "insult" in outputs:
-        return 2 if "negated" in outputs else 3 if "reported" in outputs else 1 if aimed else 0
-    if "threat" in outputs:
-        return 5 if "negated" in outputs else 6 if "reported" in outputs else 4
-    return None
+@functools.lru_cache(maxsize=1)
+def grammar_of_process() -> Transducer:
+    return grammar()
 
 
 @dataclass
@@ -143,6 +177,10 @@ class Model:
     stems: dict[str, float]
     weights: np.ndarray
 
+    def lexical(self) -> Transducer:
+        """One state, and an arc for each word."""
+        return Transducer((0,), lambda state, word: ((0, *self.symbol(word)),))
+
     def symbol(self, word: str) -> tuple[str, float]:
         weight = self.words.get(word)
         if weight is None:
@@ -152,49 +190,31 @@ class Model:
                     break
         if weight is not None:
             return INSULT, weight
-        for symbol, listed in ((NEGATION, NEGATIONS), (TARGET, TARGETS), (REPORT, REPORTS), (INTENT, INTENTS), (THREAT, THREATS)):
+        for symbol, listed in ((NEGATION, NEGATIONS), (TARGET, TARGETS), (REPORT, REPORTS), (INTENT, INTENTS), (THREAT, THREATS), (CONTRAST, CONTRASTS)):
             if word in listed:
                 return symbol, 1.0
-        return OTHER, 0.0
+        return OTHER, 1.0
 
-    def matches(self, text: str | None) -> np.ndarray:
+    def matches(self, text: str | None, cascade: Transducer | None = None) -> np.ndarray:
         """Summed weights of the matched clauses, for each kind."""
         out = np.zeros(len(KINDS))
         if not text:
             return out
         text = text.lower()
-        distinct = set(WORD.findall(text))
-        lexical = {w: s for w in distinct if (s := self.symbol(w))[0] != OTHER}
-        if not any(s[0] in (INSULT, THREAT) for s in lexical.values()):
+        telling = {w for w in set(WORD.findall(text)) if self.symbol(w)[0] in MATCHES}
+        if not telling:
             return out
-        fst = grammar_of_process()
-        nothing = (OTHER, 0.0)
+        machine = compose(self.lexical(), cascade or grammar_of_process())
         for clause in CLAUSE.split(text):
-            symbols = [lexical.get(w, nothing) for w in WORD.findall(clause)]
-            if not any(s[0] in (INSULT, THREAT) for s in symbols):
-                continue
-            aimed = any(s[0] == TARGET for s in symbols)
-            state = fst.start
-            for symbol, weight in symbols:
-                state, outputs = fst.step(state, symbol)
-                kind = kind_of(outputs, aimed)
-                if kind is not None:
-                    out[kind] += weight
+            words = WORD.findall(clause)
+            if not telling.isdisjoint(words):
+                out += accepted(machine, words)
         return out
 
     def score(self, matches: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.weights[0] + saturated(matches) @ self.weights[1:])))
 
 
-_GRAMMAR: list[Composition] = []
-
-
-def grammar_of_process() -> Composition:
-    if not _GRAMMAR:
-        _GRAMMAR.append(grammar())
-    return _GRAMMAR[0]
-
-
 def terms(text: str | None) -> set[str]:
     """The words of a text, and its stems written with a closing hyphen."""
     words = set(WORD.findall((text or "").lower()))
@@ -254,9 +274,10 @@ def learn_lexicon(labelled: DataFrame) -> tuple[dict[str, float], dict[str, floa
 
 
 def saturated(matches: np.ndarray) -> np.ndarray:
-    """Kinds as they are weighed: an aimed insult is an insult and more. The first match counts most; many approach 1."""
+    """Kinds as they are weighed: what is aimed is an insult or a threat, and more. The first match counts most; many approach 1."""
     matches = matches.copy()
     matches[:, 0] += matches[:, 1]
+    matches[:, 4] += matches[:, 5]
     return 1 - np.exp(-4 * matches)
 
 
@@ -279,7 +300,8 @@ def learn_weights(matches: np.ndarray, labels: np.ndarray, pull: float = 2.0, ro
 def train(docs: DataFrame, labels: DataFrame, is_training: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = SEED) -> Model:
     """Learn from at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows with is_training (over the id), drawn by a hash of it."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.join(docs.select(F.col(id_col).alias("id")).filter(is_training(F.col("id"))).distinct(), "id", "left_semi").distinct()
+    known = known.join(docs.select(F.col(id_col).alias("id")).filter(is_training(F.col("id"))).distinct(), "id", "left_semi")
+    known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("id", "toxic")
     drawn = [draw(known.filter(F.col("toxic") == value), most, F.col("id"), seed) for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     # at most 20 000 rows of two numbers
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("text", "toxic").persist()

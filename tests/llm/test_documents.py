@@ -308,18 +308,78 @@ def test_long_training_texts_are_learned_from(spark):
     assert names == ["en", "de", "fr"] and 0.55 < scores[0] < 0.68
 
 
+TOXIC = toxicity.Model({"idiot": 1.0}, {"blar": 1.0}, toxicity.PRIOR)
+
+
+def kinds(text, without=""):
+    return [toxicity.KINDS[k] for k in np.flatnonzero(TOXIC.matches(text, toxicity.grammar(without)))]
+
+
 def test_toxicity_grammar():
-    m = toxicity.Model({"idiot": 1.0}, {"blar": 1.0}, toxicity.PRIOR)
-    kinds = lambda t: [toxicity.KINDS[k] for k in np.flatnonzero(m.matches(t))]
     assert kinds("what an idiot") == ["insult"]
-    assert kinds("You are an idiot.") == ["aimed insult"]
+    assert kinds("You are an idiot.") == kinds("idiot that you are") == ["aimed insult"]
     assert kinds("You are not an idiot.") == ["negated insult"]
+    assert kinds("You are not what one calls a bright person, idiot") == ["reported insult"]
+    assert kinds("Not that bright, but an idiot") == ["insult"]
     assert kinds("She said: nothing. He said the idiot left") == ["reported insult"]
+    assert kinds("It said that it was late but the idiot left") == ["insult"]
     assert kinds("blarfoo here") == ["insult"]
-    assert kinds("I will kill you") == ["threat"] and kinds("I will not kill you") == ["negated threat"] and kinds("they kill time") == []
+    assert kinds("I will kill you") == ["aimed threat"] and kinds("I will kill time") == ["threat"]
+    assert kinds("I will not kill you") == ["negated threat"] and kinds("they kill time") == []
+    assert kinds("They said they will kill") == ["reported threat"]
     assert kinds(None) == kinds("") == []
 
 
+@pytest.mark.parametrize(
+    ("without", "text"),
+    [("negation", "You are not an idiot."), ("threats", "they kill time"), ("reports", "He said the idiot left"), ("targets", "You are an idiot.")],
+)
+def test_each_transducer_counts(without, text):
+    assert kinds(text, without) != kinds(text)
+    scores = [TOXIC.score(np.array([TOXIC.matches(text, toxicity.grammar(w))]))[0] for w in ("", without)]
+    assert abs(scores[0] - scores[1]) > 0.01
+
+
+def slow_kinds(symbols):
+    """The grammar by its meaning, a match at a time."""
+    out = np.zeros(len(toxicity.KINDS))
+    aimed = "target" in symbols
+    for k, symbol in enumerate(symbols):
+        if symbol not in ("insult", "threat") or (symbol == "threat" and "intent" not in symbols[:k]):
+            continue
+        reach = 0
+        for s in symbols[:k]:
+            reach = (0 if reach else toxicity.NEGATION_REACH + 1) if s == "negation" else 0 if s == "contrast" else max(0, reach - 1)
+        spoken = [s for s in symbols[:k] if s in ("report", "contrast")]
+        mark = "negated " if reach else "reported " if spoken[-1:] == ["report"] else "aimed " if aimed else ""
+        out[toxicity.KINDS.index(mark + symbol)] += 1
+    return out
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from("other insult threat intent target negation report contrast".split()), max_size=14))
+def test_composed_grammar_means_what_it_says(symbols):
+    assert (toxicity.accepted(toxicity.grammar(), symbols) == slow_kinds(symbols)).all()
+
+
+def test_toxicity_held_out(spark):
+    """Held-out labels of the sf0.1 documents, some of which are wrong: toxic ones found, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.op6_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
+    assert np.mean([r["predicted"] for r in toxic]) > 0.9 and np.mean([r["predicted"] for r in clean]) < 0.02
+    assert np.mean([[(a["score"] > b["score"]) + (a["score"] == b["score"]) / 2 for a in toxic] for b in clean]) > 0.95
+
+
+def test_contradictory_labels_are_left_out(spark):
+    docs = spark.createDataFrame([(k, "you moron" if k < 20 else "a fine day") for k in range(60)], "doc_id long, text string")
+    sure = [(k, int(k < 20)) for k in range(60)]
+    want = toxicity.train(docs.filter("doc_id <> 3"), spark.createDataFrame(sure, "doc_id long, toxic int"), lambda i: i >= 0)
+    got = toxicity.train(docs, spark.createDataFrame([*sure, (3, 0), (5, 1), (5, None)], "doc_id long, toxic int"), lambda i: i >= 0)
+    assert got.words == want.words and np.allclose(got.weights, want.weights)
+
+
 def test_toxicity_learns(spark):
     name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:04d}")
     clean = [f"it was a fine day in {name(k)}stadtteil you know" for k in range(120)]
