@@ -1,17 +1,20 @@
 """SimHash near-duplicates: fingerprints, and links within a Hamming radius by bit-sliced comparison.
 
 A fingerprint bit is 1 if it is set in more than half of the hashes of the document's word shingles. Equal fingerprints
-are collapsed first. For a radius r the 64 bits are cut into r + 1 blocks, so two fingerprints within the radius agree on
-one block at least: each block's value is a bucket key, and what agrees on a block is compared in tiles of a bounded
-size. A tile's fingerprints are stored as 64 vertical bit planes (one bit of every fingerprint in a row of machine
-words); a query's distances to all of them are counted at once by carry-save adders, and a block of words is abandoned
-as soon as all its counters exceed the radius. Only a spanning star of what links is kept, never all pairs.
-
-Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows share a fingerprint.
+are collapsed first. For a radius r the 64 bits are cut into r + 2 blocks, so two fingerprints within the radius agree on
+two blocks at least: the values of each two blocks are a bucket key (26 bits for a radius of 3, so that 10^10 fingerprints
+fill buckets of hundreds), and what agrees on a key is compared in tiles of a bounded size. A tile's fingerprints are stored
+as 64 vertical bit planes (one bit of every fingerprint in a row of machine words); a query's distances to all of them are
+counted at once by carry-save adders, and a block of words is abandoned as soon as all its counters exceed the radius. Only
+a spanning star of what links is kept, never all pairs.
+
+Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows share a fingerprint. Texts are
+read whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,17 +136,15 @@ def above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def linked(left: np.ndarray, right: np.ndarray, radius: int, queries: int = 64, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def linked(left: np.ndarray, right: np.ndarray, radius: int, queries: int = 64, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into left, into right) within the radius; a block of queries against a block of planes at a time."""
-    found_l, found_r = [], []
     for b in range(0, len(right), block):
         sliced = planes(right[b : b + block])
         n = len(right[b : b + block])
         for a in range(0, len(left), queries):
             x, y = np.nonzero(within(left[a : a + queries], sliced, radius)[:, :n])
-            found_l.append(x + a)
-            found_r.append(y + b)
-    return (np.concatenate(found_l), np.concatenate(found_r)) if found_l else (np.zeros(0, int), np.zeros(0, int))
+            if len(x):
+                yield x + a, y + b
 
 
 def star(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +207,12 @@ def compare(run: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int) ->
         if small[start]:
             continue
         part, at = fps[start : start + size], side[start : start + size]
-        a, b = (part, part) if at[0] == 2 else (part[at == 0], part[at == 1])
-        x, y = linked(a, b, radius)
-        left.append(a[x])
-        right.append(b[y])
+        a, b = (np.arange(size),) * 2 if at[0] == 2 else (np.flatnonzero(at == 0), np.flatnonzero(at == 1))
+        roots = np.arange(size)
+        for x, y in linked(part[a], part[b], radius):
+            roots = local_roots(size, roots[a[x]], roots[b[y]])[roots]
+        left.append(part)
+        right.append(part[roots])
     return star(np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
 
@@ -224,14 +227,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     distinct: one column fp. Buckets of more than `tile` fingerprints are cut into tiles, and the tiles of a bucket are
     compared pair by pair, each pair a unit of work of its own, so that no bucket meets in one task.
     """
-    cuts = np.linspace(0, 64, radius + 2).astype(int)
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1)).alias("value")) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+    cuts = np.linspace(0, 64, radius + 3).astype(int)
+    values = [F.shiftrightunsigned("fp", int(lo)).bitwiseAND(F.lit((1 << int(hi - lo)) - 1)) for lo, hi in itertools.pairwise(cuts)]
+    widths = np.diff(cuts).tolist()
+    both = [(F.shiftleft(values[i], widths[j]) + values[j]) for i, j in itertools.combinations(range(len(values)), 2)]
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(both)])
     keyed = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.block", "key.value")
     sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tiled = keyed.join(sizes, ["block", "value"]).withColumn("tiles", F.ceil(F.col("n") / tile)).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
-    unit = pairs.select((F.col("block") * (1 << 32) + F.col("value")).alias("bucket"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.cast("long").alias("side"), "fp")
+    unit = pairs.select((F.col("block") * (1 << 48) + F.col("value")).alias("bucket"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.cast("long").alias("side"), "fp")
     dealt = unit.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):

@@ -160,8 +160,22 @@ def test_bit_sliced_distances(radius):
     fps = np.array([x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 8), replace=False))) for x in np.repeat(base, 6)], dtype=np.uint64)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
     assert (simhash.within(fps, simhash.planes(fps), radius)[:, : len(fps)] == near).all()
-    x, y = simhash.linked(fps, fps, radius, queries=7, block=33)
-    assert set(zip(x.tolist(), y.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(near))))
+    found = {pair for x, y in simhash.linked(fps, fps, radius, queries=7, block=33) for pair in zip(x.tolist(), y.tolist(), strict=True)}
+    assert found == set(zip(*(v.tolist() for v in np.nonzero(near))))
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+def test_buckets_miss_no_link(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    fps = np.unique([x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for x in np.repeat(base, 8)])
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    want = slow_components(len(fps), [(i, j) for i, j in zip(*np.nonzero(near)) if i < j])
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    for tile in (3, 4096):
+        stars = [tuple(r) for r in simhash.links(df, radius, tile).collect()]
+        at = {int(f): k for k, f in enumerate(fps.view(np.int64))}
+        assert slow_components(len(fps), [(at[a], at[b]) for a, b in stars]) == want
 
 
 def test_simhash_odd_rows(odd_docs):
