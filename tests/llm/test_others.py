@@ -99,14 +99,25 @@ def test_neighbours_whole_table(spark, sf):
     assert hits / total >= 0.9
 
 
-def test_neighbours_recall_in_parts(spark):
+@pytest.mark.parametrize(("parts", "leaf"), [(16, 1000), (4, 120)])
+def test_neighbours_recall_in_parts(spark, parts, leaf):
+    """One level of routers, and several; a third of the rows are one vector, which no router can cut."""
     rng = np.random.default_rng(4)
     x = (rng.standard_normal((12, 16))[rng.integers(0, 12, 3000)] * 2 + rng.standard_normal((3000, 16))).astype(np.float32).astype(float)
-    router = ann.fit(x[:2000])
-    assert 1 < router.probes < 16
-    got = ann.search(vectors(spark, x), F.col("vec_id") % 100 == 0).collect()
-    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(exact(x, q, 10)[0].tolist())) for q in range(0, 3000, 100))
-    assert hits / 300 >= 0.9
+    for rows in (x, np.vstack([x, np.repeat(x[:1] + 9, 1500, axis=0)])):
+        df = vectors(spark, rows).withColumn("node", F.lit(1)).withColumn("query", F.lit(0))
+        index = ann.grow(df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), 16, len(rows), parts, leaf, 10, 4096, 1)
+        nodes = index.homes(rows)
+        assert len(index.routers) > (1 if parts == 4 else 0) and max(np.bincount(nodes[:3000])) <= 2 * leaf
+        got = ann.search(df, F.col("vec_id") % 100 == 0, parts=parts, leaf=leaf).collect()
+        asked = range(0, len(rows), 100)
+        hits = 0
+        for q in asked:
+            want, d = exact(rows, q, 10)
+            own = [r for r in got if r["query_id"] == q]
+            assert len(own) == 10 and all(r["score"] == pytest.approx(d[r["vec_id"]], abs=1e-9) for r in own)
+            hits += sum(r["score"] <= d[want[-1]] + 1e-12 for r in own)
+        assert hits / (10 * len(asked)) >= 0.9
 
 
 def test_neighbours_odd(spark):
