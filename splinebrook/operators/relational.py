@@ -81,10 +81,11 @@ def event_features(series: DataFrame, keys: list[str], n: int, segments: list[tu
 
 
 def connectivity(series: DataFrame, subject: str, rois: list[str], column: str = "y") -> DataFrame:
-    """Rows (subject, roi_i, roi_j, r): the upper triangle of each subject's region correlations, from one row a subject."""
+    """Rows (subject, roi_i, roi_j, r, present): the upper triangle of each subject's region correlations, from one row a
+    subject; present: the subject has both regions."""
     wide = series.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct("roi", column))).alias("m"))
-    pairs = [F.struct(F.lit(a).alias("roi_i"), F.lit(b).alias("roi_j"), pearson(F.col("m")[a], F.col("m")[b]).alias("r")) for a, b in combinations(rois, 2)]
-    return wide.select(subject, F.explode(F.array(*pairs)).alias("p")).select(subject, "p.roi_i", "p.roi_j", "p.r")
+    pairs = [F.struct(F.lit(a).alias("roi_i"), F.lit(b).alias("roi_j"), pearson(F.col("m")[a], F.col("m")[b]).alias("r"), (F.map_contains_key("m", F.lit(a)) & F.map_contains_key("m", F.lit(b))).alias("present")) for a, b in combinations(rois, 2)]
+    return wide.select(subject, F.explode(F.array(*pairs)).alias("p")).select(subject, "p.roi_i", "p.roi_j", "p.r", "p.present")
 
 
 def feature_layout(n_features: int, n_roi: int, kind: str = "flat", split: int = 0, blocks: int = 8) -> list[tuple[int, int, int, int]]:
@@ -99,6 +100,23 @@ def feature_layout(n_features: int, n_roi: int, kind: str = "flat", split: int =
     return out
 
 
+def layout_columns(feature: Column, n_roi: int, split: int = 0, kind: str = "flat", blocks: int = 8) -> list[Column]:
+    """roi, experiment, and volume or block of a feature's number, as feature_layout has them."""
+    if kind == "flat":
+        t = F.floor(feature / n_roi)
+        return [(feature % n_roi).alias("roi"), F.when(t < split, 1).otherwise(2).alias("experiment"), F.when(t < split, t).otherwise(t - split).alias("block")]
+    return [(feature % n_roi).alias("roi"), (F.floor(feature / (blocks * n_roi)) + 1).alias("experiment"), (F.floor(feature / n_roi) % blocks).alias("block")]
+
+
+def infer_layout(n_features: int, n_roi: int, n_volumes: int, blocks: int = 8, experiments: int = 2) -> str:
+    """Which layout a vector of so many features has: "flat" volumes, or "blocks" of each experiment; an error if neither."""
+    kinds = {"flat": n_roi * n_volumes, "blocks": n_roi * blocks * experiments}
+    fits = [kind for kind, n in kinds.items() if n == n_features]
+    if len(fits) != 1:
+        raise ValueError(f"{n_features} features fit {fits or 'no'} layout of {n_roi} regions")
+    return fits[0]
+
+
 def flattened(series: DataFrame, keys: list[str], rois: list[str], n: int, column: str = "y") -> DataFrame:
     """Rows (*keys, x array<double>): volumes one after another, within a volume the regions in the given order."""
     wide = series.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("roi", column))).alias("m"))
@@ -139,8 +157,26 @@ def bh_fdr(df: DataFrame, p: str, order: list[str], keys: list[str] | None = Non
     return raw.withColumn("q", F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw")
 
 
+def running_below(values: DataFrame, by: str, amount: str, pieces: int = 64) -> DataFrame:
+    """values, one row for each value of by -> with below, the sum of amount over all smaller ones.
+
+    The values are cut at approximate quantiles; each piece has a window of its own, and what lies below a piece is a sum of
+    at most `pieces` numbers, so no task sees all rows.
+    """
+    cuts = sorted(set(values.approxQuantile(by, [k / pieces for k in range(1, pieces)], 0.25 / pieces)))
+    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    placed = values.withColumn("_piece", piece)
+    totals = {r["_piece"]: r["t"] for r in placed.groupBy("_piece").agg(F.sum(amount).alias("t")).collect()}
+    lower = F.array(*[F.lit(sum(t for k, t in totals.items() if k < p)) for p in range(len(cuts) + 1)])
+    within = F.sum(amount).over(Window.partitionBy("_piece").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("below", F.element_at(lower, F.col("_piece") + 1) + F.coalesce(within, F.lit(0))).drop("_piece")
+
+
 def mid_ranks(df: DataFrame, value: str, keys: list[str], out: str = "mid_rank") -> DataFrame:
-    """Ranks with ties at their mean."""
+    """Ranks with ties at their mean; without keys over all rows, by way of the distinct values."""
+    if not keys:
+        counts = running_below(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), value, "_n")
+        return df.join(counts.select(value, (F.col("below") + (F.col("_n") + 1) / 2.0).alias(out)), value)
     w = Window.partitionBy(*keys)
     first = F.rank().over(w.orderBy(value))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
@@ -174,8 +210,7 @@ def classification_metrics(df: DataFrame, y: str, predicted: str, score: str) ->
     hit = lambda a, b: F.sum(F.when((F.col(y) == a) & (F.col(predicted) == b), 1).otherwise(0)).cast("long")
     counts = df.agg(F.count(F.lit(1)).alias("n"), hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
     values = df.groupBy(score).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = values.withColumn("w", F.col("pos") * (below + F.col("neg") / 2.0)).agg((F.sum("w") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = running_below(values, score, "neg").withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).agg((F.sum("w") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     return counts.crossJoin(auc).withColumn("accuracy", (F.col("tn") + F.col("tp")) / F.col("n")).withColumn("balanced_accuracy", (F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2)
 
 

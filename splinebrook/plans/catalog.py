@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.basis import basis, lambdas, penalty, times
-from ..operators import fpca, learning, relational as R, rsa, similarity as S, timeseries as T
+from ..functions.basis import basis, evaluate, knots, lambdas, penalty, times
+from ..operators import classify, fpca, learning, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,12 +292,20 @@ def f10_l2_normalise(spark, d):
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) + 0.0 AS mean_value, bool_or(y <= 0) AS any_not_positive, bool_or(y <= -1e-6) AS any_negative FROM ({LONG})")
-def a25_eigen_stats(spark, d):
-    """Mean and sign statistics over all values (as they are made over lists of eigenvalues)."""
+def a25_value_stats(spark, d):
+    """Mean and sign statistics over all values."""
     v = F.col("v")
     return tab.signals(spark, d).select(F.explode("y").alias("v")).agg(F.count("v").alias("n"), r6(F.avg(v), "mean_value"), F.bool_or(v <= 0).alias("any_not_positive"), F.bool_or(v <= -1e-6).alias("any_negative"))
 
 
+@query(f"WITH m AS (SELECT t, avg(y) AS m FROM ({LONG}) GROUP BY t) SELECT CAST({VOLUMES} AS BIGINT) AS n, round(sum((y - m) * (y - m)) / count(DISTINCT voxel_id) / {VOLUMES}, 6) + 0.0 AS mean_eigenvalue, false AS any_negative FROM ({LONG}) l JOIN m ON m.t = l.t")
+def a25_eigen_stats(spark, d):
+    """Statistics of all eigenvalues of the signals' covariance: their mean is the trace's share, and none is negative."""
+    values = fpca.FpcaModel.fit(tab.signals(spark, d), VOLUMES, column="y").values
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    return rows.agg(F.count("v").alias("n"), r6(F.avg("v"), "mean_eigenvalue"), F.bool_or(F.col("v") <= -1e-6).alias("any_negative"))
+
+
 @query(f"SELECT round(quantile_cont(abs(y), 0.95), 6) + 0.0 AS p95 FROM ({LONG})")
 def a29_percentile(spark, d):
     return tab.signals(spark, d).select(F.explode("y").alias("v")).agg(r6(F.expr("percentile(abs(v), 0.95D)"), "p95"))
@@ -370,6 +379,63 @@ def u2_reversed_stack(spark, d):
     return s.select("voxel_id", "flipped", r6(F.aggregate(y, F.lit(0.0), lambda a, x: a + x), "total"))
 
 
+# --- the spline basis at the events' hours ------------------------------------------------------------------------------
+
+_HOUR = "(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 3600.0"
+
+
+def _basis_sql() -> str:
+    """Cox-de Boor's recursion on K clamped functions over a day, level by level."""
+    inner = K - DEGREE
+    knots = f"list_concat(list_concat([0.0::DOUBLE FOR i IN range({DEGREE})], [i * 24.0::DOUBLE / {inner} FOR i IN range({inner + 1})]), [24.0::DOUBLE FOR i IN range({DEGREE})])"
+    level = f"SELECT event_id, x, kn, [CASE WHEN kn[j + 1] <= x AND x < kn[j + 2] THEN 1.0::DOUBLE ELSE 0.0 END FOR j IN range({K + DEGREE})] AS b FROM (SELECT event_id, CAST({_HOUR} AS DOUBLE) AS x, {knots} AS kn FROM events)"
+    for p in range(1, DEGREE + 1):
+        left = f"CASE WHEN kn[j + {p + 1}] > kn[j + 1] THEN (x - kn[j + 1]) / (kn[j + {p + 1}] - kn[j + 1]) * b[j + 1] ELSE 0.0 END"
+        right = f"CASE WHEN kn[j + {p + 2}] > kn[j + 2] THEN (kn[j + {p + 2}] - x) / (kn[j + {p + 2}] - kn[j + 2]) * b[j + 2] ELSE 0.0 END"
+        level = f"SELECT event_id, x, kn, [{left} + {right} FOR j IN range({K + DEGREE - p})] AS b FROM ({level})"
+    return f"SELECT event_id, b FROM ({level})"
+
+
+_BASIS = f"SELECT event_id, unnest(range({K})) AS k, unnest(b) AS v FROM ({_basis_sql()})"
+
+
+def _event_basis(spark, d):
+    """event_id, b: the values of all basis functions at the event's hour of the day."""
+    hour = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 3600.0
+    events = tab.table(spark, d, "events").select("event_id", F.array(hour).alias("hour"))
+    knot = knots(0.0, 24.0, K, DEGREE)
+    return fpca.map_series(events, "hour", "b array<double>", lambda x: (fpca.as_lists(evaluate(x[:, 0], knot, DEGREE)),))
+
+
+@query(f"SELECT event_id, CAST(k AS BIGINT) AS k, round(v, 9) + 0.0 AS value FROM ({_BASIS}) WHERE round(v, 9) > 0")
+def n1_basis_matrix(spark, d):
+    """The basis functions that are not zero at each event's hour."""
+    rows = _event_basis(spark, d).select("event_id", F.posexplode("b").alias("k", "v"))
+    return rows.select("event_id", F.col("k").cast("long").alias("k"), r6("v", "value", 9)).filter("value > 0")
+
+
+@query(f"SELECT event_id, round(sum(v), 9) + 0.0 AS total FROM ({_BASIS}) GROUP BY event_id")
+def n1_partition_of_unity(spark, d):
+    return _event_basis(spark, d).select("event_id", r6(F.aggregate("b", F.lit(0.0), lambda a, v: a + v), "total", 9))
+
+
+@query(f"SELECT a.k AS i, b.k AS j, round(sum(a.v * b.v), 4) + 0.0 AS g FROM ({_BASIS}) a JOIN ({_BASIS}) b ON a.event_id = b.event_id GROUP BY ALL")
+def a4_gram_basis(spark, d):
+    """The Gram matrix of the basis over all events' hours."""
+    _, _, gram = fpca.moments(_event_basis(spark, d), "b")
+    rows = [(i, j, float(gram[i, j])) for i in range(K) for j in range(K)]
+    return spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", r6("v", "g", 4))
+
+
+@query(f"SELECT event_id, CASE WHEN dayofmonth(ts) - 1 + {_HOUR} / 24 BETWEEN 12 AND 15.5 OR dayofmonth(ts) - 1 + {_HOUR} / 24 BETWEEN 20 AND 21 THEN 1 ELSE 0 END AS reg FROM events")
+def t5_boxcar(spark, d):
+    """Whether each event lies in one of two boxcars (day 10 with lag 2 and duration 3.5; day 20 with duration 1)."""
+    hour = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 3600.0
+    t = F.dayofmonth("ts") - 1 + hour / 24
+    inside = (T.boxcar(t, 12.0, 3.5) == 1) | (T.boxcar(t, 20.0, 1.0) == 1)
+    return tab.table(spark, d, "events").select("event_id", F.when(inside, 1).otherwise(0).alias("reg"))
+
+
 # --- similarity and peaks -------------------------------------------------------------------------------------------
 
 _ROI_SERIES = f"SELECT roi, t, avg(y) AS y FROM ({LONG}) GROUP BY ALL"
@@ -588,8 +654,9 @@ def a10_event_features(spark, d):
 
 @query(f"SELECT a.user_id, a.roi AS roi_i, b.roi AS roi_j, round(CASE WHEN isnan(corr(a.y, b.y)) THEN NULL ELSE corr(a.y, b.y) END, 6) + 0.0 AS r FROM ({EVR}) a JOIN ({EVR}) b ON a.user_id = b.user_id AND a.t = b.t AND a.roi < b.roi GROUP BY ALL")
 def a10_connectivity(spark, d):
+    """Correlations of the regions that a subject has."""
     f = R.connectivity(tab.subject_regions(spark, d), "user_id", ["click", "error", "purchase", "signup", "view"])
-    return f.filter("r IS NOT NULL OR true").join(tab.subject_regions(spark, d).groupBy("user_id").agg(F.collect_set("roi").alias("rois")), "user_id").filter(F.array_contains("rois", F.col("roi_i")) & F.array_contains("rois", F.col("roi_j"))).select("user_id", "roi_i", "roi_j", r6("r", "r"))
+    return f.filter("present").select("user_id", "roi_i", "roi_j", r6("r", "r"))
 
 
 @query(f"SELECT subject, CAST(t * 6 + r.k AS BIGINT) AS feature, round(y, 4) + 0.0 AS x FROM ({RS}) s JOIN (SELECT unnest(['AF','AO','NF','NO','RF','RO']) AS roi, unnest(range(6)) AS k) r ON r.roi = s.roi")
@@ -599,6 +666,15 @@ def f7_flatten(spark, d):
     return x.select("subject", F.posexplode("x").alias("k", "v")).select("subject", F.col("k").cast("long").alias("feature"), r6("v", "x", 4))
 
 
+@query(f"SELECT CAST(t * 6 + r.k AS BIGINT) AS feature, CAST(r.k AS BIGINT) AS roi, CASE WHEN t < 14 THEN 1 ELSE 2 END AS experiment, CAST(t % 14 AS BIGINT) AS block, round(avg(y), 4) + 0.0 AS mean_value FROM ({RS}) s JOIN (SELECT unnest(['AF','AO','NF','NO','RF','RO']) AS roi, unnest(range(6)) AS k) r ON r.roi = s.roi GROUP BY t, r.k")
+def f8_feature_layout(spark, d):
+    """Where each feature of the flattened vectors comes from, with its mean over subjects."""
+    x = R.flattened(tab.region_series(spark, d), ["subject"], list(tab.REGIONS), tab.QUARTERS)
+    kind = R.infer_layout(len(tab.REGIONS) * tab.QUARTERS, len(tab.REGIONS), tab.QUARTERS)
+    means = x.select(F.posexplode("x").alias("feature", "v")).groupBy(F.col("feature").cast("long").alias("feature")).agg(F.avg("v").alias("m"))
+    return means.select("feature", *R.layout_columns(F.col("feature"), len(tab.REGIONS), tab.HALF, kind), r6("m", "mean_value", 4))
+
+
 _FEATURES = f"SELECT CAST(t AS BIGINT) AS feature, roi AS label, y AS value FROM ({LONG})"
 
 
@@ -658,8 +734,8 @@ def r8_rsa_rho(spark, d):
     dist = rsa.correlation_distance(tab.subject_days(spark, d), "user_id", "y").withColumn("d", F.round("d", 9))
     la = _labels(spark, d)
     a, b = la.select(F.col("id").alias("i"), F.col("label").alias("la")), la.select(F.col("id").alias("j"), F.col("label").alias("lb"))
-    p = dist.join(a, "i").join(b, "j").select("d", F.when(F.col("la") != F.col("lb"), 1.0).otherwise(0.0).alias("m"), F.lit(0).alias("g"))
-    return S.spearman(p, "d", "m", ["g"]).select(r6("rho", "rho"))
+    p = dist.join(a, "i").join(b, "j").select("d", F.when(F.col("la") != F.col("lb"), 1.0).otherwise(0.0).alias("m"))
+    return S.spearman(p, "d", "m", []).select(r6("rho", "rho"))
 
 
 @query()
@@ -714,6 +790,21 @@ def m9_nested_cv(spark, d):
     return learning.nested_cv(spark, x, ids, pairs, ["LR", "DTree"], {"LR": [{"k": 10}, {"k": 20}]}, k=3).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
 
 
+@query()
+def m13_test_evaluation(spark, d):
+    """Stored models of two pairs of segments on the subjects that they were not trained on (days as features)."""
+    days = tab.subject_days(spark, d).select(F.col("user_id").alias("id"), F.col("y").alias("x"))
+    groups = tab.metadata(spark, d).select(F.col("sub_id").alias("id"), F.col("instrument_group").alias("group"), "is_train_set")
+    root = spark.sparkContext.getConf().get("spark.sql.warehouse.dir", spark.conf.get("spark.sql.warehouse.dir"))
+    root = f"{root}/pair_models_{uuid.uuid4().hex}"
+    pairs, models = [PAIR, ("AUTOMOBILE", "HOUSEHOLD")], ["LR", "DTree"]
+    classify.train_all(days, groups.filter("is_train_set = 1"), pairs, models, root, "first", k=10)
+    found = classify.evaluate_all(days, groups.filter("is_train_set = 0"), pairs, models, root)
+    if found is None:
+        return spark.createDataFrame([], "pair string, ml_model string, n long, balanced_accuracy double, auc double")
+    return found.select("pair", "ml_model", "n", r6("balanced_accuracy", "balanced_accuracy"), r6("auc", "auc"))
+
+
 @query()
 def m10_permutation_p(spark, d):
     """p of the cross-validated accuracy of logistic regression under shuffled labels, for each pair."""

@@ -1,12 +1,13 @@
 """Streams of new series: fits against a prepared basis, and group moments that grow batch by batch.
 
-Both go beyond batch use. Fits have no state, so any stream will do; moments are sums, so each micro-batch adds its own.
+Both go beyond batch use. Fits have no state, so any stream will do; moments are sums, so each micro-batch writes its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.basis import Smoother
@@ -19,25 +20,31 @@ def fit_stream(series: DataFrame, smoother: Smoother, grid: np.ndarray | None =
 
 
 class RunningMoments:
-    """Number, sum and outer products of coefficients over all batches seen. A batch that comes again is left out."""
+    """Number, sum and outer products of coefficients over all batches seen, in a folder with a table for each batch.
 
-    def __init__(self, column: str = "c"):
-        self.column, self.n, self.total, self.outer, self.last = column, 0, None, None, -1
+    A batch that comes again after a failure overwrites its own table, and a restart finds the others: nothing is kept in
+    the driver's memory only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, column: str = "c"):
+        self.spark, self.path, self.column = spark, path, column
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last:
-            return
         n, total, outer = moments(batch, self.column)
-        if n:
-            self.n += n
-            self.total = total if self.total is None else self.total + total
-            self.outer = outer if self.outer is None else self.outer + outer
-        self.last = batch_id
+        rows = [(k, float(v)) for k, v in enumerate(np.concatenate([[n], total, outer.ravel()]))] if n else []
+        self.spark.createDataFrame(rows, "k long, v double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def model(self, q: int, u: np.ndarray | None = None) -> FpcaModel:
-        if not self.n:
+    def sums(self) -> tuple[int, np.ndarray, np.ndarray]:
+        stored = self.spark.read.schema("k long, v double, batch long").parquet(self.path)
+        found = {r["k"]: r["v"] for r in stored.groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        if not found:
             raise ValueError("no series seen yet")
-        return FpcaModel.of_moments(self.n, self.total, self.outer, q, u)
+        flat = np.array([found[k] for k in range(len(found))])
+        size = int((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2)
+        return int(flat[0]), flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
+
+    def model(self, q: int, u: np.ndarray | None = None) -> FpcaModel:
+        return FpcaModel.of_moments(*self.sums(), q, u)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,7 @@
+from datetime import datetime
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from splinebrook.functions.basis import lambdas
@@ -47,8 +50,51 @@ def test_streams(spark, sf, tmp_path):
     s = smoother_for(64)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     fitted = fit_stream(stream, s, lambdas(-2, 4, 10))
-    running = RunningMoments()
+    running = RunningMoments(spark, str(tmp_path / "moments"))
     query = running.start(fitted, str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
+    # a restart has nothing to add, and loses nothing
+    running = RunningMoments(spark, str(tmp_path / "moments"))
+    running.start(fitted, str(tmp_path / "checkpoint")).awaitTermination(120)
     whole = FpcaModel.fit(fit_series(source, s, lambdas(-2, 4, 10)), 3)
-    assert running.n == source.count() and np.allclose(running.model(3).values, whole.values)
+    assert running.sums()[0] == source.count() and np.allclose(running.model(3).values, whole.values)
+
+
+def test_result_trees(spark, tmp_path):
+    for p, m in (("k12", 2), ("k12", 1), ("k20", 1)):
+        (tmp_path / "t" / p).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / p / f"sub-a_movement{m}.txt").write_text("#Averaged\n#Signal:\n1.5 -2.0 3\n")
+    root = str(tmp_path / "t")
+    assert [(r["params"], r["subject"], r["movement"]) for r in files.listing(spark, root).collect()] == [("k12", "sub-a", 1), ("k20", "sub-a", 1), ("k12", "sub-a", 2)]
+    assert [tuple(r) for r in files.params(spark, root).collect()] == [("k12", 2), ("k20", 1)]
+    got = files.averaged_signals(spark, f"{root}/k20").orderBy("t").collect()
+    assert [(r["movement"], r["t"], r["value"]) for r in got] == [("1", 0, 1.5), ("1", 1, -2.0), ("1", 2, 3.0)]
+
+
+def test_component_tables(spark):
+    models = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [1.0, 2.0]), ("b", 0, [1.0, 2.0, 3.0])], "path string, pc int, vec array<double>")
+    assert sorted(map(tuple, files.model_sizes(models).collect())) == [("a", 2, 2, True), ("b", 3, 1, True)]
+    assert not files.model_sizes(models.filter("path = 'a'")).first()["differs"]
+    old = spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "n int, c array<double>")
+    assert files.legacy_components(old, {"n": "pc", "c": "profile"}, 0.5, 2).first().asDict() == {"pc": 0, "profile": [1.0, 2.0, 3.0], "times": [1.0, 1.5, 2.0]}
+    with pytest.raises(ValueError):
+        files.legacy_components(old, {"d": "profile"}, 0.5)
+
+
+def test_importance_files(spark, tmp_path):
+    df = spark.createDataFrame([("a vs b", "LR", 1, 0.25), ("a vs b", "LR", 2, 0.75)], "pair string, ml_model string, roi_index int, importance double")
+    files.write_sorted(df, str(tmp_path / "imp"), [F.desc("importance")])
+    got = files.roi_importances(spark, [str(tmp_path / "none"), str(tmp_path / "imp")]).orderBy("rank").collect()
+    assert [(r["roi_index"], r["roi_label"], r["rank"], r["importance"]) for r in got] == [(2, "roi_2", 1, 0.75), (1, "roi_1", 2, 0.25)]
+    with pytest.raises(FileNotFoundError):
+        files.roi_importances(spark, [str(tmp_path / "none")])
+
+
+def test_run_names_and_pairs(spark):
+    assert files.tagged("out/", datetime(2020, 1, 2, 3, 4, 5), k=12, d=3) == "out_20200102_030405_d-3_k-12"
+    assert files.checked_pairs([["a", "b"], ["b", "c"]], "abc") == [("a", "b"), ("b", "c")]
+    for wrong in ([["a"]], [["a", "a"]], [["a", "z"]], [["a", "b"], ["b", "a"]]):
+        with pytest.raises(ValueError):
+            files.checked_pairs(wrong, "abc")
+    images, mask = spark.createDataFrame([("i",), ("j",)], "path string"), spark.createDataFrame([(0, 0, 0, [1.0])], "x int, y int, z int, y_t array<double>")
+    assert files.one_mask_for_all(images, mask).count() == 2
