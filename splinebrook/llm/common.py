@@ -23,12 +23,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared
+    too, or a temporary one if Spark runs on this machine alone."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        if named is None and sc.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -12,6 +12,8 @@ Repeated rows are packed as often as they occur; an empty table gives an empty r
 
 from __future__ import annotations
 
+from typing import Any
+
 import zlib
 
 import numpy as np
@@ -94,7 +96,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_pa
     kind = numbered.schema["id"].dataType.simpleString()
     out = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-    def pack_group(key, group: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable")
         bins, offsets = first_fit(group["length"].to_numpy(), length)
         group["sequence_id"] = key[0] * (1 << 32) + bins

@@ -75,7 +75,11 @@ def test_op1_and_op7_whole_table(spark, sf, docs, library):
         assert r["n_tokens"] == len(own)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(own, skip_special_tokens=False).encode()).hexdigest()
-    check_packing(queries.op7_packing(spark, sf).collect(), ids)
+    packed = queries.op7_packing(spark, sf).collect()
+    check_packing(packed, ids)
+    # little padding: of all but each group's last sequence hardly anything is empty
+    total, sequences = sum(r["length"] for r in packed), len({r["sequence_id"] for r in packed})
+    assert sequences <= total / 2048 * 1.01 + 1
 
 
 def check_packing(rows, ids, capacity=2048):
