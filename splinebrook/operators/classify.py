@@ -65,6 +65,12 @@ def store(fitted: PipelineModel, root: str, pair: tuple[str, str], model: str, t
     return path
 
 
+def discard(spark: SparkSession, root: str) -> None:
+    """Delete all models under root. Loaded ones stay as they are."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def newest(spark: SparkSession, root: str, pair: tuple[str, str], model: str) -> PipelineModel | None:
     """The stored pipeline with the greatest tag; None if there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(folder_of(root, pair, model))

@@ -800,6 +800,7 @@ def m13_test_evaluation(spark, d):
     pairs, models = [PAIR, ("AUTOMOBILE", "HOUSEHOLD")], ["LR", "DTree"]
     classify.train_all(days, groups.filter("is_train_set = 1"), pairs, models, root, "first", k=10)
     found = classify.evaluate_all(days, groups.filter("is_train_set = 0"), pairs, models, root)
+    classify.discard(spark, root)
     if found is None:
         return spark.createDataFrame([], "pair string, ml_model string, n long, balanced_accuracy double, auc double")
     return found.select("pair", "ml_model", "n", r6("balanced_accuracy", "balanced_accuracy"), r6("auc", "auc"))
