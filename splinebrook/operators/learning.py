@@ -1,8 +1,9 @@
 """Pairwise classification of subjects: pipelines, nested cross-validation, permutation tests, importances.
 
 Group studies have few subjects and very many fits (pairs x models x folds x parameters x bags x permutations), so a fit is
-a small numpy computation and the fits are rows dealt over the cluster. A task row names its pair, model, fold or
-permutation; the subjects' features and labels travel once as a broadcast of checked size.
+a small numpy computation and the fits are rows dealt over the cluster. A row names its pair, model, fold, parameters and bag
+(or its permutation); ensembles are averages over bags, accuracies and the choice of parameters are aggregations of the
+scores. The subjects' features and labels travel once as a broadcast of checked size.
 """
 
 from __future__ import annotations
@@ -82,83 +83,112 @@ class LinearSvm:
         return np.abs(self.b[:-1])
 
 
+def grow(x, y, w, rows, depth, leaf, features, rng):
+    """Classification trees by weighted Gini impurity, all of them a level at a time.
+
+    rows: for each tree its sample, as row numbers of x; features None looks at all columns, else at that many random ones
+    of each node. Returns the nodes (column or -1, cut, first child, mean of y) and the trees' gains by column.
+    """
+    trees, n = rows.shape
+    d = x.shape[1]
+    row, node = rows.ravel(), np.repeat(np.arange(trees), n)  # of each sample that is not in a leaf yet; nodes of this level
+    tree_of, gains = np.arange(trees), np.zeros((trees, d))
+    codes = np.stack([np.unique(x[:, c], return_inverse=True)[1] for c in range(d)], axis=1)
+    levels, first = [], 0
+    for level in range(depth + 1):
+        count = len(tree_of)
+        size = np.bincount(node, minlength=count)
+        total = np.bincount(node, w[row], count)
+        positive = np.bincount(node, (w * y)[row], count)
+        column, cut, child, best = np.full(count, -1), np.zeros(count), np.zeros(count, dtype=int), np.full(count, 1e-12)
+        open_ = (size >= 2 * leaf) & (positive > 0) & (positive < total) & (level < depth)
+        inside = open_[node]
+        row, node = row[inside], node[inside]
+        looks = np.tile(np.arange(d), (count, 1)) if features is None else rng.random((count, d)).argsort(axis=1)[:, :features]
+        for slot in range(looks.shape[1] if len(row) else 0):
+            at_column = looks[node, slot]
+            order = np.argsort(node * len(x) + codes[row, at_column], kind="stable")
+            r, g, c = row[order], node[order], at_column[order]
+            start = np.searchsorted(g, g)  # where each sample's node begins
+            wl, pl = np.cumsum(w[r]), np.cumsum((w * y)[r])
+            at = np.flatnonzero((g[1:] == g[:-1]) & (codes[r[1:], c[1:]] > codes[r[:-1], c[:-1]]))
+            left = at + 1 - start[at]
+            at = at[(left >= leaf) & (size[g[at]] - left >= leaf)]
+            if not len(at):
+                continue
+            k, before = g[at], start[at] - 1
+            l = wl[at] - np.where(before >= 0, wl[before], 0.0)
+            p = pl[at] - np.where(before >= 0, pl[before], 0.0)
+            t, q = total[k], positive[k]
+            gain = 2 * (q - q * q / t) - 2 * (p - p * p / l) - 2 * ((q - p) - (q - p) ** 2 / (t - l))
+            top = np.lexsort((at, -gain, k))  # each node's best cut, the lowest on ties
+            top = top[np.unique(k[top], return_index=True)[1]]
+            top = top[gain[top] > best[k[top]]]
+            to, i = k[top], at[top]
+            best[to], column[to], cut[to] = gain[top], c[i], (x[r[i], c[i]] + x[r[i + 1], c[i + 1]]) / 2
+        split = np.flatnonzero(column >= 0)
+        np.add.at(gains, (tree_of[split], column[split]), best[split])
+        child[split] = first + count + 2 * np.arange(len(split))
+        levels.append((column, cut, child, positive / total))
+        if not len(split):
+            break
+        going = column[node] >= 0
+        row, node = row[going], node[going]
+        right = x[row, column[node]] > cut[node]
+        tree_of = np.repeat(tree_of[split], 2)
+        node = child[node] - first - count + right
+        first += count
+    return tuple(np.concatenate(v) for v in zip(*levels, strict=True)), gains
+
+
+def fall(nodes, trees: int, x):
+    """Mean of the leaves that each row of x reaches in each tree (trees x rows)."""
+    column, cut, child, mean = nodes
+    at = np.repeat(np.arange(trees)[:, None], len(x), axis=1)
+    while (inner := column[at] >= 0).any():
+        t, r = np.nonzero(inner)
+        k = at[t, r]
+        at[t, r] = child[k] + (x[r, column[k]] > cut[k])
+    return mean[at]
+
+
 @dataclass
 class Tree:
-    """A classification tree by weighted Gini impurity; features None looks at all, else at that many random ones."""
+    """One classification tree that looks at all columns."""
 
     depth: int = 4
     leaf: int = 5
-    features: int | None = None
 
     def fit(self, x, y, w, rng):
-        self.gain = np.zeros(x.shape[1])
-        self.root = self.grow(x, y.astype(float), w, rng, 0)
+        self.nodes, self.gains = grow(x, y, w, np.arange(len(x))[None, :], self.depth, self.leaf, None, rng)
         return self
 
-    def grow(self, x, y, w, rng, depth):
-        mean = float(np.average(y, weights=w))
-        if depth == self.depth or len(y) < 2 * self.leaf or mean in (0.0, 1.0):
-            return mean
-        n, d = x.shape
-        columns = np.arange(d) if self.features is None else rng.choice(d, min(d, self.features), replace=False)
-        best = (1e-12, None, None)
-        total, positive = w.sum(), (w * y).sum()
-        for c in columns:
-            order = np.argsort(x[:, c], kind="stable")
-            v, wl, pl = x[order, c], np.cumsum(w[order]), np.cumsum((w * y)[order])
-            at = np.flatnonzero(v[1:] > v[:-1])
-            at = at[(at + 1 >= self.leaf) & (n - at - 1 >= self.leaf)]
-            if not len(at):
-                continue
-            l, p = wl[at], pl[at]
-            impurity = 2 * (p - p * p / l) + 2 * ((positive - p) - (positive - p) ** 2 / (total - l))
-            gain = 2 * (positive - positive**2 / total) - impurity
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (float(gain[k]), c, (v[at[k]] + v[at[k] + 1]) / 2)
-        if best[1] is None:
-            return mean
-        gain, c, cut = best
-        self.gain[c] += gain
-        go = x[:, c] <= cut
-        return c, cut, self.grow(x[go], y[go], w[go], rng, depth + 1), self.grow(x[~go], y[~go], w[~go], rng, depth + 1)
-
     def score(self, x):
-        out = np.empty(len(x))
-
-        def down(node, rows):
-            if not isinstance(node, tuple):
-                out[rows] = node
-            elif len(rows):
-                go = x[rows, node[0]] <= node[1]
-                down(node[2], rows[go])
-                down(node[3], rows[~go])
-
-        down(self.root, np.arange(len(x)))
-        return out
+        return fall(self.nodes, 1, x)[0]
 
     def importance(self):
-        return self.gain / self.gain.sum() if self.gain.sum() else self.gain
+        return self.gains[0] / (self.gains[0].sum() or 1.0)
 
 
 @dataclass
 class Forest:
+    """Trees on bootstraps, each node looking at the root of the number of columns."""
+
     trees: int = 100
     leaf: int = 2
     depth: int = 12
 
     def fit(self, x, y, w, rng):
-        self.members = []
-        for _ in range(self.trees):
-            rows = rng.integers(0, len(x), len(x))
-            self.members.append(Tree(self.depth, self.leaf, max(1, int(np.sqrt(x.shape[1])))).fit(x[rows], y[rows], w[rows], rng))
+        rows = rng.integers(0, len(x), (self.trees, len(x)))
+        self.nodes, self.gains = grow(x, y, w, rows, self.depth, self.leaf, max(1, int(np.sqrt(x.shape[1]))), rng)
         return self
 
     def score(self, x):
-        return np.mean([t.score(x) for t in self.members], axis=0)
+        return fall(self.nodes, self.trees, x).mean(axis=0)
 
     def importance(self):
-        return np.mean([t.importance() for t in self.members], axis=0)
+        totals = self.gains.sum(axis=1, keepdims=True)
+        return np.divide(self.gains, totals, out=np.zeros_like(self.gains), where=totals > 0).mean(axis=0)
 
 
 @dataclass
@@ -277,29 +307,6 @@ class Pipeline:
         return out, selected
 
 
-@dataclass
-class Bagging:
-    """Pipelines on seeded bootstraps with the majority class under-sampled."""
-
-    base: Callable[[], Pipeline]
-    members: int = 30
-
-    def fit(self, x, y, rng):
-        least = np.bincount(y, minlength=2).min()
-        self.fitted = []
-        for _ in range(self.members):
-            rows = np.concatenate([rng.choice(np.flatnonzero(y == c), least, replace=True) for c in (0, 1)])
-            self.fitted.append(self.base().fit(x[rows], y[rows], rng))
-        return self
-
-    def score(self, x):
-        return np.mean([m.score(x) for m in self.fitted], axis=0)
-
-    def importance(self):
-        found = [m.importance() for m in self.fitted]
-        return np.mean([f[0] for f in found], axis=0), np.any([f[1] for f in found], axis=0)
-
-
 MODELS: dict[str, Callable[[dict], Pipeline]] = {
     "LR": lambda p: Pipeline(Logistic, "anova", p.get("clf", {}), p.get("k", 50)),
     "SVM": lambda p: Pipeline(LinearSvm, "anova", p.get("clf", {}), p.get("k", 50)),
@@ -316,11 +323,26 @@ def parameter_grid(spec: dict | str) -> list[dict]:
     return [{"k": c["k"], "clf": {n: v for n, v in c.items() if n != "k"}} if "k" in c else {"clf": c} for c in (dict(zip(names, v, strict=True)) for v in product(*(spec[n] for n in names)))] or [{}]
 
 
-def estimator(model: str, params: dict, y: np.ndarray):
-    """Bagged if there are 20 subjects and 7 of the smaller class, else one pipeline."""
+def bags(model: str, y: np.ndarray) -> int:
+    """Bags of an ensemble: 0 (one plain pipeline) unless there are 20 subjects and 7 of the smaller class."""
     if len(y) >= 20 and np.bincount(y, minlength=2).min() >= 7:
-        return Bagging(lambda: MODELS[model](params), 5 if model in ("RandForest", "NN") else 30)
-    return MODELS[model](params)
+        return 5 if model in ("RandForest", "NN") else 30
+    return 0
+
+
+def fit_bag(model: str, params: dict, x: np.ndarray, y: np.ndarray, bagged: bool, rng) -> Pipeline:
+    """One member: a pipeline on a bootstrap with the majority class under-sampled, or on all rows."""
+    if bagged:
+        least = np.bincount(y, minlength=2).min()
+        rows = np.concatenate([rng.choice(np.flatnonzero(y == c), least, replace=True) for c in (0, 1)])
+        x, y = x[rows], y[rows]
+    return MODELS[model](params).fit(x, y, rng)
+
+
+def mean_score(model: str, params: dict, x: np.ndarray, y: np.ndarray, unseen: np.ndarray, rng) -> np.ndarray:
+    """Scores of a whole ensemble in one task, for permutations, which are rows themselves."""
+    n = bags(model, y)
+    return np.mean([fit_bag(model, params, x, y, n > 0, rng).score(unseen) for _ in range(max(n, 1))], axis=0)
 
 
 def folds(y: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
@@ -346,19 +368,6 @@ def auc(y: np.ndarray, score: np.ndarray) -> float:
     return float(((a[:, None] > b[None, :]).mean() + (a[:, None] == b[None, :]).mean() / 2))
 
 
-def best_params(x, y, model: str, grid: list[dict], rng) -> dict:
-    """Inner cross-validation by balanced accuracy; the first of the best."""
-    if len(grid) == 1:
-        return grid[0]
-    at, scores = folds(y, 3), []
-    for params in grid:
-        s = np.empty(len(y))
-        for f in np.unique(at):
-            s[at == f] = estimator(model, params, y[at != f]).fit(x[at != f], y[at != f], rng).score(x[at == f])
-        scores.append(balanced_accuracy(y, s))
-    return grid[int(np.argmax(scores))]
-
-
 # --- on the cluster --------------------------------------------------------------------------------------------------------
 
 
@@ -371,30 +380,76 @@ def study(features: DataFrame, id_col: str, x_col: str) -> tuple[np.ndarray, np.
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
 
 
-def nested_cv(spark: SparkSession, x: np.ndarray, ids: np.ndarray, pairs: dict[str, np.ndarray], models: list[str], grids: dict[str, list[dict]] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
-    """Rows (pair, ml_model, id, y, cv_prob, cv_pred): each subject's score from the outer fold that left it out.
+TASK = "pair string, ml_model string, fold int, at int, inner int, bags int"
+
+
+def fold_tasks(pairs: dict[str, np.ndarray], models: list[str], grids: dict[str, list[dict]], k: int, seed: int, outer: bool = True, nested: bool = False) -> list[tuple]:
+    """Fits to be made, one for each ensemble: the outer folds' (inner = -1), or for each of them the inner folds' with
+    every set of parameters of models that have several. Without outer folds, fold = -1 holds nothing out."""
+    out = []
+    for p, labels in pairs.items():
+        y = labels[labels >= 0]
+        at = folds(y, k, seed) if outer else np.zeros(len(y), dtype=int)
+        for f in np.unique(at) if outer else [-1]:
+            left = y[at != f]
+            inner = folds(left, 3)
+            for m in models:
+                if not nested:
+                    out.append((p, m, int(f), -1, -1, bags(m, left)))
+                elif len(grids[m]) > 1:
+                    out += [(p, m, int(f), g, int(i), bags(m, left[inner != i])) for g in range(len(grids[m])) for i in np.unique(inner)]
+    return out
 
-    pairs: for each name the labels 0, 1 or -1 (not in the pair) of all subjects. One task row is one outer fold.
-    """
-    data = spark.sparkContext.broadcast((x, pairs, {m: (grids or {}).get(m) or [{}] for m in models}))
-    tasks = [(p, m, int(f)) for p, y in pairs.items() for m in models for f in np.unique(folds(y[y >= 0], k, seed))]
-    df = spark.createDataFrame(tasks, "pair string, ml_model string, fold int").repartition(min(len(tasks), 64), "pair", "ml_model", "fold")
+
+def fold_scores(spark: SparkSession, data, tasks: DataFrame, fits: int, k: int, seed: int) -> DataFrame:
+    """tasks (TASK) -> (pair, ml_model, fold, at, row, y, score): what each ensemble says of the rows it has not seen."""
+    single = tasks.withColumn("bag", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bags"), F.lit(1)) - 1)))
 
     def run(batches):
-        held, labels, held_grids = data.value
+        held, labels, grids = data.value
         for pdf in batches:
             for t in pdf.itertuples():
                 rows = np.flatnonzero(labels[t.pair] >= 0)
                 y = labels[t.pair][rows]
-                test = folds(y, k, seed) == t.fold
-                rng = np.random.default_rng(seed_of(t.pair, t.ml_model, t.fold, seed))
-                tx, ty = held[rows[~test]], y[~test]
-                s = estimator(t.ml_model, best_params(tx, ty, t.ml_model, held_grids[t.ml_model], rng), ty).fit(tx, ty, rng).score(held[rows[test]])
-                yield pd.DataFrame({"pair": t.pair, "ml_model": t.ml_model, "row": rows[test], "y": y[test].astype("int32"), "cv_prob": s, "cv_pred": (s >= 0.5).astype("int32")})
+                if t.fold >= 0:
+                    test = folds(y, k, seed) == t.fold
+                if t.inner >= 0:
+                    if t.fold >= 0:
+                        rows, y = rows[~test], y[~test]
+                    test = folds(y, 3) == t.inner
+                rng = np.random.default_rng(seed_of(t.pair, t.ml_model, t.fold, t.at, t.inner, t.bag, seed))
+                fitted = fit_bag(t.ml_model, grids[t.ml_model][max(t.at, 0)], held[rows[~test]], y[~test], t.bags > 0, rng)
+                yield pd.DataFrame({"pair": t.pair, "ml_model": t.ml_model, "fold": t.fold, "at": t.at, "row": rows[test], "y": y[test].astype("int32"), "score": fitted.score(held[rows[test]])})
+
+    found = single.repartition(max(1, min(fits, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "pair string, ml_model string, fold int, at int, row long, y int, score double")
+    # the order of a sum must not decide a score on the edge
+    return found.groupBy("pair", "ml_model", "fold", "at", "row", "y").agg(F.round(F.avg("score"), 12).alias("score"))
+
 
-    found = df.mapInPandas(run, "pair string, ml_model string, row long, y int, cv_prob double, cv_pred int")
-    names = spark.createDataFrame([(int(k), str(v)) for k, v in enumerate(ids)], "row long, id string")
-    return found.join(F.broadcast(names), "row").select("pair", "ml_model", "id", "y", "cv_prob", "cv_pred")
+def best_at(scores: DataFrame) -> DataFrame:
+    """(pair, ml_model, fold, at): the parameters of the best balanced accuracy over the inner folds, the first on ties."""
+    hit = ((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double")
+    recall = scores.groupBy("pair", "ml_model", "fold", "at", "y").agg(F.avg(hit).alias("r"))
+    accuracy = recall.groupBy("pair", "ml_model", "fold", "at").agg(F.round(F.avg("r"), 12).alias("b"))
+    return accuracy.groupBy("pair", "ml_model", "fold").agg(F.max(F.struct("b", (-F.col("at")).alias("neg"))).alias("m")).select("pair", "ml_model", "fold", (-F.col("m.neg")).alias("at"))
+
+
+def nested_cv(spark: SparkSession, x: np.ndarray, ids: np.ndarray, pairs: dict[str, np.ndarray], models: list[str], grids: dict[str, list[dict]] | None = None, k: int = 5, seed: int = 42) -> DataFrame:
+    """Rows (pair, ml_model, id, y, cv_prob, cv_pred): each subject's score from the outer fold that left it out.
+
+    pairs: for each name the labels 0, 1 or -1 (not in the pair) of all subjects. One row of work is one bag of one fold.
+    """
+    grids = {m: (grids or {}).get(m) or [{}] for m in models}
+    data = spark.sparkContext.broadcast((x, pairs, grids))
+    outer = fold_tasks(pairs, models, grids, k, seed)
+    tasks = spark.createDataFrame(outer, TASK)
+    inner = fold_tasks(pairs, models, grids, k, seed, nested=True)
+    if inner:
+        chosen = best_at(fold_scores(spark, data, spark.createDataFrame(inner, TASK), sum(max(t[-1], 1) for t in inner), k, seed))
+        tasks = tasks.drop("at").join(chosen, ["pair", "ml_model", "fold"], "left").select("pair", "ml_model", "fold", F.coalesce("at", F.lit(-1)).alias("at"), "inner", "bags")
+    found = fold_scores(spark, data, tasks, sum(max(t[-1], 1) for t in outer), k, seed)
+    names = spark.createDataFrame([(int(n), str(v)) for n, v in enumerate(ids)], "row long, id string")
+    return found.join(F.broadcast(names), "row").select("pair", "ml_model", "id", "y", F.col("score").alias("cv_prob"), (F.col("score") >= 0.5).cast("int").alias("cv_pred"))
 
 
 def accuracies(predictions: DataFrame) -> DataFrame:
@@ -404,19 +459,13 @@ def accuracies(predictions: DataFrame) -> DataFrame:
 
 
 def chosen_params(spark: SparkSession, x: np.ndarray, pairs: dict[str, np.ndarray], model: str, grid: list[dict], seed: int = 42) -> dict[str, dict]:
-    """For each pair the best parameters by cross-validation over all of its subjects; a pair is a task."""
-    data = spark.sparkContext.broadcast((x, pairs, grid))
-
-    def run(batches):
-        held, labels, held_grid = data.value
-        for pdf in batches:
-            for p in pdf["pair"]:
-                rows = np.flatnonzero(labels[p] >= 0)
-                best = best_params(held[rows], labels[p][rows], model, held_grid, np.random.default_rng(seed_of(p, model, seed)))
-                yield pd.DataFrame({"pair": [p], "at": [held_grid.index(best)]})
-
-    df = spark.createDataFrame([(p,) for p in pairs], "pair string").repartition(max(1, min(len(pairs), 64)), "pair")
-    return {r["pair"]: grid[r["at"]] for r in df.mapInPandas(run, "pair string, at int").collect()}
+    """For each pair the best parameters by cross-validation over all of its subjects."""
+    if len(grid) == 1:
+        return dict.fromkeys(pairs, grid[0])
+    tasks = fold_tasks(pairs, [model], {model: grid}, 3, seed, outer=False, nested=True)
+    data = spark.sparkContext.broadcast((x, pairs, {model: grid}))
+    chosen = best_at(fold_scores(spark, data, spark.createDataFrame(tasks, TASK), sum(max(t[-1], 1) for t in tasks), 3, seed))
+    return {r["pair"]: grid[r["at"]] for r in chosen.collect()}  # one row a pair
 
 
 def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: str, observed: float, n: int = 200, k: int = 5, seed: int = 42, params: dict | None = None) -> float:
@@ -437,7 +486,7 @@ def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: s
                     s = np.empty(len(shuffled))
                     at = folds(shuffled, k, seed)
                     for f in np.unique(at):
-                        s[at == f] = estimator(model, chosen, shuffled[at != f]).fit(held[at != f], shuffled[at != f], rng).score(held[at == f])
+                        s[at == f] = mean_score(model, chosen, held[at != f], shuffled[at != f], held[at == f], rng)
                     out.append(balanced_accuracy(shuffled, s))
                 except np.linalg.LinAlgError:
                     out.append(float("nan"))
@@ -449,21 +498,23 @@ def permutation_test(spark: SparkSession, x: np.ndarray, y: np.ndarray, model: s
 
 
 def importances(spark: SparkSession, x: np.ndarray, pairs: dict[str, np.ndarray], models: list[str], seed: int = 42) -> DataFrame:
-    """Rows (pair, ml_model, feature_idx, weight, selected) of models fitted on all subjects of each pair."""
+    """Rows (pair, ml_model, feature_idx, weight, selected) of ensembles fitted on all subjects of each pair: the bags' mean
+    weights, and whether any bag's selector took the feature."""
     data = spark.sparkContext.broadcast((x, pairs))
-    tasks = [(p, m) for p in pairs for m in models]
-    df = spark.createDataFrame(tasks, "pair string, ml_model string").repartition(min(len(tasks), 64), "pair", "ml_model")
+    tasks = [(p, m, bags(m, y[y >= 0]), bag) for p, y in pairs.items() for m in models for bag in range(max(bags(m, y[y >= 0]), 1))]
+    df = spark.createDataFrame(tasks, "pair string, ml_model string, bags int, bag int").repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches):
         held, labels = data.value
         for pdf in batches:
             for t in pdf.itertuples():
                 rows = np.flatnonzero(labels[t.pair] >= 0)
-                y = labels[t.pair][rows]
-                weight, selected = estimator(t.ml_model, {}, y).fit(held[rows], y, np.random.default_rng(seed_of(t.pair, t.ml_model, seed))).importance()
+                fitted = fit_bag(t.ml_model, {}, held[rows], labels[t.pair][rows], t.bags > 0, np.random.default_rng(seed_of(t.pair, t.ml_model, t.bag, seed)))
+                weight, selected = fitted.importance()
                 yield pd.DataFrame({"pair": t.pair, "ml_model": t.ml_model, "feature_idx": np.arange(len(weight)), "weight": weight, "selected": selected})
 
-    return df.mapInPandas(run, "pair string, ml_model string, feature_idx long, weight double, selected boolean")
+    found = df.mapInPandas(run, "pair string, ml_model string, feature_idx long, weight double, selected boolean")
+    return found.groupBy("pair", "ml_model", "feature_idx").agg(F.round(F.avg("weight"), 12).alias("weight"), F.bool_or("selected").alias("selected"))
 
 
 def principal_plane(x: np.ndarray, dims: int = 2) -> np.ndarray:

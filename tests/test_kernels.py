@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from splinebrook.operators import learning, rsa, similarity as S, timeseries as T
-from splinebrook.operators.learning import MODELS, Network, auc, balanced_accuracy, estimator, folds, nested_cv, parameter_grid, permutation_test, principal_plane
+from splinebrook.operators.learning import MODELS, Forest, Network, Tree, auc, balanced_accuracy, bags, fit_bag, folds, mean_score, nested_cv, parameter_grid, permutation_test, principal_plane
 from splinebrook.plans import catalog
 
 
@@ -99,12 +99,51 @@ def blobs(n=60, d=12, seed=0):
 def test_models_learn(model):
     x, y = blobs()
     rng = np.random.default_rng(1)
-    fitted = (estimator(model, {"clf": {"trees": 20}} if model == "RandForest" else {}, y[:19]) if model in ("RandForest", "NN") else estimator(model, {}, y)).fit(x[:40], y[:40], rng)
+    params = {"clf": {"trees": 20}} if model == "RandForest" else {}
+    fitted = fit_bag(model, params, x[:40], y[:40], False, rng)
     assert balanced_accuracy(y[40:], fitted.score(x[40:])) >= 0.8
+    if model in ("LR", "SVM", "DTree"):
+        assert bags(model, y[:40]) == 30 and balanced_accuracy(y[40:], mean_score(model, params, x[:40], y[:40], x[40:], rng)) >= 0.8
     weight, selected = fitted.importance()
     assert weight.shape == (12,) and selected.any() and weight[:3].mean() > weight[3:].mean()
 
 
+def slow_tree(x, y, w, depth, leaf):
+    """A tree by looking at every cut of every column, node by node."""
+    mean = float(np.average(y, weights=w))
+    if not depth or len(y) < 2 * leaf or y.min() == y.max():
+        return mean
+    gini = lambda rows: 2 * ((w * y)[rows].sum() - (w * y)[rows].sum() ** 2 / w[rows].sum())
+    cuts = []
+    for c in range(x.shape[1]):
+        for v in np.unique(x[:, c])[:-1]:
+            go = x[:, c] <= v
+            if min(go.sum(), (~go).sum()) >= leaf:
+                cuts.append((gini(go | ~go) - gini(go) - gini(~go), c, (v + x[~go, c].min()) / 2))
+    if not cuts or max(cuts)[0] <= 1e-12:
+        return mean
+    _, c, cut = next(k for k in cuts if k[0] >= max(cuts)[0] - 1e-9)
+    go = x[:, c] <= cut
+    return c, cut, slow_tree(x[go], y[go], w[go], depth - 1, leaf), slow_tree(x[~go], y[~go], w[~go], depth - 1, leaf)
+
+
+def test_trees_grown_by_level_equal_trees_grown_by_node():
+    rng = np.random.default_rng(0)
+
+    def fallen(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    for depth, leaf in [(4, 5), (2, 1), (6, 3)]:
+        x = np.round(rng.normal(size=(90, 4)), 1)
+        y, w = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=90) / 2 > 0).astype(int), rng.uniform(0.5, 2, 90)
+        want = slow_tree(x, y, w, depth, leaf)
+        assert Tree(depth, leaf).fit(x, y, w, rng).score(x) == pytest.approx([fallen(want, r) for r in x])
+    constant = Forest(5).fit(np.ones((20, 3)), np.arange(20) % 2, np.ones(20), rng)
+    assert not constant.importance().any() and np.abs(constant.score(np.ones((4, 3))) - 0.5).max() < 0.3
+
+
 def test_network_latent():
     x, y = blobs()
     assert Network().fit(x, y, np.ones(len(y)), np.random.default_rng(0)).transform_latent(x).shape == (60, 8)
