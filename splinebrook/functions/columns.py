@@ -26,6 +26,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def mean_of(series: Column | str) -> Column:
+    return F.aggregate(series, F.lit(0.0), lambda a, x: a + x) / F.size(series)
+
+
 def l2_normalised(series: Column | str) -> Column:
     """Divided by its length; a zero series stays."""
     c = F.col(series) if isinstance(series, str) else series

@@ -107,6 +107,37 @@ def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     return int(flat[0]), flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
 
 
+def grouped_moments(df: DataFrame, key: str, column: str) -> dict:
+    """key -> (number of rows, sum, sum of outer products) of each group, in one job; rows without a key have none.
+
+    Only for few groups: each task keeps a K x K matrix for every group that it meets.
+    """
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            x, (keys, at) = as_matrix(batch.column(1)), np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            for k, g in enumerate(keys.tolist()):
+                rows = x[at == k]
+                flat = np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
+                sums[g] = flat + sums.get(g, 0.0)
+        for g, flat in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(flat), kind), pa.array(np.arange(len(flat))), pa.array(flat)], ["g", "k", "v"])
+
+    kind = pa.from_numpy_dtype(np.int64) if df.schema[key].dataType.simpleString() in ("int", "bigint") else pa.string()
+    name = "long" if kind == pa.int64() else "string"
+    sums = df.filter(F.col(key).isNotNull()).select(F.col(key).cast(name), column).mapInArrow(run, f"g {name}, k long, v double").groupBy("g", "k").agg(F.sum("v").alias("v"))
+    found: dict = {}
+    for r in sums.collect():
+        found.setdefault(r["g"], {})[r["k"]] = r["v"]
+    out = {}
+    for g, values in found.items():
+        flat = np.array([values[k] for k in range(len(values))])
+        size = int((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2)
+        out[g] = int(flat[0]), flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
+    return out
+
+
 @dataclass
 class FpcaModel:
     """Functional principal components: mean coefficients, eigenvectors (columns), eigenvalues and the total variance."""

@@ -34,6 +34,12 @@ def valid_targets(df: DataFrame, target: Column, id_col: str, least_groups: int
     return known.join(F.broadcast(enough)).drop("enough")
 
 
+def concatenated(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """One row for each key: its movements' series one after the other, in the order of `order` (a key has few of them)."""
+    parts = F.array_sort(F.collect_list(F.struct(order, value)))
+    return series.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p[value])).alias(value))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.basis import basis, evaluate, knots, lambdas, penalty, times
+from ..functions.basis import evaluate, knots, lambdas, penalty, times
 from ..operators import classify, fpca, learning, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
+from . import spline_sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,11 +95,11 @@ def a6_roi_mean_series(spark, d):
     return found.select("roi", F.col("t").cast("long").alias("t"), r6("value", "value"))
 
 
-@query(f"SELECT CAST(r.roi AS INTEGER) AS roi, round(coalesce(avg(y[1]), 0), 6) + 0.0 AS weight FROM (SELECT unnest(range(12)) AS roi) r LEFT JOIN ({SIG}) s ON s.roi = r.roi GROUP BY r.roi")
+@query(f"SELECT CAST(r.roi AS INTEGER) AS roi, round(coalesce(avg(list_avg(y)), 0), 6) + 0.0 AS weight FROM (SELECT unnest(range(12)) AS roi) r LEFT JOIN ({SIG}) s ON s.roi = r.roi GROUP BY r.roi")
 def a7_roi_mean_weight(spark, d):
-    """Mean of a map (the first volume) over each region, 0 for an empty one."""
+    """Mean of a map (each voxel's mean over its volumes) over each region, 0 for an empty one."""
     rois = spark.range(12).select(F.col("id").cast("int").alias("roi"))
-    w = tab.signals(spark, d).groupBy("roi").agg(F.avg(F.element_at("y", 1)).alias("w"))
+    w = tab.signals(spark, d).groupBy("roi").agg(F.avg(C.mean_of("y")).alias("w"))
     return rois.join(w, "roi", "left").select("roi", r6(F.coalesce("w", F.lit(0.0)), "weight"))
 
 
@@ -135,56 +136,32 @@ def n14_leading_eigenvalue(spark, d):
     return spark.createDataFrame([(float(model.values[0]),)], "v double").select(r6("v", "eigval", 5))
 
 
-def _fixed_fit_sql() -> str:
-    t = times(VOLUMES, 0, TR)
-    f, p = basis(t, K, DEGREE), penalty(t[0], t[-1], K, DEGREE, 2)
-    m = np.linalg.solve(f.T @ f + FIXED_LAMBDA * (p + 1e-12 * np.eye(K)), f.T)
-    return f"SELECT l.voxel_id, CAST(m.i AS BIGINT) AS k, round(sum(m.v * l.y), 6) + 0.0 AS c FROM ({LONG}) l JOIN ({values_sql(m)}) m ON m.j = l.t GROUP BY ALL"
+def _smoothed(lams=(FIXED_LAMBDA,), metric: bool = False) -> str:
+    return "WITH RECURSIVE " + Q.smoothing(VOLUMES, TR, K, DEGREE, 2, lams, metric)
 
 
-@query(_fixed_fit_sql())
+_FIXED = f"{_smoothed()}, {Q.gcv(SIG, VOLUMES, K)}, curve AS (SELECT voxel_id, t, list_dot_product(c, b) AS fit FROM fit, f WHERE n = 1)"
+
+
+@query(f"{_FIXED} SELECT voxel_id, unnest(range({K})) AS k, round(unnest(c), 6) + 0.0 AS c FROM fit WHERE n = 1")
 def n9_fit_no_lambda_search(spark, d):
     fitted = fpca.fit_series(tab.signals(spark, d), base_smoother(), np.array([FIXED_LAMBDA]))
     return fitted.select("voxel_id", F.posexplode("c").alias("k", "v")).select("voxel_id", F.col("k").cast("long").alias("k"), r6("v", "c"))
 
 
-def _gcv_sql() -> str:
-    s = base_smoother()
-    lam = ", ".join(f"CAST({x!r} AS DOUBLE)" for x in FEW_LAMBDAS)
-    mu = ", ".join(f"({i}, CAST({float(v)!r} AS DOUBLE))" for i, v in enumerate(s.mu))
-    return f"""WITH z AS (SELECT voxel_id, m.i, sum(m.v * l.y) AS z FROM ({LONG}) l JOIN ({values_sql(s.to_z)}) m ON m.j = l.t GROUP BY ALL),
- yy AS (SELECT voxel_id, sum(y * y) AS yy FROM ({LONG}) GROUP BY voxel_id), mu AS (SELECT * FROM (VALUES {mu}) AS m(i, mu)), ls AS (SELECT unnest([{lam}]) AS la),
- g AS (SELECT z.voxel_id, la, ((any_value(yy) - sum(z * z * (2 / (1 + la * mu) - 1 / ((1 + la * mu) * (1 + la * mu))))) / {VOLUMES}) / pow(1 - sum(1 / (1 + la * mu)) / {VOLUMES}, 2) AS gcv FROM z JOIN mu ON z.i = mu.i JOIN yy ON yy.voxel_id = z.voxel_id CROSS JOIN ls GROUP BY z.voxel_id, la)
- SELECT voxel_id, arg_min(la, gcv) AS chosen, round(min(gcv), 8) + 0.0 AS gcv FROM g GROUP BY voxel_id"""
-
-
-@query(_gcv_sql())
+@query(f"{_smoothed(FEW_LAMBDAS)}, {Q.gcv(SIG, VOLUMES, K)} SELECT voxel_id, la AS chosen, round(gcv, 8) + 0.0 AS gcv FROM fit WHERE n = 1")
 def n9_gcv_select(spark, d):
     fitted = fpca.fit_series(tab.signals(spark, d), base_smoother(), np.array(FEW_LAMBDAS))
     return fitted.select("voxel_id", F.col("lambda").alias("chosen"), r6("gcv", "gcv", 8))
 
 
-def _error_sql() -> str:
-    t = times(VOLUMES, 0, TR)
-    f, p = basis(t, K, DEGREE), penalty(t[0], t[-1], K, DEGREE, 2)
-    hat = f @ np.linalg.solve(f.T @ f + FIXED_LAMBDA * (p + 1e-12 * np.eye(K)), f.T)
-    return f"WITH h AS (SELECT l.voxel_id, m.i AS t, sum(m.v * l.y) AS fit FROM ({LONG}) l JOIN ({values_sql(hat)}) m ON m.j = l.t GROUP BY ALL) SELECT round(avg(abs(y - fit)), 6) + 0.0 AS mean_error FROM ({LONG}) l JOIN h ON h.voxel_id = l.voxel_id AND h.t = l.t"
-
-
-@query(_error_sql())
+@query(f"{_FIXED} SELECT round(avg(abs(y - fit)), 6) + 0.0 AS mean_error FROM ({LONG}) l JOIN curve h ON h.voxel_id = l.voxel_id AND h.t = l.t")
 def a8_mean_abs_error(spark, d):
     e = fpca.fit_error(tab.signals(spark, d).select("y"), base_smoother(), np.array([FIXED_LAMBDA]))
     return spark.createDataFrame([(e,)], "v double").select(r6("v", "mean_error"))
 
 
-def _reconstruct_sql() -> str:
-    t = times(VOLUMES, 0, TR)
-    f, p = basis(t, K, DEGREE), penalty(t[0], t[-1], K, DEGREE, 2)
-    hat = f @ np.linalg.solve(f.T @ f + FIXED_LAMBDA * (p + 1e-12 * np.eye(K)), f.T)
-    return f"SELECT l.voxel_id, CAST(m.i AS BIGINT) AS t, round(sum(m.v * l.y), 6) + 0.0 AS fit FROM ({LONG}) l JOIN ({values_sql(hat)}) m ON m.j = l.t GROUP BY ALL"
-
-
-@query(_reconstruct_sql())
+@query(f"{_FIXED} SELECT voxel_id, t, round(fit, 6) + 0.0 AS fit FROM curve")
 def t10_reconstruct(spark, d):
     """The fitted curves at the times of the volumes."""
     s = base_smoother()
@@ -193,7 +170,7 @@ def t10_reconstruct(spark, d):
     return curves.select("voxel_id", F.posexplode("y").alias("t", "v")).select("voxel_id", F.col("t").cast("long").alias("t"), r6("v", "fit"))
 
 
-@query()
+@query(Q.band_pass(SIG, VOLUMES, TR, 0.05, 0.3))
 def t2_band_pass(spark, d):
     """Forward and backward band-pass of every signal."""
     out = T.preprocess(tab.signals(spark, d).select("voxel_id", "y"), TR, (0.05, 0.3))
@@ -218,7 +195,43 @@ def group_fpca_project(spark, d):
     return model.transform(coeffs).select("voxel_id", F.posexplode("s").alias("pc", "score")).select("voxel_id", "pc", r6("score", "score"))
 
 
-@query()
+_GROUP = f"""{_smoothed(FEW_LAMBDAS, metric=True)}, {Q.gcv(SIG, VOLUMES, K)},
+ cov AS MATERIALIZED ({Q.covariance("SELECT c AS x FROM fit WHERE n = 1 AND voxel_id % 2 = 0", K)}),
+ cu AS (SELECT [[list_sum([cov.s[i][l] * u.m[l][j] FOR l IN range(1, {K + 1})]) FOR j IN range(1, {K + 1})] FOR i IN range(1, {K + 1})] AS m FROM cov, u),
+ sigma AS MATERIALIZED (SELECT [[(m[i][j] + m[j][i]) / 2 FOR j IN range(1, {K + 1})] FOR i IN range(1, {K + 1})] AS s FROM cu),
+ {Q.leading("SELECT s FROM sigma", K, 3)}"""
+
+
+def _group_model(spark, d):
+    """Coefficients of all voxels with one of a few lambdas each, and the components of the even voxels' group."""
+    s = base_smoother()
+    coeffs = fpca.fit_series(tab.signals(spark, d), s, np.array(FEW_LAMBDAS)).select("voxel_id", "c")
+    return coeffs, fpca.FpcaModel.fit(coeffs.filter("voxel_id % 2 = 0"), 3, penalty(0.0, (VOLUMES - 1) * TR, K, DEGREE, 0), s.f)
+
+
+@query(f"{_GROUP}, o AS (SELECT list_sum([s[i][i] FOR i IN range(1, {K + 1})]) AS total FROM sigma) " + " UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS pc, round(value, 8) + 0.0 AS eigval, round(100 * value / total, 5) + 0.0 AS explained_pct FROM e{c + 1}, o" for c in range(3)))
+def n16_group_fpca(spark, d):
+    """Eigenvalues of the group of the even voxels, and their part of its variance."""
+    _, model = _group_model(spark, d)
+    return model.components(spark).select("pc", r6("eigval", "eigval", 8), r6("explained_pct", "explained_pct", 5))
+
+
+@query(f"{_GROUP} " + " UNION ALL ".join(f"SELECT voxel_id, CAST({c} AS INTEGER) AS pc, round(list_dot_product([c[i] - cov.mean[i] FOR i IN range(1, {K + 1})], [list_dot_product(r, v) FOR r IN u.m]), 6) + 0.0 AS score FROM fit, cov, u, e{c + 1} WHERE n = 1 AND voxel_id % 2 = 1" for c in range(3)))
+def n17_project_unseen(spark, d):
+    """The odd voxels projected into the components of the even ones' group."""
+    coeffs, model = _group_model(spark, d)
+    scores = model.transform(coeffs.filter("voxel_id % 2 = 1"))
+    return scores.select("voxel_id", F.posexplode("s").alias("pc", "v")).select("voxel_id", "pc", r6("v", "score"))
+
+
+def _basis_size_sql() -> str:
+    grid = [float(x) for x in lambdas()]
+    error = "(WITH RECURSIVE {0}, {1}, h AS (SELECT voxel_id, t, list_dot_product(c, b) AS fit FROM fit, f WHERE n = 1) SELECT avg(abs(y - fit)) FROM ({2}) l JOIN h ON h.voxel_id = l.voxel_id AND h.t = l.t)"
+    errors = " UNION ALL ".join(f"SELECT {n} AS k, {error.format(Q.smoothing(VOLUMES, TR, n, DEGREE, 2, grid), Q.gcv(SIG, VOLUMES, n), LONG)} AS e" for n in (6, 12, 20))
+    return f"WITH x AS MATERIALIZED ({errors}) SELECT CAST(coalesce((SELECT min(k) FROM x WHERE e <= 0.01), (SELECT arg_min(k, e) FROM x)) AS INTEGER) AS n_basis"
+
+
+@query(_basis_size_sql())
 def n13_basis_size(spark, d):
     """The first of three basis sizes with a mean error within the threshold, else the best."""
     k = fpca.choose_basis_size(tab.signals(spark, d), [6, 12, 20], VOLUMES, 0.01, DEGREE, TR)
@@ -251,18 +264,18 @@ def f6_voxel_coords(spark, d):
     return tab.signals(spark, d).select("voxel_id", *C.voxel_coordinates(F.col("voxel_id"), *GRID))
 
 
-@query(f"""WITH n AS (SELECT max(voxel_id) // 100 + 1 AS nx FROM ({SIG})), v AS (SELECT voxel_id // 100 AS x, (voxel_id // 10) % 10 AS y, voxel_id % 10 AS z, s.y[1] AS value FROM ({SIG}) s),
- g AS (SELECT x, y, z FROM (SELECT unnest(range(nx)) AS x FROM n) CROSS JOIN (SELECT unnest(range(10)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS z)), full_ AS (SELECT g.x, g.y, g.z, coalesce(value, 0.0) AS value FROM g LEFT JOIN v ON v.x = g.x AND v.y = g.y AND v.z = g.z),
+@query(f"""WITH n AS (SELECT max(voxel_id) // 100 + 1 AS nx FROM ({SIG})), v AS (SELECT voxel_id // 100 AS x, (voxel_id // 10) % 10 AS y, voxel_id % 10 AS z, t, s.y AS value FROM ({LONG}) s),
+ g AS (SELECT x, y, z, t FROM (SELECT unnest(range(nx)) AS x FROM n) CROSS JOIN (SELECT unnest(range(10)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS z) CROSS JOIN (SELECT unnest(range({VOLUMES})) AS t)), full_ AS (SELECT g.x, g.y, g.z, g.t, coalesce(value, 0.0) AS value FROM g LEFT JOIN v ON v.x = g.x AND v.y = g.y AND v.z = g.z AND v.t = g.t),
  o AS (SELECT unnest([-1, 0, 1]) AS o)
- SELECT f.x, f.y, f.z, round(avg(s.value), 6) + 0.0 AS value FROM full_ f CROSS JOIN o a CROSS JOIN o b CROSS JOIN o c CROSS JOIN n JOIN full_ s ON s.x = greatest(0, least(nx - 1, f.x + a.o)) AND s.y = greatest(0, least(9, f.y + b.o)) AND s.z = greatest(0, least(9, f.z + c.o)) GROUP BY f.x, f.y, f.z""")
+ SELECT f.x, f.y, f.z, f.t, round(avg(s.value), 6) + 0.0 AS value FROM full_ f CROSS JOIN o a CROSS JOIN o b CROSS JOIN o c CROSS JOIN n JOIN full_ s ON s.t = f.t AND s.x = greatest(0, least(nx - 1, f.x + a.o)) AND s.y = greatest(0, least(9, f.y + b.o)) AND s.z = greatest(0, least(9, f.z + c.o)) GROUP BY f.x, f.y, f.z, f.t""")
 def t1_box_smooth(spark, d):
-    """One volume of the signals on the voxel grid, smoothed over 3 x 3 x 3 with the edges repeated."""
+    """Every volume of the signals on the voxel grid, smoothed over 3 x 3 x 3 with the edges repeated."""
     s = tab.signals(spark, d)
     nx = int(s.agg(F.max("voxel_id")).first()[0] // 100 + 1)
-    points = s.select(*[c.cast("int") for c in C.voxel_coordinates(F.col("voxel_id"), *GRID)], F.element_at("y", 1).alias("value"))
-    points = points.toDF("x", "y", "z", "value")
-    full = T.scatter(points, (nx, *GRID), "value").select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("z").cast("int").alias("z"), F.lit(0).alias("t"), "value")
-    return T.box_smooth(full, (nx, *GRID)).select(*[F.col(c).cast("long").alias(c) for c in "xyz"], r6("value", "value"))
+    points = s.select(*[c.cast("int") for c in C.voxel_coordinates(F.col("voxel_id"), *GRID)], F.col("y").alias("values")).toDF("x", "y", "z", "values")
+    volumes = F.coalesce("values", F.array_repeat(F.lit(0.0), VOLUMES))
+    full = T.scatter(points, (nx, *GRID), "values").select(*[F.col(c).cast("int").alias(c) for c in "xyz"], F.posexplode(volumes).alias("t", "value"))
+    return T.box_smooth(full, (nx, *GRID)).select(*[F.col(c).cast("long").alias(c) for c in "xyzt"], r6("value", "value"))
 
 
 def _threshold_mask(spark, d):
@@ -354,21 +367,21 @@ def t9_combine_signals(spark, d):
     return T.combine(s, _TARGET).select(F.col("t").cast("long").alias("t"), r6("combined", "combined", 4))
 
 
-@query(f"SELECT voxel_id, t, round(c.v * b.v, 6) + 0.0 AS y FROM (SELECT voxel_id, y[1] AS v FROM ({SIG})) c CROSS JOIN (SELECT unnest(range(8)) AS t, unnest([{', '.join(f'CAST({float(np.cos(k))!r} AS DOUBLE)' for k in range(8))}]) AS v) b")
+@query(f"SELECT voxel_id, t, round(c.v * b.v, 6) + 0.0 AS y FROM (SELECT voxel_id, list_avg(y) AS v FROM ({SIG})) c CROSS JOIN (SELECT unnest(range(8)) AS t, unnest([{', '.join(f'CAST({float(np.cos(k))!r} AS DOUBLE)' for k in range(8))}]) AS v) b")
 def f11_outer_product(spark, d):
-    """A voxel weight times a short temporal profile, as rows."""
+    """A voxel weight (its mean) times a short temporal profile, as rows."""
     profile = F.array(*[F.lit(float(np.cos(k))) for k in range(8)])
-    s = tab.signals(spark, d).select("voxel_id", F.element_at("y", 1).alias("w"), F.posexplode(profile).alias("t", "v"))
+    s = tab.signals(spark, d).select("voxel_id", C.mean_of("y").alias("w"), F.posexplode(profile).alias("t", "v"))
     return s.select("voxel_id", F.col("t").cast("long").alias("t"), r6(F.col("w") * F.col("v"), "y"))
 
 
-@query(f"SELECT voxel_id, round(a.s - b.s, 6) + 0.0 AS tail FROM (SELECT voxel_id, list_sum(y) AS s FROM ({SIG})) a JOIN (SELECT voxel_id, list_sum(y[1:VOL]) AS s FROM ({SIG})) b USING (voxel_id)".replace("VOL", "32"))
+@query(f"SELECT subject, CAST(count(*) AS INTEGER) AS n, round(sum(n * y), 6) + 0.0 AS moment FROM (SELECT voxel_id // 2 AS subject, y, row_number() OVER (PARTITION BY voxel_id // 2 ORDER BY voxel_id, t) AS n FROM ({LONG})) GROUP BY subject")
 def u1_concat_movements(spark, d):
-    """The second half of each series put after the first again: what it adds to the sum."""
-    s = tab.signals(spark, d)
-    both = F.concat(F.slice("y", 1, 32), F.slice("y", 33, VOLUMES - 32))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
-    return s.select("voxel_id", r6(total(both) - total(F.slice("y", 1, 32)), "tail"))
+    """Even and odd voxels as two movements of a subject, one after the other; the moment depends on the order."""
+    s = tab.signals(spark, d).select(F.floor(F.col("voxel_id") / 2).alias("subject"), (F.col("voxel_id") % 2).alias("movement"), "y")
+    both = R.concatenated(s, ["subject"], "movement", "y")
+    moment = F.aggregate(F.transform("y", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return both.select("subject", F.size("y").alias("n"), r6(moment, "moment"))
 
 
 @query(f"SELECT voxel_id, flipped, round(list_sum(list_transform(y[5:60], lambda x: CASE WHEN flipped THEN -x ELSE x END)), 6) + 0.0 AS total FROM ({SIG}) CROSS JOIN (SELECT unnest([true, false]) AS flipped)")
@@ -384,19 +397,7 @@ def u2_reversed_stack(spark, d):
 _HOUR = "(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 3600.0"
 
 
-def _basis_sql() -> str:
-    """Cox-de Boor's recursion on K clamped functions over a day, level by level."""
-    inner = K - DEGREE
-    knots = f"list_concat(list_concat([0.0::DOUBLE FOR i IN range({DEGREE})], [i * 24.0::DOUBLE / {inner} FOR i IN range({inner + 1})]), [24.0::DOUBLE FOR i IN range({DEGREE})])"
-    level = f"SELECT event_id, x, kn, [CASE WHEN kn[j + 1] <= x AND x < kn[j + 2] THEN 1.0::DOUBLE ELSE 0.0 END FOR j IN range({K + DEGREE})] AS b FROM (SELECT event_id, CAST({_HOUR} AS DOUBLE) AS x, {knots} AS kn FROM events)"
-    for p in range(1, DEGREE + 1):
-        left = f"CASE WHEN kn[j + {p + 1}] > kn[j + 1] THEN (x - kn[j + 1]) / (kn[j + {p + 1}] - kn[j + 1]) * b[j + 1] ELSE 0.0 END"
-        right = f"CASE WHEN kn[j + {p + 2}] > kn[j + 2] THEN (kn[j + {p + 2}] - x) / (kn[j + {p + 2}] - kn[j + 2]) * b[j + 2] ELSE 0.0 END"
-        level = f"SELECT event_id, x, kn, [{left} + {right} FOR j IN range({K + DEGREE - p})] AS b FROM ({level})"
-    return f"SELECT event_id, b FROM ({level})"
-
-
-_BASIS = f"SELECT event_id, unnest(range({K})) AS k, unnest(b) AS v FROM ({_basis_sql()})"
+_BASIS = f"SELECT event_id, unnest(range({K})) AS k, unnest(b) AS v FROM ({Q.basis(f'SELECT event_id, {_HOUR} AS x FROM events', 0.0, 24.0, K, DEGREE, keep='event_id')})"
 
 
 def _event_basis(spark, d):
@@ -467,12 +468,16 @@ def o4_best_scores(spark, d):
     return R.top_k(pairs, 10, F.desc("score"), F.col("i"), F.col("j"))
 
 
-@query()
+_ROI_PAIRS = f"SELECT a.roi AS i, b.roi AS j, a.y AS a, b.y AS b FROM (SELECT roi, list(y ORDER BY t) AS y FROM ({_ROI_SERIES}) GROUP BY roi) a JOIN (SELECT roi, list(y ORDER BY t) AS y FROM ({_ROI_SERIES}) GROUP BY roi) b ON a.roi < b.roi"
+
+
+@query(f"WITH RECURSIVE {Q.warping(_ROI_PAIRS, VOLUMES)} SELECT i, j, round(1 / (1 + distance), 6) + 0.0 AS sim FROM dtw")
 def r3_dtw_similarity(spark, d):
     return S.dtw_pairs(S.all_pairs(_roi_arrays(spark, d), "roi", "y")).select("i", "j", r6("sim", "sim"))
 
 
-@query()
+@query(f"""WITH same AS (WITH RECURSIVE {Q.warping(_ROI_PAIRS, VOLUMES)} SELECT * FROM dtw), turned AS (WITH RECURSIVE {Q.warping(f"SELECT i, j, [-v FOR v IN a] AS a, b FROM ({_ROI_PAIRS})", VOLUMES)} SELECT * FROM dtw)
+ SELECT s.i, s.j, round(least(s.distance, t.distance), 6) + 0.0 AS distance, t.distance < s.distance AS flipped FROM same s JOIN turned t ON s.i = t.i AND s.j = t.j""")
 def r4_oriented_dtw(spark, d):
     return S.dtw_pairs(S.all_pairs(_roi_arrays(spark, d), "roi", "y"), oriented=True).select("i", "j", r6("distance", "distance"), "flipped")
 
@@ -491,10 +496,8 @@ def r2_representative_pc(spark, d):
 @query()
 def r1_subspace_similarity(spark, d):
     """Similarity of the leading subspaces of the regions' signals, for pairs of regions."""
-    s = tab.signals(spark, d)
-    vectors = {}
-    for (roi,) in s.select("roi").distinct().orderBy("roi").collect():  # regions are few by definition
-        vectors[roi] = fpca.FpcaModel.fit(s.filter(F.col("roi") == roi), 3, column="y").vectors
+    found = fpca.grouped_moments(tab.signals(spark, d), "roi", "y")  # regions are few by definition
+    vectors = {roi: fpca.FpcaModel.of_moments(*m, 3).vectors for roi, m in sorted(found.items())}
     rows = [(i, j, S.subspace_similarity(vectors[i], vectors[j])) for i in vectors for j in vectors if i < j]
     return spark.createDataFrame(rows, "i int, j int, sim double").select("i", "j", r6("sim", "sim"))
 
@@ -818,7 +821,8 @@ def m10_permutation_p(spark, d):
     return spark.createDataFrame(rows, "pair string, p double")
 
 
-@query()
+@query(f"""WITH RECURSIVE days AS MATERIALIZED (SELECT user_id, list(y ORDER BY t) AS x FROM ({EV}) GROUP BY user_id), cov AS MATERIALIZED ({Q.covariance("SELECT x FROM days", tab.DAYS)}), {Q.leading("SELECT s FROM cov", tab.DAYS, 2)}
+ SELECT user_id, """ + ", ".join(f"round(list_dot_product([x[i] - mean[i] FOR i IN range(1, {tab.DAYS + 1})], e{c}.v), 4) + 0.0 AS pc{c}" for c in (1, 2)) + " FROM days, cov, e1, e2")
 def m12_principal_plane(spark, d):
     """Subjects on the two leading principal axes of their features."""
     model = fpca.FpcaModel.fit(tab.subject_days(spark, d), 2, column="y")
@@ -910,11 +914,11 @@ def w2_minmax(spark, d):
     return R.min_max(tab.importances(spark, d), ["pair", "ml_model"], "importance", "norm").select("pair", "ml_model", "roi", r6("norm", "norm"))
 
 
-@query(f"SELECT p, round(avg(w) FILTER (sel), 6) + 0.0 AS score FROM (SELECT voxel_id % 6 AS p, abs(y[1]) AS w, y[2] > 0 AS sel FROM ({SIG})) GROUP BY p".replace("round(avg(w) FILTER (sel), 6)", "round(coalesce(avg(w) FILTER (sel), 0), 6)").replace("SELECT p,", "SELECT CAST(p AS INTEGER) AS roi,"))
+@query(f"SELECT p, round(avg(w) FILTER (sel), 6) + 0.0 AS score FROM (SELECT voxel_id % 6 AS p, abs(list_avg(y)) AS w, list_avg(y) > 0 AS sel FROM ({SIG})) GROUP BY p".replace("round(avg(w) FILTER (sel), 6)", "round(coalesce(avg(w) FILTER (sel), 0), 6)").replace("SELECT p,", "SELECT CAST(p AS INTEGER) AS roi,"))
 def a16_feature_to_roi(spark, d):
     """Weights of features (one a voxel) gathered by region: a feature's region is its number modulo 6."""
     s = tab.signals(spark, d)
-    weights = s.select(F.col("voxel_id").alias("feature_idx"), F.element_at("y", 1).alias("weight"), (F.element_at("y", 2) > 0).alias("selected"))
+    weights = s.select(F.col("voxel_id").alias("feature_idx"), F.abs(C.mean_of("y")).alias("weight"), (C.mean_of("y") > 0).alias("selected"))
     layout = s.select(F.col("voxel_id").alias("feature_idx"), (F.col("voxel_id") % 6).cast("int").alias("roi"))
     return R.roi_scores(weights, layout).select("roi", r6("score", "score"))
 
@@ -964,10 +968,11 @@ def a23_global_frequency(spark, d):
 
 @query(f"SELECT (SELECT count(*) FROM (SELECT DISTINCT pair, ml_model FROM ({TOP}))) AS analyses, (SELECT count(DISTINCT roi) FROM ({TOP})) AS rois, (SELECT roi FROM ({TOP}) GROUP BY roi ORDER BY count(*) DESC, roi LIMIT 1) AS modal_roi")
 def a24_summary(spark, d):
-    """Distinct analyses and regions, and the most frequent region: two levels of counts in one pass."""
-    counts = _top(spark, d).groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("pair", "ml_model")).alias("a"))
-    found = counts.agg(F.size(F.array_distinct(F.flatten(F.collect_list("a")))).cast("long").alias("analyses"), F.count(F.lit(1)).alias("rois"), F.min(F.struct(-F.col("n"), "roi")).alias("m"))
-    return found.select("analyses", "rois", F.col("m.roi").alias("modal_roi"))
+    """Distinct analyses and regions, and the most frequent region."""
+    top = _top(spark, d)
+    counts = top.groupBy("roi").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("rois"), F.min(F.struct(-F.col("n"), "roi")).alias("m"))
+    analyses = top.select("pair", "ml_model").distinct().agg(F.count(F.lit(1)).alias("analyses"))
+    return analyses.crossJoin(counts).select("analyses", "rois", F.col("m.roi").alias("modal_roi"))  # one row each
 
 
 @query(f"SELECT pair, ml_model, roi, round(importance, 6) + 0.0 AS importance FROM ({TOP}) WHERE pair IN ('A vs F', 'N vs O') AND ml_model IN ('1-URGENT', '5-LOW')")
