@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,16 +81,17 @@ def run_values(series: DataFrame, runs: list[tuple[bool, ...]], column: str = "y
     return [found.get(k) for k in range(len(runs))]
 
 
-def search_lag(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y", rounds: int = 10_000) -> tuple[float, float, float]:
+def climb(values_of, n: int, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, rounds: int = 10_000) -> tuple[float, float, float]:
     """Best lag with duration 1, then best duration, then hill-climbing in steps of `fine` until no neighbour is better.
 
-    Candidates without a correlation (a constant regressor) count as missing. A boxcar is a run of samples, so all candidates
-    with one run have one value, which is worked out once; a neighbour is the next candidate with another run in each of the
-    eight directions, so that the climb doesn't end on the first plateau where `fine` is smaller than the sampling step. The
-    value rises with every move and there are finitely many runs, so the climb ends; beyond `rounds` moves it raises.
+    values_of(runs) gives the value of each boxcar, seen as the run of the n samples that it covers, or None. Candidates
+    without a correlation (a constant regressor) count as missing. All candidates with one run have one value, which is
+    worked out once; a neighbour is the next candidate with another run in each of the eight directions, so that the climb
+    doesn't end on the first plateau where `fine` is smaller than the sampling step. The value rises with every move and
+    there are finitely many runs, so the climb ends; beyond `rounds` moves it raises.
     """
-    series = series.select(column).persist()
     values: dict[tuple[bool, ...], float | None] = {}
+    t = np.arange(n) * step
 
     def run_of(lag: float, d: float) -> tuple[bool, ...]:
         return tuple(bool(v) for v in (t >= event + lag - 1e-9) & (t <= event + lag + d + 1e-9))
@@ -97,7 +100,7 @@ def search_lag(series: DataFrame, event: float, lags: list[float], durations: li
         runs = [run_of(lag, d) for lag, d in candidates]
         new = [run for run in dict.fromkeys(runs) if run not in values]
         if new:
-            values.update(zip(new, run_values(series, new, column), strict=True))
+            values.update(zip(new, values_of(new), strict=True))
         known = [(values[run], -float(lag), -float(d)) for run, (lag, d) in zip(runs, candidates, strict=True) if values[run] is not None]
         if not known:
             return lags[0], durations[0], float("nan")
@@ -114,29 +117,57 @@ def search_lag(series: DataFrame, event: float, lags: list[float], durations: li
                 return x, y
         return None
 
+    lag, _, _ = best([(x, 1.0) for x in lags])
+    lag, d, value = best([(lag, x) for x in durations])
+    for _ in range(rounds):
+        around = [n for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (n := neighbour(lag, d, a, b))]
+        new_lag, new_d, new = best(around)
+        if not new > value:
+            return lag, d, value
+        lag, d, value = new_lag, new_d, new
+    raise RuntimeError(f"the lag search has not settled after {rounds} moves")
+
+
+def search_lag(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y", rounds: int = 10_000) -> tuple[float, float, float]:
+    """(lag, duration, value) of the climb on the mean absolute correlation over all series; a round is one pass."""
+    series = series.select(column).persist()
     try:
         size = series.select(F.size(column)).first()
-        t = np.arange(size[0] if size else 0) * step
-        lag, _, _ = best([(x, 1.0) for x in lags])
-        lag, d, value = best([(lag, x) for x in durations])
-        for _ in range(rounds):
-            around = [n for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (n := neighbour(lag, d, a, b))]
-            new_lag, new_d, new = best(around)
-            if not new > value:
-                return lag, d, value
-            lag, d, value = new_lag, new_d, new
-        raise RuntimeError(f"the lag search has not settled after {rounds} moves")
+        return climb(lambda runs: run_values(series, runs, column), size[0] if size else 0, event, lags, durations, fine, step, rounds)
     finally:
         series.unpersist()
 
 
-def combine(components: DataFrame, target: list[float], threshold: float = 0.1, column: str = "y") -> DataFrame:
-    """Rows (t, combined): the sum of the series whose absolute correlation with the target is above the threshold, each
-    with the correlation's sign. Component 0 is never used."""
+def search_lags(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y") -> DataFrame:
+    """A climb for each row (a component in a movement, say) on its own absolute correlation: the other columns, and lag,
+    duration and abs_r (NaN where no candidate has a correlation)."""
+
+    def one(y):
+        off = y - y.mean() if len(y) else y
+        length = np.sqrt(off @ off)
+
+        def values_of(runs):
+            r = np.array(runs, dtype=float)
+            r -= r.mean(axis=1, keepdims=True)
+            spread = np.sqrt((r * r).sum(axis=1)) * length
+            return [abs(float(v)) / s if s > 1e-12 else None for v, s in zip(r @ off, spread.tolist(), strict=True)]
+
+        return climb(values_of, len(y), event, lags, durations, fine, step)
+
+    def step_of(x):
+        found = np.array([one(y) for y in x])
+        return found[:, 0], found[:, 1], found[:, 2]
+
+    return map_series(series, column, "lag double, duration double, abs_r double", step_of)
+
+
+def combine(components: DataFrame, target: list[float], threshold: float = 0.1, column: str = "y", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (*keys, t, combined): for each key the sum of the series whose absolute correlation with the target is above the
+    threshold, each with the correlation's sign. Component 0 is never used."""
     r = pearson(F.col(column), F.array(*[F.lit(float(v)) for v in target]))
     used = components.filter(F.col("pc") != 0).withColumn("r", r).filter(F.abs("r") > threshold)
-    long = used.select(F.signum("r").alias("sign"), F.posexplode(column).alias("t", "v"))
-    return long.groupBy("t").agg(F.sum(F.col("sign") * F.col("v")).alias("combined"))
+    long = used.select(*keys, F.signum("r").alias("sign"), F.posexplode(column).alias("t", "v"))
+    return long.groupBy(*keys, "t").agg(F.sum(F.col("sign") * F.col("v")).alias("combined"))
 
 
 def raw_peaks(long: DataFrame, keys: list[str], order: str = "t", value: str = "y") -> DataFrame:

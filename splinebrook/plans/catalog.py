@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.basis import evaluate, knots, lambdas, penalty, times
-from ..operators import classify, fpca, learning, relational as R, rsa, similarity as S, timeseries as T
+from ..operators import classify, compare, fpca, learning, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
 from . import spline_sql as Q
 
@@ -356,6 +356,16 @@ def t8_best_lag(spark, d):
     return spark.createDataFrame([(lag, duration, r)], "lag double, duration double, mean_abs_r double")
 
 
+@query()
+def t8_lag_by_component(spark, d):
+    """The search for each region's series (a component) in each half of the volumes (a movement), after the fifth sample."""
+    y = _roi_arrays(spark, d)
+    halves = F.array(F.struct(F.lit(1).alias("movement"), F.slice("y", 1, VOLUMES // 2).alias("y")), F.struct(F.lit(2).alias("movement"), F.slice("y", VOLUMES // 2 + 1, VOLUMES // 2).alias("y")))
+    parts = y.select(F.col("roi").alias("pc"), F.explode(halves).alias("h")).select("pc", "h.movement", "h.y")
+    found = T.search_lags(parts, 5.0, [float(x) for x in range(0, 10)], [1.0, 3.0, 5.0])
+    return found.select("pc", "movement", "lag", "duration", r6("abs_r", "abs_r"))
+
+
 _TARGET = [float(np.sin(2 * np.pi * t / 30)) for t in range(30)]
 
 
@@ -502,6 +512,29 @@ def r1_subspace_similarity(spark, d):
     return spark.createDataFrame(rows, "i int, j int, sim double").select("i", "j", r6("sim", "sim"))
 
 
+def _region_components(spark, d):
+    """Three components of each region (a subject) in each half of the volumes (a movement), with two basis sizes."""
+    half, rows = VOLUMES // 2, []
+    for k in (8, K):
+        smoother = fpca.smoother_for(half, k, DEGREE, 2, TR)
+        for movement in (1, 2):
+            s = tab.signals(spark, d).select("roi", F.slice("y", (movement - 1) * half + 1, half).alias("y"))
+            coeffs = fpca.fit_series(s, smoother, np.array(FEW_LAMBDAS)).select("roi", "c")
+            for roi, m in fpca.grouped_moments(coeffs, "roi", "c").items():  # regions are few by definition
+                model = fpca.FpcaModel.of_moments(*m, 3, penalty(0.0, (half - 1) * TR, k, DEGREE, 0), smoother.f)
+                rows += [(f"K={k}", movement, roi, pc, model.vectors[:, pc].tolist(), (smoother.f @ model.vectors[:, pc]).tolist()) for pc in range(3)]
+    return spark.createDataFrame(rows, "params string, movement int, subject long, pc int, vec array<double>, signal array<double>")
+
+
+@query()
+def r13_compare_components(spark, d):
+    """Consistency over the halves of the regions' components for two basis sizes, by subspaces and by representatives."""
+    components = _region_components(spark, d)
+    scored = [compare.compare(components, how)[1].withColumn("how", F.lit(how)) for how in ("subspace", "fixed", "correlated")]
+    out = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    return out.select("how", "params", r6("score", "score"), r6("one_minus_p", "one_minus_p"))
+
+
 @query(f"""WITH h AS (SELECT a.user_id, a.t, a.y AS a, b.y AS b FROM ({EV}) a JOIN ({EV}) b ON a.user_id = b.user_id AND b.t = a.t + 15 WHERE a.t < 15),
  r AS (SELECT user_id, rank() OVER (PARTITION BY user_id ORDER BY a) + (count(*) OVER (PARTITION BY user_id, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY user_id ORDER BY b) + (count(*) OVER (PARTITION BY user_id, b) - 1) / 2.0 AS rb FROM h)
  SELECT round(avg(CASE WHEN isnan(rho) THEN NULL ELSE rho END), 6) + 0.0 AS mean_spearman FROM (SELECT user_id, corr(ra, rb) AS rho FROM r GROUP BY user_id)""")
