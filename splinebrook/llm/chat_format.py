@@ -121,23 +121,27 @@ class Hmm:
     def first(self) -> np.ndarray:
         return np.where(OPENS, self.start[ROLE] + self.style[MARKED.astype(int)], -np.inf)
 
-    def steps(self) -> Callable[[Observation], np.ndarray]:
-        """Transition and emission together, by observation; there are few different ones."""
+    @functools.cached_property
+    def step(self) -> Callable[[Observation], np.ndarray]:
+        """Transition and emission together, by observation; there are few different ones, worked out once a process."""
         return functools.lru_cache(maxsize=None)(lambda o: self.transition(o[3]) + self.emission(o)[None, :])
 
-    def transfer(self, observations: list[Observation], opening: bool) -> np.ndarray:
-        """Best score from each state before the lines to each state at the last; opening: nothing is before them."""
-        step, score = self.steps(), None
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "step"}
+
+    def transfer(self, observations: list[Observation]) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores of each state at the last line where nothing is before the lines, and from each state before them."""
+        score = None
         for o in observations:
             if score is None:
-                score = np.broadcast_to(self.first() + self.emission(o), (STATES, STATES)) if opening else step(o)
+                score = np.vstack([self.first() + self.emission(o), self.step(o)])
             else:
-                score = (score[:, :, None] + step(o)[None, :, :]).max(axis=1)
-        return score
+                score = (score[:, :, None] + self.step(o)[None, :, :]).max(axis=1)
+        return score[0], score[1:]
 
     def decode(self, observations: list[Observation], before: int | None, last: int | None) -> list[int]:
         """The best states between the given ones; before None: nothing is before the lines; last None: any may be last."""
-        step, score, back = self.steps(), None, []
+        step, score, back = self.step, None, []
         for o in observations:
             if score is None:
                 score = self.first() + self.emission(o) if before is None else step(o)[before]
@@ -265,7 +269,7 @@ def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
         hmm = held.value
         for table in runs(batches, n_keys):
             observations, _ = observed(table)
-            found = [hmm.transfer(observations, opening).ravel() for opening in (True, False)]
+            found = [f.ravel() for f in hmm.transfer(observations)]
             key = [table.column(c).slice(0, 1).combine_chunks() for c in range(n_keys)]
             lists = [pa.array([f.tolist()], pa.list_(pa.float64())) for f in found]
             yield pa.RecordBatch.from_arrays([*key, *lists], [*SEGMENT_KEYS, "opening", "inside"])
@@ -281,8 +285,8 @@ def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
                 first = not seen or name != conv
                 conv, seen = name, True
                 entries.append(None if first else score.tolist())
-                matrix = np.array(batch.column(n_keys if first else n_keys + 1)[k].as_py()).reshape(STATES, STATES)
-                score = matrix[0] if first else (score[:, None] + matrix).max(axis=0)
+                found = np.array(batch.column(n_keys if first else n_keys + 1)[k].as_py())
+                score = found if first else (score[:, None] + found.reshape(STATES, STATES)).max(axis=0)
             lists = pa.array(entries, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n_keys + 2)), lists], [*SEGMENT_KEYS, "opening", "inside", "entry"])
 
@@ -294,8 +298,8 @@ def format_chats(df: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
                 last_of_conv = not seen or name != conv
                 conv, seen = name, True
                 entry = batch.column(n_keys + 2)[k].as_py()
-                matrix = np.array(batch.column(n_keys if entry is None else n_keys + 1)[k].as_py()).reshape(STATES, STATES)
-                total = matrix[0][None, :] if entry is None else np.array(entry)[:, None] + matrix
+                found = np.array(batch.column(n_keys if entry is None else n_keys + 1)[k].as_py())
+                total = found[None, :] if entry is None else np.array(entry)[:, None] + found.reshape(STATES, STATES)
                 last = int(total.max(axis=0).argmax()) if last_of_conv else wanted
                 before = None if entry is None else int(total[:, last].argmax())
                 lasts.append(last)
