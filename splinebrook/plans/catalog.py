@@ -196,10 +196,10 @@ def group_fpca_project(spark, d):
 
 
 _GROUP = f"""{_smoothed(FEW_LAMBDAS, metric=True)}, {Q.gcv(SIG, VOLUMES, K)},
- cov AS MATERIALIZED ({Q.covariance("SELECT c AS x FROM fit WHERE n = 1 AND voxel_id % 2 = 0", K)}),
+ cov AS MATERIALIZED ({Q.covariance("SELECT 0 AS k, c AS x FROM fit WHERE n = 1 AND voxel_id % 2 = 0", K)}),
  cu AS (SELECT [[list_sum([cov.s[i][l] * u.m[l][j] FOR l IN range(1, {K + 1})]) FOR j IN range(1, {K + 1})] FOR i IN range(1, {K + 1})] AS m FROM cov, u),
  sigma AS MATERIALIZED (SELECT [[(m[i][j] + m[j][i]) / 2 FOR j IN range(1, {K + 1})] FOR i IN range(1, {K + 1})] AS s FROM cu),
- {Q.leading("SELECT s FROM sigma", K, 3)}"""
+ {Q.leading("SELECT 0 AS k, s FROM sigma", K, 3)}"""
 
 
 def _group_model(spark, d):
@@ -503,7 +503,9 @@ def r2_representative_pc(spark, d):
     return S.representatives(corr).select("file", "rep_pc", r6("total", "total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE cov AS MATERIALIZED ({Q.covariance(f"SELECT roi AS k, y AS x FROM ({SIG})", VOLUMES)}), {Q.leading("SELECT k, s FROM cov", VOLUMES, 3)},
+ e AS (SELECT k, v FROM e1 UNION ALL SELECT k, v FROM e2 UNION ALL SELECT k, v FROM e3)
+ SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(sum(pow(list_dot_product(a.v, b.v), 2)) / 3, 6) + 0.0 AS sim FROM e a JOIN e b ON a.k < b.k GROUP BY a.k, b.k""")
 def r1_subspace_similarity(spark, d):
     """Similarity of the leading subspaces of the regions' signals, for pairs of regions."""
     found = fpca.grouped_moments(tab.signals(spark, d), "roi", "y")  # regions are few by definition
@@ -854,7 +856,7 @@ def m10_permutation_p(spark, d):
     return spark.createDataFrame(rows, "pair string, p double")
 
 
-@query(f"""WITH RECURSIVE days AS MATERIALIZED (SELECT user_id, list(y ORDER BY t) AS x FROM ({EV}) GROUP BY user_id), cov AS MATERIALIZED ({Q.covariance("SELECT x FROM days", tab.DAYS)}), {Q.leading("SELECT s FROM cov", tab.DAYS, 2)}
+@query(f"""WITH RECURSIVE days AS MATERIALIZED (SELECT user_id, list(y ORDER BY t) AS x FROM ({EV}) GROUP BY user_id), cov AS MATERIALIZED ({Q.covariance("SELECT 0 AS k, x FROM days", tab.DAYS)}), {Q.leading("SELECT k, s FROM cov", tab.DAYS, 2)}
  SELECT user_id, """ + ", ".join(f"round(list_dot_product([x[i] - mean[i] FOR i IN range(1, {tab.DAYS + 1})], e{c}.v), 4) + 0.0 AS pc{c}" for c in (1, 2)) + " FROM days, cov, e1, e2")
 def m12_principal_plane(spark, d):
     """Subjects on the two leading principal axes of their features."""

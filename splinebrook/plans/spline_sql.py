@@ -69,26 +69,28 @@ def gcv(signals: str, volumes: int, k: int) -> str:
 
 
 def leading(matrix: str, size: int, q: int, name: str = "e", squarings: int = 24) -> str:
-    """Tables e1..eq, each one row (s: what is left of the symmetric matrix s, v: its leading eigenvector with the largest
-    entry positive, value), by squaring the matrix again and again and taking out what was found."""
+    """matrix has k (of each matrix) and s (symmetric) -> tables e1..eq (k, s: what is left of the matrix, v: its leading
+    eigenvector with the largest entry positive, value), by squaring the matrix again and again and taking out what was found."""
     out, source = [], matrix
-    scaled = "SELECT n, [[x / t FOR x IN r] FOR r IN m] AS m FROM (SELECT n, m, list_sum([m[i][i] FOR i IN range(1, len(m) + 1)]) AS t FROM ({0}))"
+    scaled = "SELECT k, n, [[x / t FOR x IN r] FOR r IN m] AS m FROM (SELECT k, n, m, list_sum([m[i][i] FOR i IN range(1, len(m) + 1)]) AS t FROM ({0}))"
     for c in range(1, q + 1):
-        begin = scaled.format(f"SELECT 0 AS n, s AS m FROM ({source})")
-        square = scaled.format(f"SELECT n + 1 AS n, [[list_dot_product(a, b) FOR b IN m] FOR a IN m] AS m FROM {name}p{c} WHERE n < {squarings}")
+        begin = scaled.format(f"SELECT k, 0 AS n, s AS m FROM ({source})")
+        square = scaled.format(f"SELECT k, n + 1 AS n, [[list_dot_product(a, b) FOR b IN m] FOR a IN m] AS m FROM {name}p{c} WHERE n < {squarings}")
         longest = "list_extract(m, list_position([m[i][i] FOR i IN range(1, len(m) + 1)], list_max([m[i][i] FOR i IN range(1, len(m) + 1)])))"
         out.append(f"{name}p{c} AS ({begin} UNION ALL {square})")
-        vector = f"SELECT [x / sqrt(list_dot_product(r, r)) FOR x IN r] AS v FROM (SELECT {longest} AS r FROM {name}p{c} WHERE n = {squarings})"
-        out.append(f"{name}{c} AS MATERIALIZED (SELECT s, v, list_dot_product(v, [list_dot_product(r, v) FOR r IN s]) AS value FROM ({source}), (SELECT [x * CASE WHEN list_max(v) < -list_min(v) THEN -1 ELSE 1 END FOR x IN v] AS v FROM ({vector})))")
-        source = f"SELECT [[s[i][j] - value * v[i] * v[j] FOR j IN range(1, {size + 1})] FOR i IN range(1, {size + 1})] AS s FROM {name}{c}"
+        vector = f"SELECT k, [x / sqrt(list_dot_product(r, r)) FOR x IN r] AS v FROM (SELECT k, {longest} AS r FROM {name}p{c} WHERE n = {squarings})"
+        turned = f"SELECT k, [x * CASE WHEN list_max(v) < -list_min(v) THEN -1 ELSE 1 END FOR x IN v] AS v FROM ({vector})"
+        out.append(f"{name}{c} AS MATERIALIZED (SELECT k, s, v, list_dot_product(v, [list_dot_product(r, v) FOR r IN s]) AS value FROM ({source}) JOIN ({turned}) USING (k))")
+        source = f"SELECT k, [[s[i][j] - value * v[i] * v[j] FOR j IN range(1, {size + 1})] FOR i IN range(1, {size + 1})] AS s FROM {name}{c}"
     return ",\n ".join(out)
 
 
 def covariance(rows: str, size: int) -> str:
-    """rows (x: list) -> one row (mean, s): mean and population covariance."""
-    cells = f"SELECT list(r ORDER BY i) AS s FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, covar_pop(x[i], x[j]) AS v FROM ({rows}) CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS j) GROUP BY i, j) GROUP BY i)"
-    means = f"SELECT list(v ORDER BY i) AS mean FROM (SELECT i, avg(x[i]) AS v FROM ({rows}) CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY i)"
-    return f"SELECT mean, s FROM ({means}), ({cells})"
+    """rows (k, x: list) -> rows (k, mean, s): mean and population covariance of each k."""
+    at = f"SELECT unnest(range(1, {size + 1}))"
+    cells = f"SELECT k, list(r ORDER BY i) AS s FROM (SELECT k, i, list(v ORDER BY j) AS r FROM (SELECT k, i, j, covar_pop(x[i], x[j]) AS v FROM ({rows}) CROSS JOIN ({at} AS i) CROSS JOIN ({at} AS j) GROUP BY k, i, j) GROUP BY k, i) GROUP BY k"
+    means = f"SELECT k, list(v ORDER BY i) AS mean FROM (SELECT k, i, avg(x[i]) AS v FROM ({rows}) CROSS JOIN ({at} AS i) GROUP BY k, i) GROUP BY k"
+    return f"SELECT k, mean, s FROM ({means}) JOIN ({cells}) USING (k)"
 
 
 def band_pass(signals: str, volumes: int, tr: float, low: float, high: float) -> str:
