@@ -39,6 +39,8 @@ RS = f"SELECT u.subject, r.roi, g.t, coalesce(d.y, 0.0) AS y FROM (SELECT DISTIN
 IMP = "SELECT l_returnflag || ' vs ' || l_linestatus AS pair, o_orderpriority AS ml_model, p_brand AS roi, round(avg(l_discount * l_quantity), 9) AS importance FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY pair, ml_model ORDER BY importance DESC, roi DESC) AS rank FROM ({IMP})"
 TOP = f"SELECT * FROM ({RANKED}) WHERE rank <= {TOP_N}"
+#: Importances have nine decimals, so their sums are exact as decimals and a mean does not depend on the order of rows.
+MEAN = "round(CAST(sum(CAST(importance AS DECIMAL(28, 9))) AS DOUBLE) / count(importance), 6) + 0.0 AS mean_importance"
 PRED = "SELECT l.doc_id, d.lang AS grp, l.quality AS y, n_chars / (n_chars + 2000) AS score, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
 
@@ -967,9 +969,14 @@ def a17_top5_frequency(spark, d):
     return R.top_k(_ranked(spark, d).filter("rank <= 5").groupBy("roi").agg(F.count(F.lit(1)).alias("n")), 15, F.desc("n"), F.col("roi"))
 
 
-@query(f"SELECT roi, round(avg(importance), 6) + 0.0 AS mean_importance FROM ({TOP}) GROUP BY roi ORDER BY mean_importance DESC, roi LIMIT 20")
+def _mean_importance():
+    total = F.sum(F.col("importance").cast("decimal(28, 9)")).cast("double")
+    return r6(total / F.count("importance"), "mean_importance")
+
+
+@query(f"SELECT roi, {MEAN} FROM ({TOP}) GROUP BY roi ORDER BY mean_importance DESC, roi LIMIT 20")
 def a18_mean_importance(spark, d):
-    return R.top_k(_top(spark, d).groupBy("roi").agg(r6(F.avg("importance"), "mean_importance")), 20, F.desc("mean_importance"), F.col("roi"))
+    return R.top_k(_top(spark, d).groupBy("roi").agg(_mean_importance()), 20, F.desc("mean_importance"), F.col("roi"))
 
 
 @query(f"SELECT roi, count(*) AS n FROM ({TOP}) GROUP BY roi ORDER BY n DESC, roi LIMIT 20")
@@ -978,15 +985,15 @@ def a19_roi_frequency(spark, d):
 
 
 def _summary(top: DataFrame, key: str) -> DataFrame:
-    return top.groupBy(key).agg(r6(F.avg("importance"), "mean_importance"), r6(F.stddev_samp("importance"), "std_importance"), F.count(F.lit(1)).alias("n"))
+    return top.groupBy(key).agg(_mean_importance(), r6(F.stddev_samp("importance"), "std_importance"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT ml_model, round(avg(importance), 6) + 0.0 AS mean_importance, round(stddev_samp(importance), 6) + 0.0 AS std_importance, count(*) AS n FROM ({TOP}) GROUP BY ml_model")
+@query(f"SELECT ml_model, {MEAN}, round(stddev_samp(importance), 6) + 0.0 AS std_importance, count(*) AS n FROM ({TOP}) GROUP BY ml_model")
 def a20_model_summary(spark, d):
     return _summary(_top(spark, d), "ml_model")
 
 
-@query(f"SELECT pair, round(avg(importance), 6) + 0.0 AS mean_importance, round(stddev_samp(importance), 6) + 0.0 AS std_importance, count(*) AS n FROM ({TOP}) GROUP BY pair")
+@query(f"SELECT pair, {MEAN}, round(stddev_samp(importance), 6) + 0.0 AS std_importance, count(*) AS n FROM ({TOP}) GROUP BY pair")
 def a21_pair_summary(spark, d):
     return _summary(_top(spark, d), "pair")
 
