@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, embed_dedup, html_extract, lang_id, packing, simhash, substring_dedup, toxicity
+from . import ann, bpe, chat_format, embed_dedup, html_extract, lang_id, packing, phrases, simhash, substring_dedup, toxicity
 from .common import read_table
 
 
@@ -69,6 +69,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ann": op2_ann,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op13_phrases": op13_phrases,
 }
 
 #: DuckDB SQL over whole tables.
@@ -103,4 +108,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN c USING (doc_id)
     """,
+    "op13_phrases": r"""
+        WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+        g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM p CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30),
+        k AS (SELECT c.lang, c.size, c.phrase, c.a, k, h.a AS l, t.a AS r, CAST(2000000 AS HUGEINT) * c.a // (h.a + t.a) AS score
+              FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1 : c.k], ' ') AND h.size = c.k
+              JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ') AND t.size = c.size - c.k),
+        s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM k) WHERE nth = 1),
+        i AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, array_to_string(w[b : b + len - 1], ' ') AS phrase
+              FROM (SELECT *, unnest(range(1, size - len + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS len FROM c))) GROUP BY ALL),
+        o AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase
+              WHERE NOT coalesce(CAST(100 AS HUGEINT) * longest >= CAST(80 AS HUGEINT) * a, FALSE))
+        SELECT o.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+    """,
 }
