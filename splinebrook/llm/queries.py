@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, embed_dedup, html_extract, lang_id, packing, phrases, simhash, substring_dedup, toxicity
+from . import ann, bpe, chat_format, conversation_repair, embed_dedup, html_extract, lang_id, ngram_lm, packing, phrases, simhash, substring_dedup, toxicity
 from .common import read_table
 
 
@@ -69,6 +69,32 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations with the faults that op11's contract plants, by the CRC-32 of `conv_id:turn`."""
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(place.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    found = conversation_repair.summary(conversation_repair.repair(damaged(conversations)))
+    every = conversations.select("conv_id").distinct().withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return every.join(found, "conv", "left").select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0))).alias(c) for c in found.columns if c != "conv"])
+
+
+def op12_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model = ngram_lm.train_model(docs, ~held_out)
+    return ngram_lm.score(docs, model, train=~held_out).withColumn("held_out", held_out)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -84,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op11_repair": op11_repair,
+    "op12_ngram_lm": op12_ngram_lm,
     "op13_phrases": op13_phrases,
 }
 
