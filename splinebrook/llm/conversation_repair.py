@@ -110,50 +110,75 @@ def behind(matrix: np.ndarray, ending: np.ndarray) -> np.ndarray:
     return np.minimum((matrix + ending).min(axis=1), NEVER)
 
 
-def solve(codes: np.ndarray, ending: np.ndarray, last: bool) -> list[tuple[str, int]]:
-    """For each state on entry: the least of the cheapest audits of these rows, and the state that it leaves.
-
-    ending: the cost of what follows for each state; in a conversation's last segment turns can be inserted behind the rows.
-    """
-    n = len(codes)
-    rows = [[arcs(s, c) for s in range(STATES)] for c in range(16)]
-    costs = [[0] * STATES for _ in range(n + 1)]
-    costs[n] = ending.tolist()
-    for i in range(n - 1, -1, -1):
-        after, here = costs[i + 1], rows[codes[i]]
-        low = [min(c + after[t] for _, c, t in here[s]) for s in range(STATES)]
-        low[USER], low[ASSISTANT] = min(low[USER], 2 + low[ASSISTANT]), min(low[ASSISTANT], 2 + low[USER])
-        low[START], low[SYSTEM] = min(low[START], 2 + low[USER]), min(low[SYSTEM], 2 + low[USER])
-        costs[i] = low
-    nodes = (n + 1) * STATES
-    ways: list[list[tuple[int, int]]] = [[] for _ in range(nodes)]  # (letter, node) of the arcs on cheapest ways
-    for i in range(n + 1):
-        for s in range(STATES):
-            here = ways[i * STATES + s]
-            if i < n:
-                here += [(LETTERS.index(x) + 1, (i + 1) * STATES + t) for x, c, t in rows[codes[i]][s] if c + costs[i + 1][t] == costs[i][s]]
-            if (i < n or last) and 2 + costs[i][NEXT[s]] == costs[i][s]:
-                here.append((2, i * STATES + NEXT[s]))
-    letter, pointer = np.zeros(nodes, dtype=np.int64), np.arange(nodes)
-    for v, found in enumerate(ways):
-        if found:
-            letter[v], pointer[v] = min(found)  # no two arcs of a node have one letter
-    rank, steps = letter.copy(), [pointer]
-    while (letter[steps[-1]] > 0).any():  # some way is longer than the letters ranked so far
+def arc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Cost and state of each letter's arc for each code and state; code 16 stands behind the last row of a segment, 17 behind
+    that of a conversation, where turns can still be inserted."""
+    cost, state = np.full((len(LETTERS), 18, STATES), NEVER, dtype=np.int64), np.zeros((len(LETTERS), 18, STATES), dtype=np.int64)
+    for s in range(STATES):
+        for code in range(16):
+            for letter, c, t in [*arcs(s, code), ("I", 2, NEXT[s])]:
+                cost[LETTERS.index(letter), code, s], state[LETTERS.index(letter), code, s] = c, t
+        cost[LETTERS.index("I"), 17, s], state[LETTERS.index("I"), 17, s] = 2, NEXT[s]
+    return cost, state
+
+
+ARC_COST, ARC_STATE = arc_tables()
+BY_CODE = [[[(c, t) for _, c, t in arcs(s, code)] for s in range(STATES)] for code in range(16)]
+#: Nodes times the longest audit that are solved together, so that memory is bounded.
+TOGETHER = 1 << 18
+
+
+def ways_to_end(codes: np.ndarray, ending: np.ndarray) -> list[list[int]]:
+    """The cost of the cheapest way to the end from each state before each row, and behind the last."""
+    out = [ending.tolist()]
+    for code in reversed(codes.tolist()):
+        after = out[-1]
+        start, system, user, assistant = (min(c + after[t] for c, t in moves) for moves in BY_CODE[code])
+        user, assistant = min(user, 2 + assistant), min(assistant, 2 + user)
+        out.append([min(start, 2 + user), min(system, 2 + user), user, assistant])
+    return out[::-1]
+
+
+def solve_all(segments: list[tuple[np.ndarray, np.ndarray, bool]]) -> list[list[tuple[str, int]]]:
+    """For each segment (codes, the cost of what follows it from each state, whether it is a conversation's last) and each state on
+    entry: the least of the cheapest audits of its rows, and the state that it leaves."""
+    sizes = np.array([len(c) + 1 for c, _, _ in segments])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    togo = np.array([low for codes, ending, _ in segments for low in ways_to_end(codes, ending)], dtype=np.int64)
+    code = np.concatenate([x for codes, _, last in segments for x in (codes, np.array([17 if last else 16], dtype=np.uint8))])
+    rows = np.arange(len(code))
+    letter, pointer = np.zeros(togo.shape, dtype=np.int64), rows[:, None] * STATES + np.arange(STATES)
+    for k in reversed(range(len(LETTERS))):
+        place = rows if LETTERS[k] == "I" else np.minimum(rows + 1, len(rows) - 1)
+        target = place[:, None] * STATES + ARC_STATE[k][code]
+        cheapest = ARC_COST[k][code] + togo.ravel()[target] == togo
+        letter, pointer = np.where(cheapest, k + 1, letter), np.where(cheapest, target, pointer)  # the least letter stays
+    letter, steps = letter.ravel(), [pointer.ravel()]
+    rank = letter.copy()
+    while (letter[steps[-1]] > 0).any():  # some audit is longer than those ranked so far
         jump = steps[-1]
-        rank = np.unique(rank * (nodes + 5) + rank[jump], return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.unique(rank * (len(rank) + len(LETTERS) + 1) + rank[jump], return_inverse=True)[1].astype(np.int64) + 1
         steps.append(jump[jump])
-    chosen = np.array([min(((x, rank[t], t) for x, t in found), default=(0, 0, v))[2] for v, found in enumerate(ways)])
-    steps[0] = chosen
-    for k in range(1, len(steps)):
-        steps[k] = steps[k - 1][steps[k - 1]]
-    out = []
-    for s in range(STATES):
-        way = np.array([s])
-        for jump in reversed(steps):  # nodes 2^k letters apart, then half as far
-            way = np.stack([way, jump[way]], axis=1).ravel()
-        found = letter[way]
-        out.append(("".join(LETTERS[x - 1] for x in found[found > 0].tolist()), int(way[-1]) % STATES))
+    way = (starts[:, None] * STATES + np.arange(STATES)).ravel()[:, None]
+    for jump in reversed(steps):  # nodes 2^k letters apart, then half as far
+        way = np.stack([way, jump[way]], axis=2).reshape(len(way), -1)
+    text = np.frombuffer(b"\0" + LETTERS.encode(), dtype=np.uint8)[letter[way]]
+    found = [(t.tobytes().rstrip(b"\0").decode(), int(w) % STATES) for t, w in zip(text, way[:, -1], strict=True)]
+    return [found[k : k + STATES] for k in range(0, len(found), STATES)]
+
+
+def solve(segments: list[tuple[np.ndarray, np.ndarray, bool]]) -> list[list[tuple[str, int]]]:
+    """solve_all, a bounded number of nodes and letters at a time."""
+    out, at = [], 0
+    while at < len(segments):
+        stop, longest = at, 0
+        while stop < len(segments):
+            longest = max(longest, 2 * len(segments[stop][0]) + 8)
+            if stop > at and (stop - at + 1) * STATES * longest > TOGETHER:
+                break
+            stop += 1
+        out += solve_all(segments[at:stop])
+        at = stop
     return out
 
 
@@ -238,16 +263,15 @@ def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Audits and states on leaving, for each state on entry, of segments that come last first within conversations."""
     conv, ending, seen = None, None, False
     for batch in batches:
-        audits, exits, ends = [], [], []
+        segments = []
         for name, codes, matrix in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             last = not seen or name != conv
             conv, seen = name, True
             ending = ENDING if last else ending
-            found = solve(np.frombuffer(codes, dtype=np.uint8), ending, last)
-            audits.append([a for a, _ in found])
-            exits.append([e for _, e in found])
-            ends.append(last)
+            segments.append((np.frombuffer(codes, dtype=np.uint8), ending, last))
             ending = behind(np.array(matrix).reshape(STATES, STATES), ending)
+        found = solve(segments)
+        audits, exits = ([[x[k] for x in f] for f in found] for k in (0, 1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(audits, pa.list_(pa.string())), pa.array(exits, pa.list_(pa.int32()))], [*KEYS, "audits", "exits"])
 
 
@@ -314,7 +338,8 @@ def repair(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
     ordered.select("conv", "turn", "role", "text", "copies", "fault", "initial").mapInArrow(cutter(segment), SEGMENTS).write.parquet(at)
     segments = spark.read.parquet(at)
     down = [F.col("conv"), F.desc("part"), F.desc("seq")]
-    ways = segments.select(*KEYS, "codes", "matrix").repartition("conv").sortWithinPartitions(*down).mapInArrow(settled, "conv string, part int, seq int, audits array<string>, exits array<int>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a code is a byte but takes a while: bytes don't tell how many
+    ways = segments.select(*KEYS, "codes", "matrix").repartition(tasks, "conv").sortWithinPartitions(*down).mapInArrow(settled, "conv string, part int, seq int, audits array<string>, exits array<int>")
     chosen = ways.repartition("conv").sortWithinPartitions(*KEYS).mapInArrow(entered, "conv string, part int, seq int, entry int, audit string")
     return segments.join(chosen, KEYS).select(*KEYS, *[c for c in ("codes", "roles", "texts", "faults", "low", "high", "turns", "entry", "audit")]).mapInArrow(mended, MENDED)
 

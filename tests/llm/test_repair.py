@@ -110,11 +110,11 @@ def test_segments_chain():
     r = random.Random(5)
     for _ in range(300):
         codes = np.array([r.randrange(4) | r.choice([0, 0, C.GONE, C.CUT]) for _ in range(r.randrange(1, 12))], dtype=np.uint8)
-        whole = C.solve(codes, C.ENDING, True)[0][0]
+        whole = C.solve([(codes, C.ENDING, True)])[0][0][0]
         borders = [0, *sorted(r.sample(range(1, len(codes)), min(len(codes) - 1, 3))), len(codes)]
         parts, ending, solved = list(zip(borders[:-1], borders[1:], strict=True)), C.ENDING, []
         for a, b in reversed(parts):
-            solved.append(C.solve(codes[a:b], ending, b == len(codes)))
+            solved += C.solve([(codes[a:b], ending, b == len(codes))])
             ending = C.behind(C.segment_matrix(codes[a:b]), ending)
         state, audit = 0, ""
         for found in reversed(solved):
