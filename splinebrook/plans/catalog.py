@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.basis import evaluate, knots, lambdas, penalty, times
-from ..operators import classify, compare, fpca, learning, relational as R, rsa, similarity as S, timeseries as T
+from ..operators import classify, compare, fpca, learning, permutation, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
-from . import spline_sql as Q
+from . import group_tests as G, spline_sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -778,7 +778,20 @@ def r8_rsa_rho(spark, d):
     return S.spearman(p, "d", "m", []).select(r6("rho", "rho"))
 
 
-@query()
+_SPREAD = f"SELECT user_id AS id, CAST(user_id % 4 AS VARCHAR) AS label FROM ({EV}) GROUP BY user_id HAVING var_pop(y) > 0"
+_SPREAD_DIST = f"SELECT i, j, round(d, 9) AS d FROM ({_DIST}) WHERE i IN (SELECT id FROM ({_SPREAD})) AND j IN (SELECT id FROM ({_SPREAD}))"
+
+
+@query(G.rank_test(_SPREAD_DIST, _SPREAD, 1000, 11))
+def r8_rsa_permutation(spark, d):
+    """The rank correlation and its p among 1000 shuffles of the labels."""
+    dist = rsa.correlation_distance(tab.subject_days(spark, d), "user_id", "y").withColumn("d", F.round("d", 9))
+    return permutation.rank_test(dist, _labels(spark, d), 1000, 11).select(r6("rho", "rho"), "p")
+
+
+@query(f"""WITH RECURSIVE {G.group_tests(_SPREAD_DIST.replace("round(d, 9)", "d"), _SPREAD, 1000, 7)},
+ raw AS (SELECT 'parity' AS target, a || ' vs ' || b AS pair, distance, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, a || ' vs ' || b) AS raw FROM tested)
+ SELECT target, pair, round(distance, 6) + 0.0 AS distance, round(p, 6) + 0.0 AS rsa_p, round(least(min(raw) OVER (ORDER BY p, pair ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) + 0.0 AS rsa_q FROM raw""")
 def r9_r10_rsa_tests(spark, d):
     """Separation and cohesion tests with seeded permutations, and their false-discovery rates."""
     s = tab.subject_days(spark, d).select("user_id", F.col("y").alias("x"))
@@ -1083,3 +1096,6 @@ def f4_strings(spark, d):
 def f5_index_arithmetic(spark, d):
     c = tab.table(spark, d, "customer")
     return c.select("c_custkey", (F.floor(F.col("c_custkey") / 75) + 1).alias("movement"), (F.col("c_custkey") % 75).alias("subject"))
+
+
+from . import joint  # noqa: E402, F401  registers its queries

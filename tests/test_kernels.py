@@ -76,17 +76,6 @@ def test_average_linkage():
     assert rsa.average_linkage(d).tolist() == [0, 0, 1, 1]
 
 
-def test_permutation_p_is_repeatable(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((24, 10))
-    x[:12] += 2
-    labels = np.array(["a"] * 12 + ["b"] * 12)
-    rdm = 1 - np.corrcoef(x + rng.standard_normal(10) * 3 * (labels == "a")[:, None])
-    rho, p = rsa.rsa_test(spark, rdm, labels, n=99)
-    assert rho > 0 and 0.01 <= p <= 1 and rsa.rsa_test(spark, rdm, labels, n=99) == (rho, p)
-    assert rsa.separation_test(spark, rdm, labels, "a", "b", n=99)[1] < 0.1
-
-
 def blobs(n=60, d=12, seed=0):
     rng = np.random.default_rng(seed)
     y = np.arange(n) % 2
@@ -189,19 +178,3 @@ def test_permutation_p_is_of_the_observed_accuracy(spark, sf, monkeypatch):
     want = [np.mean([(g.cv_pred == g.y)[g.y == c].mean() for c in (0, 1)]) for g in (out[out["pair"] == p] for p in pairs)]
     assert [s[0] for s in seen] == pytest.approx(want) and seen[0][0] > seen[1][0]
     assert all(n == 200 and k == 3 and params in ({"k": 10}, {"k": 20}) for _, n, k, params in seen)
-
-
-def test_rsa_tests_leave_the_distances_on_the_cluster(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((23, 9))
-    names = np.array([("a", "b", "c")[min(k % 3, 1)] if k < 22 else "c" for k in range(23)])
-    x[names == "a"] += np.linspace(0, 2, 9)
-    rdm = 1 - np.corrcoef(x)
-    want = {f"{g} vs {g}": rsa.cohesion_test(spark, rdm, names, g, 40, 3) for g in "abc"}
-    want |= {f"{g} vs {h}": rsa.separation_test(spark, rdm, names, g, h, 40, 3) for g, h in ("ab", "ac", "bc")}
-    features = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, x array<double>")
-    labels = spark.createDataFrame([(k, str(g)) for k, g in enumerate(names)], "id long, label string")
-    distances = rsa.correlation_distance(features, "id")
-    monkeypatch.setattr(type(distances), "toPandas", lambda self: pytest.fail("collected"))
-    got = {r["pair"]: (r["distance"], r["rsa_p"]) for r in rsa.analyse(spark, features, "id", labels, "t", n=40, seed=3).collect()}
-    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
