@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.basis import evaluate, knots, lambdas, penalty, times
-from ..operators import classify, compare, fpca, learning, permutation, relational as R, rsa, similarity as S, timeseries as T
+from ..operators import classify, compare, crossval, fpca, learning, permutation, relational as R, rsa, similarity as S, timeseries as T
 from ..sources import tables as tab
 from . import group_tests as G, spline_sql as Q
 
@@ -836,11 +836,21 @@ def _pair_study(spark, d):
     return ids, x, {p: y for p, y in pairs.items() if np.bincount(y[y >= 0], minlength=2).min() > 1}
 
 
+def _pair_rows(spark, d):
+    """The same study as tables: features (id, x) and labels (pair, id, y)."""
+    days = tab.subject_days(spark, d).select(F.col("user_id").alias("id"), F.col("y").alias("x"))
+    label = F.col("id") % 4
+    pair = F.when(label < 2, "0 vs 1").otherwise("2 vs 3")
+    return days, days.select(pair.alias("pair"), "id", (label % 2).cast("int").alias("y"))
+
+
 @query()
 def m9_nested_cv(spark, d):
     """Out-of-fold scores of logistic regression and a tree for each pair of groups."""
     ids, x, pairs = _pair_study(spark, d)
-    return learning.nested_cv(spark, x, ids, pairs, ["LR", "DTree"], {"LR": [{"k": 10}, {"k": 20}]}, k=3).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
+    tree = learning.nested_cv(spark, x, ids, pairs, ["DTree"], k=3)
+    linear = crossval.nested_cv(*_pair_rows(spark, d), "LR", [{"k": 10}, {"k": 20}], folds=3).withColumn("id", F.col("id").cast("string"))
+    return linear.unionByName(tree.select(linear.columns)).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
 
 
 @query()
@@ -862,13 +872,7 @@ def m13_test_evaluation(spark, d):
 @query()
 def m10_permutation_p(spark, d):
     """p of the cross-validated accuracy of logistic regression under shuffled labels, for each pair."""
-    ids, x, pairs = _pair_study(spark, d)
-    grid = [{"k": 10}, {"k": 20}]
-    scored = learning.accuracies(learning.nested_cv(spark, x, ids, pairs, ["LR"], {"LR": grid}, k=3))
-    observed = {r["pair"]: r["balanced_accuracy"] for r in scored.collect()}
-    params = learning.chosen_params(spark, x, pairs, "LR", grid)
-    rows = [(p, learning.permutation_test(spark, x[y >= 0], y[y >= 0], "LR", observed[p], k=3, params=params[p])) for p, y in pairs.items()]
-    return spark.createDataFrame(rows, "pair string, p double")
+    return crossval.permutation_test(*_pair_rows(spark, d), "LR", [{"k": 10}, {"k": 20}], folds=3).select("pair", "p")
 
 
 @query(f"""WITH RECURSIVE days AS MATERIALIZED (SELECT user_id, list(y ORDER BY t) AS x FROM ({EV}) GROUP BY user_id), cov AS MATERIALIZED ({Q.covariance("SELECT 0 AS k, x FROM days", tab.DAYS)}), {Q.leading("SELECT k, s FROM cov", tab.DAYS, 2)}
@@ -883,8 +887,8 @@ def m12_principal_plane(spark, d):
 @query()
 def m14_importances(spark, d):
     """Importance of each feature (a day) for each pair and model, ranked."""
-    _, x, pairs = _pair_study(spark, d)
-    found = learning.importances(spark, x, pairs, ["LR", "SVM"])
+    features, labels = _pair_rows(spark, d)
+    found = crossval.importances(features, labels, "LR").unionByName(crossval.importances(features, labels, "SVM"))
     return R.ranked(found, ["pair", "ml_model"], "weight", "feature_idx").select("pair", "ml_model", "feature_idx", r6("weight", "weight"), "selected", "rank")
 
 
@@ -1098,4 +1102,4 @@ def f5_index_arithmetic(spark, d):
     return c.select("c_custkey", (F.floor(F.col("c_custkey") / 75) + 1).alias("movement"), (F.col("c_custkey") % 75).alias("subject"))
 
 
-from . import joint  # noqa: E402, F401  registers its queries
+from . import images, joint  # noqa: E402, F401  they register their queries

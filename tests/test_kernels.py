@@ -158,23 +158,3 @@ def test_lag_search_climbs_until_it_settles(spark):
     assert r == pytest.approx(max(corr.values())) and r == pytest.approx(corr[on[0], on[-1]]) and len(on) > 9
     with pytest.raises(RuntimeError):
         T.search_lag(days, 10.0, [2.0, 3.0], [1.0, 3.0, 5.0], rounds=1)
-
-
-def test_permutation_p_is_of_the_observed_accuracy(spark, sf, monkeypatch):
-    seen = []
-
-    def spied(spark, x, y, model, observed, n=200, k=5, seed=42, params=None):
-        seen.append((observed, n, k, params))
-        return 0.5
-
-    rng = np.random.default_rng(0)
-    x, label = rng.standard_normal((48, 12)), np.arange(48) % 4
-    x[label == 1] += 3.0
-    pairs = {"0 vs 1": np.where(label < 2, label, -1), "2 vs 3": np.where(label >= 2, label - 2, -1)}
-    monkeypatch.setattr(catalog, "_pair_study", lambda spark, d: (np.arange(48), x, pairs))
-    monkeypatch.setattr(learning, "permutation_test", spied)
-    assert catalog.m10_permutation_p(spark, sf).count() == 2
-    out = learning.nested_cv(spark, x, np.arange(48), pairs, ["LR"], {"LR": [{"k": 10}, {"k": 20}]}, k=3).toPandas()
-    want = [np.mean([(g.cv_pred == g.y)[g.y == c].mean() for c in (0, 1)]) for g in (out[out["pair"] == p] for p in pairs)]
-    assert [s[0] for s in seen] == pytest.approx(want) and seen[0][0] > seen[1][0]
-    assert all(n == 200 and k == 3 and params in ({"k": 10}, {"k": 20}) for _, n, k, params in seen)
