@@ -13,9 +13,12 @@ The corpus is read three times, in chunks of bounded size:
    sent along, so that no word that is not broadcast is frequent.
 2. pairs are counted. Those of the deleted documents feed expectation-maximisation, each round one aggregation to a row for each
    bucket. The most frequent, at most PAIRS, are broadcast with their probabilities.
-3. each document adds up what is known of its tokens at once. Every other pair or word leaves as one short row, dealt and
-   sorted by pair; a group is complete there, so its count is too, and it can't be large, as frequent pairs stayed behind.
-   Documents' shares are added up within a task and then over tasks.
+3. each document adds up what is known of its tokens at once. Every other pair or word leaves with its document; all of one
+   pair meet in one bucket, so that its count is known there, and they can't be many, as frequent pairs stayed behind.
+   Documents' shares are added up within a bucket, and go back by the partition that their documents came from.
+
+Pairs travel in buckets, a chunk's part of a bucket being one row with sorted numbers. There are as many buckets as shuffle
+partitions, and more where a bucket would hold more than BUCKET_TOKENS tokens, so a task's memory is bounded.
 
 Null texts are empty; an empty text is one end. Repeated rows count, and are scored, each for itself. An empty table gives no rows, and no
 training rows a uniform model. Rows without an id are not learned from. Other columns are ignored. Texts are read whole. A row is
@@ -33,11 +36,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpoint
-from .ngrams import CHUNK_BYTES, END, numbered, strings
+from .ngrams import CHUNK_BYTES, END, numbered, strings, word_hashes
 
-VOCABULARY, PAIRS = 1 << 18, 1 << 20
+VOCABULARY, PAIRS = 1 << 17, 1 << 19
 #: Pairs of fewer occurrences are never broadcast, nor kept after they are counted unless deleted documents have them.
 LEAST_PAIR = 64
 #: One in so many training documents is deleted from the counts that the weights are learned with.
@@ -45,6 +49,7 @@ SHARE = 6
 #: Sizes of counts are told apart by eighths of a power of two where the broadcast words and pairs are chosen.
 STEPS = 8
 ROUNDS, TOLERANCE = 30, 1e-5
+BUCKET_TOKENS = 1 << 22
 BUCKETS = 64
 KEPT, DELETED, OTHER = range(3)
 
@@ -169,17 +174,72 @@ def classified(words: Words, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndar
     return tokens, codes, places[codes], doc, context * words.size + token
 
 
-def pair_counter(held: Broadcast):
+def packed(sorted_numbers: np.ndarray) -> bytes:
+    """Differences of sorted numbers, in four bytes each if they fit, else in eight."""
+    steps = np.diff(sorted_numbers, prepend=0)
+    return steps.astype(np.int32 if len(steps) == 0 or steps.max() < 1 << 31 else np.int64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.int32 if len(data) == 4 * n else np.int64), dtype=np.int64)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of keys by bucket (key mod buckets) and key, and each bucket's part of it."""
+    place = keys % buckets * (int(keys.max(initial=0)) // buckets + 1) + keys // buckets
+    order = np.argsort(place)
+    borders = np.searchsorted(keys[order] % buckets, np.arange(buckets + 1))
+    return order, [(b, slice(int(borders[b]), int(borders[b + 1]))) for b in np.flatnonzero(np.diff(borders)).tolist()]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """(key, its rows) of rows that are sorted by the key."""
+    at, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row[key] != at and held:
+                yield at, held
+                held = []
+            at = row[key]
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def pair_counter(held: Broadcast, buckets: int):
+    """A chunk's counts of pairs, a row for each bucket."""
+
     def count(batches):
         for _, kinds, data in documents(batches):
             _, _, _, doc, key = classified(held.value, data)
             found, inverse = np.unique(key, return_inverse=True)
-            counts = by_kind(inverse, kinds[doc], len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(counts[:, k]) for k in range(3))], ["pair", "kept", "deleted", "other"])
+            counts = by_kind(inverse, kinds[doc], len(found)).astype(np.int32)
+            order, parts = dealt(found, buckets)
+            columns = [[b for b, _ in parts], [packed(found[order[p]] // buckets) for _, p in parts], [counts[order[p]].tobytes() for _, p in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "counts"])
 
     return count
 
 
+def pair_summer(buckets: int, least: int):
+    """Counts of the pairs that deleted documents have or that are frequent."""
+
+    def total(batches):
+        for bucket, rows in grouped(batches, "bucket"):
+            counts = [np.frombuffer(r["counts"], dtype=np.int32).reshape(-1, 3) for r in rows]
+            keys = np.concatenate([unpacked(r["keys"], len(c)) for r, c in zip(rows, counts, strict=True)])
+            found, inverse = np.unique(keys, return_inverse=True)
+            sums = np.stack([np.bincount(inverse, weights=np.concatenate([c[:, k] for c in counts]), minlength=len(found)) for k in range(3)], axis=1).astype(np.int64)
+            wanted = (sums[:, DELETED] > 0) | (sums.sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(found[wanted] * buckets + bucket), *(pa.array(sums[wanted, k]) for k in range(3))], ["pair", "kept", "deleted", "other"])
+
+    return total
+
+
+def together(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, key).sortWithinPartitions(key)
+
+
 def size_of(count: Column) -> Column:
     return F.floor(F.log2(count) * STEPS).cast("int")
 
@@ -201,7 +261,7 @@ class Model:
     words: Broadcast  # of Words
     weights: np.ndarray  # a row for each bucket: uniform, single, pair
     pairs: Broadcast  # (sorted pairs, log10 probabilities) of the frequent ones
-    counted: DataFrame
+    buckets: int
 
 
 def marked(docs: DataFrame, train: Column, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -226,14 +286,16 @@ def train_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     words = Words(spelling, count, few, sent["own"].to_numpy(zero_copy_only=False).astype(bool), total, different, kept, *ends)
     held = spark.sparkContext.broadcast(words)
 
-    keys = rows.mapInArrow(pair_counter(held), "pair long, kept long, deleted long, other long").groupBy("pair").agg(*sums)
-    keys = checkpoint(keys.filter((F.col("deleted") > 0) | (every >= least_pair)))
+    tokens = counted.agg(F.sum(every)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET_TOKENS + 1)
+    parts = together(rows.mapInArrow(pair_counter(held, buckets), "bucket int, keys binary, counts binary"), "bucket", buckets)
+    keys = checkpoint(parts.mapInArrow(pair_summer(buckets, least_pair), "pair long, kept long, deleted long, other long"))
     weights = learn(keys.filter("deleted > 0"), held)
     often = keys.filter((every >= least_pair) & (size_of(every) >= least_size(keys.filter(every >= least_pair), every, pairs))).select("pair", seen.alias("n")).toArrow()
     order = np.argsort(often["pair"].to_numpy())
     frequent, n = often["pair"].to_numpy()[order], often["n"].to_numpy()[order]
     known = words.probability(weights, frequent // words.size, frequent % words.size, n)
-    return Model(held, weights, spark.sparkContext.broadcast((frequent, known)), counted)
+    return Model(held, weights, spark.sparkContext.broadcast((frequent, known)), buckets)
 
 
 def learn(pairs: DataFrame, held: Broadcast) -> np.ndarray:
@@ -267,10 +329,20 @@ def learn(pairs: DataFrame, held: Broadcast) -> np.ndarray:
     return weights
 
 
+#: Bits of a row's number within its partition, in monotonically_increasing_id.
+ROW_BITS = 33
+OWN = [("row", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+
+
 def shares(id_kind: pa.DataType, model: Model):
-    """What is known of each document at once (with `known` filled in), and a row for each pair or word that is not."""
-    held, pairs = model.words, model.pairs
-    more = pa.struct([("id", id_kind), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.string())])
+    """A chunk's documents with what is known of them at once, and their other pairs and words, a row for each bucket.
+
+    docs: for each pair or word twice the document's place in the chunk, plus one for a training row; rows of a chunk follow each
+    other.
+    """
+    held, pairs, buckets = model.words, model.pairs, model.buckets
+    own = pa.struct([*OWN, ("id", id_kind)])
+    kinds_of = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(own))
 
     def run(batches):
         words, (frequent, scores) = held.value, pairs.value
@@ -284,105 +356,104 @@ def shares(id_kind: pa.DataType, model: Model):
             at = np.minimum(np.searchsorted(frequent, key), max(len(frequent) - 1, 0))
             often = frequent[at] == key if len(frequent) else np.zeros(len(key), dtype=bool)
             score[often] += scores[at[often]]
-            sums = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, weights=found & (counts > 0), minlength=n).astype(np.int64), *(np.bincount(doc, weights=x, minlength=n) for x in (base, score))]
             ids = np.array([r[0] for r in rest], dtype=np.int64)
-            sign = np.where(kinds == OTHER, -1, 1).astype(np.int32)
-            whole = pa.StructArray.from_arrays([pa.array([r[1] for r in rest], id_kind), *(pa.array(s) for s in sums), pa.nulls(n, pa.string())], fields=list(more))
-            yield batch_of(ids, ids, sign, whole)
+            first = int(ids[0])
+            assert int(ids[-1]) - first == n - 1
+            sums = [ids, np.bincount(doc, minlength=n), np.bincount(doc, weights=found & (counts > 0), minlength=n).astype(np.int64), *(np.bincount(doc, weights=x, minlength=n) for x in (base, score))]
+            whole = pa.StructArray.from_arrays([*(pa.array(s, k) for s, (_, k) in zip(sums, OWN, strict=True)), pa.array([r[1] for r in rest], id_kind)], fields=list(own))
+            out = [(first % buckets, first, None, None, None, whole.to_pylist())]
+            marks = (np.arange(n) * 2 + (kinds != OTHER)).astype(np.int32)
             left = np.flatnonzero(~often)
-            yield batch_of(key[left], ids[doc[left]], sign[doc[left]], pa.nulls(len(left), more))
+            order, parts = dealt(key[left], buckets)
+            left = left[order]
+            out += [(b, first, packed(key[left[p]] // buckets), None, marks[doc[left[p]]].tobytes(), None) for b, p in parts]
             new = np.flatnonzero(~found)
             if len(new):
-                spelled = strings(tokens).take(pa.array(codes[new]))
-                none = [pa.nulls(len(new), f.type) for f in list(more)[:-1]]
-                yield batch_of(codes[new].astype(np.int64), ids[doc[new]], sign[doc[new]], pa.StructArray.from_arrays([*none, spelled], fields=list(more)))
-
-    def batch_of(key, row, sign, extra):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(sign), extra], ["key", "row", "sign", "more"])
+                spelled, hashes = strings(tokens), word_hashes(tokens, 0)
+                order, parts = dealt((hashes[codes[new]] % np.uint64(buckets)).astype(np.int64), buckets)
+                new = new[order]
+                out += [(b, first, None, spelled.take(pa.array(codes[new[p]])).to_pylist(), marks[doc[new[p]]].tobytes(), None) for b, p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], ["bucket", "first", "keys", "words", "docs", "own"])
 
     return run
 
 
 def totals(id_kind: pa.DataType, model: Model):
-    """Documents' shares of sorted rows: those of one pair, or of one word, come together, and their number is its count."""
-    held, weights = model.words, model.weights
-    names = ["row", "id", "n", "known", "base", "score"]
+    """For each bucket the shares of its pairs and words in each document, a row for each partition that documents came from. The
+    documents' own sums go with them."""
+    held, weights, buckets = model.words, model.weights, model.buckets
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([*OWN, ("id", id_kind)])))
+
+    def marks(row):
+        found = np.frombuffer(row["docs"], dtype=np.int32).astype(np.int64)
+        return row["first"] + found // 2, found % 2
 
     def run(batches):
         words = held.value
-        waiting: list[tuple] = []
-        size = 0
-        table = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            table = part if table is None else pa.concat_tables([table, part])
-            # the last group may go on
-            last = len(table) - 1
-            key = table["key"].to_numpy()
-            spelled = table["word"].combine_chunks() if table["word"].null_count < len(table) else None
-            cut = int(np.searchsorted(key, key[last], "left"))
-            if cut:
-                done = table.slice(0, cut)
-                table = table.slice(cut)
-                whole, some = settle(words, done)
-                if whole is not None:
-                    yield whole
-                waiting.append(some)
-                size += cut
-                if size >= 1 << 20:
-                    yield merged(waiting)
-                    waiting, size = [], 0
-        if table is not None:
-            whole, some = settle(words, table)
-            if whole is not None:
-                yield whole
-            yield merged([*waiting, some])
-
-    def settle(words, table):
-        whole = table["n"].is_valid().to_numpy()
-        passed = None
-        if whole.any():
-            passed = table.filter(pa.array(whole)).select(names).combine_chunks().to_batches()[0]
-            table = table.filter(pa.array(~whole))
-        key, sign, row = (table[c].to_numpy() for c in ("key", "sign", "row"))
-        new = table["word"].is_valid().to_numpy()
-        known, base, score = np.zeros(len(key), dtype=np.int64), np.zeros(len(key)), np.zeros(len(key))
-        pair = ~new
-        if pair.any():
-            keys, inverse = np.unique(key[pair], return_inverse=True)
-            count = np.bincount(inverse, weights=sign[pair] > 0, minlength=len(keys))
-            score[pair] = words.probability(weights, keys // words.size, keys % words.size, count)[inverse]
-        if new.any():
-            spelled = table["word"].filter(pa.array(new)).combine_chunks().dictionary_encode()
-            inverse = spelled.indices.to_numpy()
-            count = np.bincount(inverse, weights=sign[new] > 0, minlength=len(spelled.dictionary))
-            base[new], score[new], known[new] = words.base(count)[inverse], words.share(count)[inverse], (count > 0)[inverse]
-        return passed, (row, known, base, score)
-
-    def merged(parts):
-        row, known, base, score = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        rows, inverse = np.unique(row, return_inverse=True)
-        sums = [np.bincount(inverse, weights=x, minlength=len(rows)) for x in (known, base, score)]
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(len(rows), id_kind), pa.array(np.zeros(len(rows), dtype=np.int64)), pa.array(sums[0].astype(np.int64)), *(pa.array(s) for s in sums[1:])], names)
+        for bucket, rows in grouped(batches, "bucket"):
+            out = [(r["first"] >> ROW_BITS, None, None, None, None, r["own"]) for r in rows if r["own"]]
+            pairs, spelled = [r for r in rows if r["keys"] is not None], [r for r in rows if r["words"] is not None]
+            row, known, base, score = [], [], [], []
+            if pairs:
+                key = np.concatenate([unpacked(r["keys"], len(r["docs"]) // 4) for r in pairs]) * buckets + bucket
+                at, learned = (np.concatenate(x) for x in zip(*map(marks, pairs), strict=True))
+                keys, inverse = np.unique(key, return_inverse=True)
+                count = np.bincount(inverse, weights=learned, minlength=len(keys))
+                row.append(at)
+                score.append(words.probability(weights, keys // words.size, keys % words.size, count)[inverse])
+                base.append(np.zeros(len(at)))
+                known.append(np.zeros(len(at)))
+            if spelled:
+                at, learned = (np.concatenate(x) for x in zip(*map(marks, spelled), strict=True))
+                coded = pa.chunked_array([pa.array(r["words"], pa.string()) for r in spelled]).combine_chunks().dictionary_encode()
+                inverse = coded.indices.to_numpy()
+                count = np.bincount(inverse, weights=learned, minlength=len(coded.dictionary))
+                row.append(at)
+                known.append((count > 0)[inverse])
+                base.append(words.base(count)[inverse])
+                score.append(words.share(count)[inverse])
+            if row:
+                found, inverse = np.unique(np.concatenate(row), return_inverse=True)
+                sums = [np.bincount(inverse, weights=np.concatenate(x), minlength=len(found)) for x in (known, base, score)]
+                sums[0] = sums[0].astype(np.int64)
+                borders = np.flatnonzero(np.diff(found >> ROW_BITS, prepend=-1, append=-1))
+                out += [(int(found[a]) >> ROW_BITS, found[a:b], *(x[a:b] for x in sums), None) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "rows", "known", "base", "score", "own"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
+def summed_up(id_kind: pa.DataType):
+    """The documents of each partition with all their shares."""
+
+    def run(batches):
+        for _, found in grouped(batches, "part"):
+            own = [x for r in found if r["own"] for x in r["own"]]
+            order = sorted(range(len(own)), key=lambda k: own[k]["row"])
+            rows = np.array([own[k]["row"] for k in order], dtype=np.int64)
+            shares = [r for r in found if r["rows"] is not None]
+            at = np.searchsorted(rows, np.concatenate([np.array(r["rows"], dtype=np.int64) for r in shares])) if shares else np.zeros(0, dtype=np.int64)
+            columns = []
+            for name, kind in OWN[2:]:
+                more = np.concatenate([np.array(r[name], dtype=float) for r in shares]) if shares else np.zeros(0)
+                total = np.array([own[k][name] for k in order], dtype=float) + np.bincount(at, weights=more, minlength=len(rows))
+                columns.append(pa.array(total.astype(np.int64) if kind == pa.int64() else total))
+            yield pa.RecordBatch.from_arrays([pa.array([own[k]["id"] for k in order], id_kind), pa.array([own[k]["n"] for k in order], pa.int64()), *columns], ["id", "n", "known", "base", "score"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score), one for each of docs, the table that the model was trained on.
 
     train: the training rows, as in train_model: the third reading counts the rarer pairs and words again.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_field = docs.schema[id_col]
     kind, sql_kind = to_arrow_type(id_field.dataType), id_field.dataType.simpleString()
     rows = marked(docs, train, id_col, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
-    parts = rows.mapInArrow(shares(kind, model), f"key long, row long, sign int, more struct<id: {sql_kind}, n: long, known: long, base: double, score: double, word: string>")
-    key = F.when(F.col("more.word").isNotNull(), F.xxhash64("more.word")).otherwise(F.col("key"))
-    flat = parts.select(key.alias("key"), "row", "sign", F.col("more").alias("more"))
-    dealt = flat.repartition("key").sortWithinPartitions("key")
-    dealt = dealt.select("key", "row", "sign", *[F.col(f"more.{c}").alias(c) for c in ("id", "n", "known", "base", "score", "word")])
-    found = dealt.mapInArrow(totals(kind, model), f"row long, id {sql_kind}, n long, known long, base double, score double")
-    sums = found.groupBy("row").agg(F.max("id").alias(id_col), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return sums.select(id_col, "n_tokens", "n_known", F.lit(model.words.value.total).cast("long").alias("train_tokens"), "base_score", "score")
+    own = f"array<struct<row: bigint, n: bigint, known: bigint, base: double, score: double, id: {sql_kind}>>"
+    parts = rows.mapInArrow(shares(kind, model), f"bucket int, first long, keys binary, words array<string>, docs binary, own {own}")
+    found = together(parts, "bucket", model.buckets).mapInArrow(totals(kind, model), f"part long, rows array<long>, known array<long>, base array<double>, score array<double>, own {own}")
+    sums = together(found, "part", model.buckets).mapInArrow(summed_up(kind), f"id {sql_kind}, n long, known long, base double, score double")
+    train_tokens = F.lit(model.words.value.total).cast("long").alias("train_tokens")
+    return sums.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), train_tokens, F.col("base").alias("base_score"), "score")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import LEAST_BITS, MEMBER_BITS, MOST_BITS, total_rows
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: What ends a piece or a text. No word has it.
 END = b"\n"
 #: Odd multipliers that mix the hash of a run of words with that of the next word.

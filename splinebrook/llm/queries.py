@@ -92,7 +92,7 @@ def op12_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
     model = ngram_lm.train_model(docs, ~held_out)
-    return ngram_lm.score(docs, model, train=~held_out).withColumn("held_out", held_out)
+    return ngram_lm.score(docs, model, ~held_out).withColumn("held_out", held_out)
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
