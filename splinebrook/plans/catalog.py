@@ -1102,4 +1102,4 @@ def f5_index_arithmetic(spark, d):
     return c.select("c_custkey", (F.floor(F.col("c_custkey") / 75) + 1).alias("movement"), (F.col("c_custkey") % 75).alias("subject"))
 
 
-from . import images, joint  # noqa: E402, F401  they register their queries
+from . import images, joint, shapes  # noqa: E402, F401  they register their queries
