@@ -1,12 +1,17 @@
-"""Queries of images on the voxel grid: preprocessing and brain masks."""
+"""Queries of images on the voxel grid: preprocessing, brain masks, image files."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import masks as K, preprocess as P, timeseries as T
+from ..operators.classify import discard
+from ..operators.scratch import Steps, folder
 from ..sources import tables as tab
+from ..sources.volumes import Volumes, write_volumes
 from .catalog import GRID, LONG, SIG, VOLUMES, C, query, r6
 
 SIZES = (3.0, 3.0, 4.0)
@@ -141,3 +146,17 @@ def s18_components(spark, d):
     means = cells.select(*"xyz", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / VOLUMES, 9).alias("m"))
     mask = means.filter(F.col("m") >= K.gap_threshold(means, "m", 0.6, 0.9)).select("x", "y", "z")
     return K.components(mask, shape).groupBy("root").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+@query(f"SELECT 'roi-' || roi AS image, x, y, z, CAST(t AS INTEGER) AS t, round(v, 6) + 0.0 AS value FROM (SELECT roi, CAST(voxel_id // 100 AS INTEGER) AS x, CAST((voxel_id // 10) % 10 AS INTEGER) AS y, CAST(voxel_id % 10 AS INTEGER) AS z, t, l.y AS v FROM ({LONG}) l) WHERE v <> 0")
+def x2_volumes(spark, d):
+    """Each region's voxels written as an image of its own, and all images read again: what is not zero."""
+    shape, _ = grid(spark, d)
+    cells = tab.signals(spark, d).select(F.concat(F.lit("roi-"), F.col("roi").cast("string")).alias("image"), *C.voxel_coordinates(F.col("voxel_id"), *GRID), F.col("y").alias("y_t")).toDF("image", *"xyz", "y_t")
+    steps = Steps(spark, "images")
+    path = f"{folder(spark)}/volumes-{uuid.uuid4().hex}"
+    write_volumes(cells, path, shape, TR, AFFINE)
+    read = spark.read.format(Volumes.name()).load(path).select("image", *"xyz", F.posexplode("y_t").alias("t", "value")).filter("value <> 0")
+    found = steps.save(read.select("image", *"xyz", "t", r6("value", "value")))
+    discard(spark, path)
+    return found

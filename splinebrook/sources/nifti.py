@@ -30,9 +30,39 @@ class Image:
         return float(self.zooms[3]) if len(self.zooms) > 3 and self.zooms[3] > 0 else 1.0
 
 
-def parse(content: bytes) -> Image:
-    """A single-file image (.nii or .nii.gz), scaled."""
-    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+#: Bytes of a header.
+HEAD = 352
+
+
+@dataclass(frozen=True)
+class Header:
+    shape: tuple[int, int, int, int]
+    kind: str  # with its byte order
+    offset: int
+    slope: float
+    inter: float
+    zooms: tuple[float, ...]
+    affine: tuple[float, ...]
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    def scaled(self, data: np.ndarray) -> np.ndarray:
+        data = data.astype(np.float64)
+        return data * self.slope + self.inter if self.slope != 0 and not np.isnan(self.slope) else data
+
+    def planes(self, source, first: int, stop: int) -> np.ndarray:
+        """Planes of the third axis in all volumes, from an uncompressed file that can be read anywhere."""
+        nx, ny, nz, nt = self.shape
+        plane, parts = nx * ny * self.width, []
+        for t in range(nt):
+            source.seek(self.offset + (t * nz + first) * plane)
+            parts.append(np.frombuffer(source.read((stop - first) * plane), dtype=self.kind).reshape((nx, ny, stop - first), order="F"))
+        return self.scaled(np.stack(parts, axis=3))
+
+
+def header_of(raw: bytes) -> Header:
     order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
     if struct.unpack_from(f"{order}i", raw)[0] != 348:
         raise ValueError("not a NIfTI-1 image")
@@ -41,12 +71,17 @@ def parse(content: bytes) -> Image:
     zooms = struct.unpack_from(f"{order}8f", raw, 76)[1 : dim[0] + 1]
     offset, slope, inter = struct.unpack_from(f"{order}3f", raw, 108)
     shape = dim[1 : dim[0] + 1]
-    data = np.frombuffer(raw, dtype=order + kind, count=int(np.prod(shape)), offset=int(offset)).astype(np.float64).reshape(shape, order="F")
-    if slope != 0 and not np.isnan(slope):
-        data = data * slope + inter
+    return Header((*shape, *[1] * (4 - len(shape))), order + kind, int(offset), slope, inter, zooms, struct.unpack_from(f"{order}12f", raw, 280))
+
+
+def parse(content: bytes) -> Image:
+    """A single-file image (.nii or .nii.gz), scaled."""
+    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    head = header_of(raw)
+    data = np.frombuffer(raw, dtype=head.kind, count=int(np.prod(head.shape)), offset=head.offset).reshape(head.shape, order="F")
     affine = np.eye(4)
-    affine[:3] = np.array(struct.unpack_from(f"{order}12f", raw, 280)).reshape(3, 4)
-    return Image(data.reshape((*shape, *[1] * (4 - len(shape)))), zooms, affine)
+    affine[:3] = np.array(head.affine).reshape(3, 4)
+    return Image(head.scaled(data), head.zooms, affine)
 
 
 def encode(data: np.ndarray, tr: float = 1.0, affine: np.ndarray | None = None, compress: bool = True) -> bytes:
