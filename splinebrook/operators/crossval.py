@@ -197,7 +197,7 @@ def scaled_columns(blocks: DataFrame, chosen: DataFrame, parts: dict[str, Parts]
 
     def take(picked: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         if not len(picked) or not len(frame):
-            return pd.DataFrame({"pair": [], "fit": [], "feature": [], "rank": [], "z": []})
+            return picked[["pair", "fit", "feature", "rank"]].iloc[:0].assign(z=pd.Series([], dtype=object))
         x = columns_of(frame, parts)
         z = [(x[r.pair][:, r.feature % BLOCK] - r.mean) / (r.sd or 1.0) for r in picked.itertuples()]
         return picked[["pair", "fit", "feature", "rank"]].assign(z=z)
@@ -274,23 +274,33 @@ def accuracy(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return recall.groupBy(*keys).agg(F.round(F.avg("r"), 12).alias("balanced_accuracy"))
 
 
+def best_over_all(blocks: DataFrame, parts: dict[str, Parts], model: str, grid: list[dict], seed: int) -> dict[str, int]:
+    """For each pair the place in the grid of its best entry, by cross-validation over all of its rows."""
+    if len(grid) == 1:
+        return dict.fromkeys(parts, 0)
+    inner = {p: fits_of(q, [0], nested=True, outer=False) for p, q in parts.items()}
+    return {r["pair"]: r["at"] for r in best_at(scored(blocks, parts, inner, model, grid, seed)).collect()}  # a row for each pair
+
+
+def chosen_entries(features: DataFrame, labels: DataFrame, model: str, grid: list[dict], seed: int = 42, key: str = "id", column: str = "x") -> dict[str, dict]:
+    """For each pair the entry of the grid that a final fit should have."""
+    blocks, _, parts = study(features, labels, 5, key, column)
+    return {p: grid[at] for p, at in best_over_all(blocks, parts, model, grid, seed).items()}
+
+
 def permutation_test(features: DataFrame, labels: DataFrame, model: str, grid: list[dict], n: int = 200, folds: int = 5, seed: int = 42, key: str = "id", column: str = "x") -> DataFrame:
-    """Rows (pair, balanced_accuracy, p): the nested cross-validated accuracy, and p = (hits + 1) / (n + 1) among cross-validations with
-    shuffled parts, all with the one entry of the grid that is best over all of a pair's rows."""
+    """Rows (pair, balanced_accuracy, permuted_mean, permuted_sd, p): the nested cross-validated accuracy, and p = (hits + 1) / (n + 1)
+    among cross-validations with shuffled parts, all with the one entry of the grid that is best over all of a pair's rows."""
     steps = Steps(features.sparkSession, "columns")
     blocks, _, parts = study(features, labels, folds, key, column)
     blocks = steps.save(blocks)
     cv = nested_cv(features, labels, model, grid, folds, seed, key, column).withColumnRenamed("cv_prob", "score")
     observed = accuracy(cv, ["pair"])
-    frozen = dict.fromkeys(parts, grid)
-    if len(grid) > 1:
-        inner = {p: fits_of(q, [0], nested=True, outer=False) for p, q in parts.items()}
-        best = best_at(scored(blocks, parts, inner, model, grid, seed)).collect()  # a row for each pair
-        frozen = {r["pair"]: [grid[r["at"]]] for r in best}
+    frozen = {p: [grid[at]] for p, at in best_over_all(blocks, parts, model, grid, seed).items()}
     shuffled = scored(blocks, parts, {p: fits_of(q, list(range(1, n + 1)), nested=False) for p, q in parts.items()}, model, frozen, seed)
     under = accuracy(shuffled, ["pair", "permutation"]).withColumnRenamed("balanced_accuracy", "b")
-    hits = under.join(observed, "pair").groupBy("pair", "balanced_accuracy").agg(F.sum((F.col("b") >= F.col("balanced_accuracy") - 1e-12).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
-    return hits.select("pair", "balanced_accuracy", ((F.col("hits") + 1) / (F.col("n") + 1)).alias("p"))
+    hits = under.join(observed, "pair").groupBy("pair", "balanced_accuracy").agg(F.sum((F.col("b") >= F.col("balanced_accuracy") - 1e-12).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"), F.avg("b").alias("permuted_mean"), F.stddev_samp("b").alias("permuted_sd"))
+    return hits.select("pair", "balanced_accuracy", "permuted_mean", "permuted_sd", ((F.col("hits") + 1) / (F.col("n") + 1)).alias("p"))
 
 
 def importances(features: DataFrame, labels: DataFrame, model: str, k: int = 50, seed: int = 42, key: str = "id", column: str = "x") -> DataFrame:

@@ -65,7 +65,7 @@ def gaussian_smooth(voxels: DataFrame, shape: tuple[int, int, int], affine: np.n
     def smooth(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame["own"].to_numpy()
         if not own.any():
-            return frame[[*keys, *AXES]].iloc[:0].assign(series=[])
+            return frame[[*keys, *AXES]].iloc[:0].assign(series=pd.Series([], dtype=object))
         low = [int(frame[f"block_{a}"].iloc[0]) * BLOCK for a in AXES]
         high = [min(b + BLOCK, n) for b, n in zip(low, shape, strict=True)]
         begin = [max(b - r, 0) for b, r in zip(low, radii, strict=True)]

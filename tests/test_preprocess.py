@@ -40,6 +40,14 @@ def test_missing_cells_are_zeros_and_stay_missing(spark):
     assert got.keys() == {1, 3} and np.allclose(got[1], want[1, 5, 5]) and np.allclose(got[3], want[3, 5, 5])
 
 
+def test_blocks_that_only_have_a_halo(spark):
+    one = spark.createDataFrame([(15, 15, 15, [1.0])], "x int, y int, z int, values array<double>")
+    image = np.zeros((32, 32, 32, 1))
+    image[15, 15, 15] = 1
+    got = P.gaussian_smooth(one, (32, 32, 32), np.diag([3.0, 3.0, 3.0, 1.0])).collect()
+    assert len(got) == 1 and np.allclose(got[0][3], slow_smooth(image, (3, 3, 3), 6.0)[15, 15, 15])
+
+
 def test_no_width_changes_nothing(spark):
     one = spark.createDataFrame([(1, 5, 5, [1.0, 2.0])], "x int, y int, z int, values array<double>")
     assert P.gaussian_smooth(one, (20, 20, 20), np.eye(4), 0.0).first()[3] == [1.0, 2.0]
