@@ -37,7 +37,11 @@ def numbered(data: bytes) -> tuple[pa.Array, np.ndarray]:
 
 def is_word(tokens: pa.Array) -> np.ndarray:
     """For each different token, whether it is a word: neither empty nor an end."""
-    return np.array([len(t) > 0 and t != END for t in tokens.to_pylist()], dtype=bool)
+    found = pc.binary_length(tokens).to_numpy(zero_copy_only=False) > 0
+    end = pc.index(tokens, pa.scalar(END, tokens.type)).as_py()
+    if end >= 0:
+        found[end] = False
+    return found
 
 
 def windows(data: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, scratch_path
+from .common import checkpoint, scratch_path, sliced
 from .ngrams import CHUNK_BYTES, END, chained, is_word, joined, members, numbered, strings, summed, windows, word_hashes
 
 LEAST = 30
@@ -45,6 +45,7 @@ SHARE = 80
 SCALE = 2_000_000
 #: Rounds beyond which something must be wrong; opening doubles in each.
 MAX_ROUNDS = 60
+BATCH_ROWS = 1 << 15
 
 #: Lower-cases A-Z, turns tabs into spaces and all that ends a piece into one byte.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + END * 9)
@@ -72,8 +73,10 @@ def spaced(held: dict[str, list[bytes]]) -> Iterator[tuple[str, bytes]]:
             yield lang, (part + END).replace(END, b" " + END + b" ")
 
 
-def rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), dtype=np.int32))), phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+def rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded size."""
+    batch = pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), dtype=np.int32))), phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+    yield from sliced(iter([batch]), BATCH_ROWS)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +86,8 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(codes, minlength=len(tokens))
         word = is_word(tokens) & (counts > 0)
         if word.any():
-            yield rows(lang, strings(tokens.filter(pa.array(word))), counts[word])
-            yield rows(lang, pa.nulls(1, pa.string()), counts[word].sum(keepdims=True))
+            yield from rows(lang, strings(tokens.filter(pa.array(word))), counts[word])
+            yield from rows(lang, pa.nulls(1, pa.string()), counts[word].sum(keepdims=True))
 
 
 def seed(lang: str) -> int:
@@ -100,7 +103,7 @@ def pair_counter(frequent: Broadcast):
             if len(here):
                 first, n = summed([codes[here], codes[here + 1]], np.ones(len(here)), len(tokens))
                 words = strings(tokens)
-                yield rows(lang, joined([words.take(pa.array(codes[here[first] + k])) for k in (0, 1)]), n)
+                yield from rows(lang, joined([words.take(pa.array(codes[here[first] + k])) for k in (0, 1)]), n)
 
     return count
 
@@ -125,7 +128,7 @@ def run_finder(frequent: Broadcast):
                 inside = np.arange(borders[-1]) + np.repeat(starts - borders[:-1], lengths)
                 lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), strings(tokens).take(pa.array(codes[inside])))
                 found = pc.value_counts(pc.binary_join(lists, " "))
-                yield rows(lang, found.field("values"), found.field("counts").to_numpy())
+                yield from rows(lang, found.field("values"), found.field("counts").to_numpy())
 
     return find
 
@@ -134,8 +137,8 @@ def grower(pairs: Broadcast, triples: Broadcast):
     """Counts of phrases of three words that begin or end with one of the pairs, and of four with one of the triples."""
 
     def count(batches):
-        for lang, runs, weights in gathered(batches):
-            tokens, codes = numbered((b" " + END + b" ").join(runs))
+        for lang, data, weights in gathered(batches):
+            tokens, codes = numbered(data)
             hashes, word = word_hashes(tokens, seed(lang)), is_word(tokens)[codes]
             weight = weights[np.cumsum(~word)]
             words = strings(tokens)
@@ -148,28 +151,31 @@ def grower(pairs: Broadcast, triples: Broadcast):
                 here = np.flatnonzero((wanted[:-1] | wanted[1:]) & whole[:-1] & whole[1:])
                 if len(here):
                     first, n = summed([codes[here + k] for k in range(size + 1)], weight[here], len(tokens))
-                    yield rows(lang, joined([words.take(pa.array(codes[here[first] + k])) for k in range(size + 1)]), n)
+                    yield from rows(lang, joined([words.take(pa.array(codes[here[first] + k])) for k in range(size + 1)]), n)
 
     return count
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """(language, runs, how often each occurs) in chunks of bounded size."""
-    held: dict[str, list[tuple[bytes, int]]] = {}
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, np.ndarray]]:
+    """(language, runs with an end between them, how often each occurs) in chunks of bounded size."""
+    held: dict[str, list[pa.RecordBatch]] = {}
     size = 0
 
     def out():
-        for lang, found in held.items():
-            yield lang, [f[0] for f in found], np.array([f[1] for f in found], dtype=np.int64)
+        for lang, parts in held.items():
+            runs, n = (pa.chunked_array([p.column(k) for p in parts]).combine_chunks() for k in (1, 2))
+            one = pa.ListArray.from_arrays(pa.array([0, len(runs)], pa.int32()), runs)
+            yield lang, pc.binary_join(one, f" {END.decode()} ")[0].as_buffer().to_pybytes(), n.to_numpy()
 
     for batch in batches:
-        for lang, run, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            data = run.encode()
-            held.setdefault(lang, []).append((data, n))
-            size += len(data)
-            if size >= CHUNK_BYTES:
-                yield from out()
-                held, size = {}, 0
+        langs = batch.column(0).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            own = batch if len(langs.dictionary) == 1 else batch.filter(pc.equal(langs.indices, k))
+            held.setdefault(lang, []).append(own)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield from out()
+            held, size = {}, 0
     yield from out()
 
 
