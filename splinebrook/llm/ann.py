@@ -7,8 +7,12 @@ may hold is partitioned again, from a sample of its own, so the parts grow in nu
 parts of a level are fitted side by side on the cluster. Every row is indexed under its most probable leaf; a query visits
 the most probable leaves, and what they hold is ranked by the exact distance.
 
+Tables of every size are partitioned at least once, if there are rows enough to fit a router (two parts of 2 k rows); without a
+router all rows are one leaf, and the search is exact.
+
 How many leaves a query visits is measured: for a bounded number of rows the exact neighbours in the whole table are found,
-and the fewest leaves that hold the wanted share of them are visited by all queries. All rows are indexed; leaves are
+and the fewest leaves that hold the wanted share of them are visited by all queries; as many are put in order as that
+takes, all of them if need be. All rows are indexed; leaves are
 stored in blocks of a bounded size, so a leaf that can't be cut (a third of all rows may be one vector) is many blocks and
 many tasks.
 
@@ -33,14 +37,15 @@ from .embed_dedup import matrix, usable
 #: Rows of the sample that a router is fitted on, at most.
 SAMPLE = 4096
 PARTS = 16
-#: Rows of a leaf, and levels of routers, at most (with 16 parts each: 10^12 rows).
+#: Rows of a leaf at most, if it can be cut.
 LEAF = 16_384
-LEVELS = 7
+#: Levels of routers: with 16 parts each, numbers of nodes stay below 2^63.
+LEVELS = 15
 NEIGHBOURS = 10
 #: Recall wanted on so many rows whose exact neighbours are found.
 RECALL = 0.96
 MEASURED = 64
-#: Leaves that are put in order for a query; each holds a row at least, so they hold k (or k + 2 are put in order).
+#: Leaves that are put in order at first to find how many a query has to visit.
 BEAM = 64
 #: Expected rows of a stored block, and queries compared with a block at a time.
 BLOCK = 4096
@@ -79,7 +84,7 @@ class Index:
     def homes(self, x: np.ndarray) -> np.ndarray:
         """The most probable leaf of each vector, level by level."""
         nodes = np.zeros(len(x), dtype=np.int64)
-        for _ in range(LEVELS):
+        while True:
             moved = False
             for node in np.unique(nodes).tolist():
                 router = self.routers.get(node)
@@ -88,8 +93,7 @@ class Index:
                     nodes[at] = node * self.parts + 1 + router.probabilities(x[at]).argmax(axis=1)
                     moved = True
             if not moved:
-                break
-        return nodes
+                return nodes
 
     def ordered(self, x: np.ndarray, most: int, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf): the `most` probable leaves that hold rows, of each vector, most probable first."""
@@ -201,18 +205,16 @@ def fit(sample: np.ndarray, parts: int = PARTS, k: int = NEIGHBOURS, seed: int =
 
 
 def grow(rows: DataFrame, dims: int, n: int, parts: int, leaf: int, k: int, sample: int, seed: int) -> Index:
-    """Fit routers, a level of parts at a time, until no part that can be cut holds more than leaf rows."""
+    """Fit routers, a level of parts at a time, until no part that can be cut holds more than leaf rows. The table is always cut."""
     index, whole = Index(parts), set()
-    if n <= leaf:
-        return index
-    for _ in range(LEVELS):
+    for _ in range(LEVELS if n else 0):
         placed = located(rows, index, dims)
         counts = {r["node"]: r["n"] for r in placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}  # about n / leaf nodes
         for node, count in counts.items():  # a part that got all the rows of its parent can't be cut
             parent = (node - 1) // parts
             if node and count >= 0.98 * sum(counts.get(parent * parts + 1 + c, 0) for c in range(parts)):
                 whole.add(node)
-        large = {node: count for node, count in counts.items() if count > leaf and node not in whole}
+        large = {node: count for node, count in counts.items() if (count > leaf or node == 0) and node not in whole and node not in index.routers}
         if not large:
             break
         bounds = [(node, int(-(1 << 63) + (1 << 64) * min(1 - 2**-50, 1.5 * sample / count))) for node, count in large.items()]
@@ -266,11 +268,17 @@ def measured_probes(rows: DataFrame, placed: DataFrame, index: Index, sizes: dic
     near = map_arrow(placed.select("id", "node", "vector"), make, "q long, i long, leaf long, d double", rows=4096)
     first = Window.partitionBy("q").orderBy("d", "i")
     found = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("q", "leaf").collect()  # MEASURED * k
-    row, leaf = index.ordered(x, BEAM, sizes)
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    place = {(int(ids[r]), int(n)): int(p) for r, n, p in zip(row, leaf, rank, strict=True)}
-    ranks = np.array([place.get((r["q"], r["leaf"]), BEAM) for r in found])
-    return next((p for p in range(1, BEAM) if (ranks < p).mean() >= recall), BEAM) if len(ranks) else 1
+    beam = BEAM
+    while found:
+        row, leaf = index.ordered(x, beam, sizes)
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        place = {(int(ids[r]), int(n)): int(p) for r, n, p in zip(row, leaf, rank, strict=True)}
+        ranks = np.array([place.get((r["q"], r["leaf"]), len(sizes)) for r in found])
+        enough = next((p for p in range(1, min(beam, len(sizes)) + 1) if (ranks < p).mean() >= recall), None)
+        if enough is not None:
+            return enough
+        beam *= 2  # with all leaves in order nothing is missed
+    return 1
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +309,7 @@ def visits(rows: DataFrame, index: Index, dims: int, sizes: dict[int, int], k: i
         index, sizes = held.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, leaf = index.ordered(matrix(batch.column(1), dims), max(BEAM, k + 2), sizes)
+            row, leaf = index.ordered(matrix(batch.column(1), dims), max(index.probes, k + 2), sizes)
             size = np.array([sizes.get(n, 0) for n in leaf.tolist()])
             first = np.searchsorted(row, row)
             before = np.cumsum(size) - size
