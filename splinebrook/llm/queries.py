@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, chat_format, conversation_repair, embed_dedup, html_extract, lang_id, ngram_lm, packing, phrases, simhash, substring_dedup, toxicity
 from .common import read_table
+from .repair_sql import REPAIR
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +137,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN c USING (doc_id)
     """,
+    "op11_repair": REPAIR,
     "op13_phrases": r"""
         WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
                 SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
