@@ -30,11 +30,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, delete, map_arrow, maybe_in, scratch_path
+from .common import checkpoint, delete, exists, map_arrow, maybe_in, names_in, scratch_path
 
 WINDOW = 35
 GRAM = 8
@@ -133,26 +132,46 @@ class FingerprintIndex:
         self.spark, self.root, self.kind, self.window, self.gram, self.keep_texts = spark, root, kind, window, gram, keep_texts
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[dict] = []  # {"name", "level"}, oldest first
-        self.batches = 0
+        self.gone: list[dict] = []  # runs that have been merged into others, but may still be in the manifest in force
+        self.batches = self.version = 0
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **new) -> FingerprintIndex:
         """The index in this folder, or a new one there."""
-        try:
-            state = json.loads(spark.read.text(f"{root}/manifest", wholetext=True).first()[0])
-        except AnalysisException:  # no such folder
+        version = max(cls.versions(spark, root), default=0)
+        if not version:
             return cls(spark, root, **new)
+        state = json.loads(spark.read.text(f"{root}/manifests/{version:08d}", wholetext=True).first()[0])
         index = cls(spark, root, state["kind"], state["window"], state["gram"], state["buckets"], state["keep_texts"])
-        index.runs, index.batches = state["runs"], state["batches"]
+        index.runs, index.batches, index.version = state["runs"], state["batches"], version
         for run in index.runs:
+            if not exists(spark, f"{root}/{run['name']}/_SUCCESS"):
+                raise FileNotFoundError(f"manifest {version} of {root} names {run['name']}, which is not there")
             columns = ", ".join(f"{c} bigint" for c in cls.COLUMNS)
             spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {index.buckets} BUCKETS LOCATION '{root}/{run['name']}'")
         return index
 
+    @staticmethod
+    def versions(spark: SparkSession, root: str) -> list[int]:
+        """The manifests that were written whole."""
+        return [int(v) for v in names_in(spark, f"{root}/manifests") if v.isdigit() and exists(spark, f"{root}/manifests/{v}/_SUCCESS")]
+
     def save(self) -> None:
-        """Write down which runs and batches there are; a batch counts once this is written."""
+        """Write down, under a new version, which runs and batches there are: with that, and not before, the batch counts. Then
+        drop the runs that no manifest in force names, and the manifests before this one."""
         state = {k: getattr(self, k) for k in ("kind", "window", "gram", "buckets", "keep_texts", "runs", "batches")}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest")
+        version = self.version + 1
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifests/{version:08d}")
+        self.version = version
+        self.drop_gone()
+        for old in names_in(self.spark, f"{self.root}/manifests"):
+            if old.isdigit() and int(old) < version:
+                delete(self.spark, f"{self.root}/manifests/{old}")
+
+    def drop_gone(self) -> None:
+        for run in self.gone:
+            self.drop(run)
+        self.gone = []
 
     def write(self, run: DataFrame, level: int) -> dict:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
@@ -187,7 +206,7 @@ class FingerprintIndex:
         return run
 
     def compact(self) -> None:
-        """Merge runs until no level has RUNS of them."""
+        """Merge runs until no level has RUNS of them. What was merged stays until drop_gone."""
         while True:
             levels = Counter(run["level"] for run in self.runs)
             full = min((level for level, n in levels.items() if n >= RUNS), default=None)
@@ -196,8 +215,7 @@ class FingerprintIndex:
             some = [run for run in self.runs if run["level"] == full]
             compacted = self.write(self.merged(some), full + 1)
             self.runs = [compacted if run is some[0] else run for run in self.runs if run is some[0] or run not in some]
-            for run in some:
-                self.drop(run)
+            self.gone += some
 
     def occurrences(self) -> DataFrame:
         return self.spark.read.schema(f"{occurrence_schema(self.kind)}, batch int").parquet(f"{self.root}/occurrences")
@@ -258,8 +276,8 @@ class FingerprintIndex:
     def dedupe(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch of documents; rows (id, n_words, n_removed, kept) for all of it and for the older ones it repeats.
 
-        Of older documents the index reads the occurrences' columns, and the texts that the batch hits. The manifest is
-        written last: a batch that failed half-way is added anew.
+        Of older documents the index reads the occurrences' columns, and the texts that the batch hits. A batch that failed
+        half-way, at whatever step, is not there when the index is opened again, and is added anew.
         """
         docs = keyed(df, id_col, text_col, [])
         run = self.add(docs)
@@ -362,6 +380,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for b in range(batches):
         index.add(docs.filter(F.pmod(F.xxhash64("id", "mark"), F.lit(batches)) == b))
         index.compact()
+        index.drop_gone()  # this index has no manifest and ends with the call
     spans = index.resolve(index.repeated(), lambda marks: maybe_in(docs.select("id", "mark", "text"), "mark", marks).filter("hit"))
     for run in index.runs:
         index.drop(run)

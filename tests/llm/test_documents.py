@@ -249,6 +249,53 @@ def test_index_fed_batch_after_batch(spark, tmp_path):
     assert sorted(r["level"] for r in index.runs) == [0, 2]
 
 
+@pytest.mark.parametrize("step", ["compact", "save", "drop"])
+def test_an_index_survives_a_lost_driver(spark, tmp_path, monkeypatch, step):
+    """Whatever step of a batch is the last, the index opened again takes the batch anew and misses nothing of what came before."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10_000, 60)) for _ in range(6)]
+    batches = [[(0, texts[0]), (1, texts[1])], [(2, texts[2]), (3, texts[0])], [(4, texts[1]), (5, texts[4])]]
+    root, index, rows = str(tmp_path / "index"), substring_dedup.FingerprintIndex, {}
+    for k, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "doc_id long, text string")
+        if k == 1:
+            with monkeypatch.context() as m:
+                own = getattr(index, step)
+
+                def lost(self, *args, own=own):
+                    if step == "save":  # the manifest is there in part
+                        (tmp_path / "index" / "manifests" / f"{self.version + 1:08d}" / "_temporary").mkdir(parents=True)
+                    elif step != "drop":
+                        own(self, *args)
+                    raise KeyboardInterrupt
+
+                m.setattr(index, step, lost)
+                try:
+                    index.open(spark, root, buckets=4).dedupe(df)
+                except KeyboardInterrupt:
+                    pass
+        opened = index.open(spark, root, buckets=4)
+        assert opened.batches in ((k, k + 1) if step == "drop" else (k,))
+        if opened.batches == k:
+            found = opened.dedupe(df).collect()
+            rows |= {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in found}
+    if step != "drop":
+        again = {0, 1, 3, 4}
+        assert rows == {i: (60, 60 if i in again else 0) for i in range(6)}
+    else:  # batches that were written down came without their rows: later ones still meet them
+        last = index.open(spark, root).dedupe(spark.createDataFrame([(9, texts[4]), (10, texts[2])], "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in last}.items() >= {9: 60, 10: 60, 5: 60, 2: 60}.items()
+
+
+def test_a_missing_run_is_an_error(spark, tmp_path):
+    root = str(tmp_path / "index")
+    index = substring_dedup.FingerprintIndex.open(spark, root, buckets=4)
+    index.dedupe(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    index.drop(index.runs[0])
+    with pytest.raises(FileNotFoundError):
+        substring_dedup.FingerprintIndex.open(spark, root)
+
+
 def test_a_batch_leaves_untouched_documents_alone(spark, tmp_path):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{w}" for w in rng.integers(0, 10_000, 80)) for _ in range(30)]
