@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-
 def st(c: str, a: str, t: str) -> str:
     return f"{{'c': {c}, 'a': {a}, 't': {t}}}"
 
