@@ -106,3 +106,15 @@ def test_importances_against_whole_pipelines(data, frames):
         want += Pipeline(Logistic, "anova", {}, 6).fit(x[order][rows], parts.classes()[rows], None).importance()[0] / len(fits)
     assert np.allclose([got[f].weight for f in range(150)], want, atol=1e-6)
     assert all(r.selected == (r.weight > 0) for r in got.values())
+
+
+def test_columns_travel_once_for_all_fits_of_a_unit(frames):
+    """Not once for each fit that chose them: 20 permutations' bags share the few columns of a narrow study."""
+    features, labels = frames
+    columns, _, parts = X.study(features.select("id", X.F.slice("x", 1, 12).alias("x")), labels.filter("pair = 'all'"), 3)
+    fits = {p: X.fits_of(q, list(range(1, 21)), nested=False) for p, q in parts.items()}
+    units = X.units_of(parts, fits, 12)
+    assert len(units["all"]) == 20 * 3 * X.BAGS and max(np.bincount(units["all"])) == X.BAGS
+    columns, chosen = columns.cache(), X.chosen_features(columns, parts, fits, units, 9, 42).cache()
+    sent = X.by_unit(columns, chosen, units, lambda picked, frame: X.pd.DataFrame({"fits": [picked["fit"].nunique()], "columns": [len(frame)]}), "fits int, columns int").collect()
+    assert len(sent) == 60 and all(r.fits == X.BAGS and 9 <= r["columns"] <= 12 for r in sent)
