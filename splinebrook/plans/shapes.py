@@ -68,9 +68,8 @@ _TREE = f"""WITH RECURSIVE first AS MATERIALIZED ({_TEN_DIST}),
 
 def _linked(spark, d):
     """Ten groups of subjects by their mean correlation distances."""
-    dist = rsa.correlation_distance(tab.subject_days(spark, d), "user_id", "y")
     labels = tab.table(spark, d, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % _GROUPS).alias("label")).distinct()
-    means = rsa.group_distances(dist, labels).filter("label_i <> label_j")
+    means = rsa.group_distances(tab.subject_days(spark, d), labels, "user_id", "y").filter("label_i <> label_j")
     return A.average_linkage(means.select(F.col("label_i").alias("a"), F.col("label_j").alias("b"), F.round("d", 9).alias("d")))
 
 
