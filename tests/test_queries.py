@@ -38,3 +38,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["pc", "eigval", "explained_pct"] and df.count() == 7
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_region_series_read_lineitem_once(spark, sf):
+    """Sums are made of rows dealt out by subject, and the grid of regions needs no second pass."""
+    from splinebrook.sources import tables
+
+    plan = tables.region_series(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice#") and plan.count("Relation [l_orderkey") == 1 and "RepartitionByExpression" in plan
