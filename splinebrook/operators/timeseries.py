@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from ..functions.columns import pearson, sparse_peak, voxel_index
 from .fpca import as_lists, map_series
 
 
+#: Samples of a series at most whose runs are all looked at in one pass, and series that are multiplied with them together.
+SHORT, SERIES = 64, 2048
+
+
 def box_smooth(voxels: DataFrame, shape: tuple[int, int, int], size: int = 3) -> DataFrame:
     """voxels: x, y, z, t, value on a full grid -> the mean over a cube of `size`, edges repeated (nearest).
 
@@ -81,6 +86,37 @@ def run_values(series: DataFrame, runs: list[tuple[bool, ...]], column: str = "y
     return [found.get(k) for k in range(len(runs))]
 
 
+def all_run_values(series: DataFrame, n: int, column: str = "y") -> dict[tuple[int, int], float]:
+    """run_values of every run of n samples by (first, length); runs of all samples have no correlation. A batch's correlations are
+    one product with the runs, and a task hands on their sums and counts."""
+    runs = [(first, length) for length in range(1, n) for first in range(n - length + 1)]
+    if not runs:
+        return {}
+
+    def add(batches):
+        total, known = np.zeros(len(runs)), 0
+        r = np.zeros((len(runs), n))
+        for k, (first, length) in enumerate(runs):
+            r[k, first : first + length] = 1
+        r -= r.mean(axis=1, keepdims=True)
+        r /= np.sqrt((r * r).sum(axis=1, keepdims=True))
+        for batch in batches:
+            y = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n)
+            for at in range(0, len(y), SERIES):
+                off = y[at : at + SERIES] - y[at : at + SERIES].mean(axis=1, keepdims=True)
+                length = np.sqrt((off * off).sum(axis=1))
+                varies = length != 0
+                off = off[varies] / length[varies, None]
+                total += np.abs(off @ r.T).sum(axis=0)
+                known += len(off)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(runs), dtype=np.int32)), pa.array(total), pa.array(np.full(len(runs), known))], ["k", "total", "known"])
+
+    whole = series.select(F.col(column).cast("array<double>").alias("y")).filter((F.size("y") == n) & ~F.exists("y", lambda v: v.isNull()))
+    sums = whole.mapInArrow(add, "k int, total double, known long")
+    found = sums.groupBy("k").agg((F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("v")).collect()  # a row a run
+    return {runs[x["k"]]: x["v"] for x in found}
+
+
 def climb(values_of, n: int, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, rounds: int = 10_000) -> tuple[float, float, float]:
     """Best lag with duration 1, then best duration, then hill-climbing in steps of `fine` until no neighbour is better.
 
@@ -129,11 +165,16 @@ def climb(values_of, n: int, event: float, lags: list[float], durations: list[fl
 
 
 def search_lag(series: DataFrame, event: float, lags: list[float], durations: list[float], fine: float = 0.01, step: float = 1.0, column: str = "y", rounds: int = 10_000) -> tuple[float, float, float]:
-    """(lag, duration, value) of the climb on the mean absolute correlation over all series; a round is one pass."""
+    """(lag, duration, value) of the climb on the mean absolute correlation over all series. Series of at most SHORT samples are read
+    once, for all runs that there are; of longer ones a round is one pass."""
     series = series.select(column).persist()
     try:
-        size = series.select(F.size(column)).first()
-        return climb(lambda runs: run_values(series, runs, column), size[0] if size else 0, event, lags, durations, fine, step, rounds)
+        first = series.select(F.size(column)).first()
+        n = first[0] if first else 0
+        if n > SHORT:
+            return climb(lambda runs: run_values(series, runs, column), n, event, lags, durations, fine, step, rounds)
+        values = all_run_values(series, n, column)
+        return climb(lambda runs: [values.get((run.index(True), sum(run))) if any(run) else None for run in runs], n, event, lags, durations, fine, step, rounds)
     finally:
         series.unpersist()
 

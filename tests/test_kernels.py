@@ -158,3 +158,17 @@ def test_lag_search_climbs_until_it_settles(spark):
     assert r == pytest.approx(max(corr.values())) and r == pytest.approx(corr[on[0], on[-1]]) and len(on) > 9
     with pytest.raises(RuntimeError):
         T.search_lag(days, 10.0, [2.0, 3.0], [1.0, 3.0, 5.0], rounds=1)
+
+
+def test_lag_search_reads_short_series_once(spark, monkeypatch):
+    """The climb over all runs' values is that of a pass for each round; null, constant and longer series are left out."""
+    rng = np.random.default_rng(4)
+    rows = [(r.tolist(),) for r in rng.standard_normal((40, 30)).cumsum(axis=1)] + [([2.0] * 30,), (None,), ([1.0, None] * 15,)]
+    days = spark.createDataFrame(rows, "y array<double>")
+    args = (10.0, [float(v) for v in range(-3, 4)], [1.0, 3.0, 5.0])
+    monkeypatch.setattr(T, "SHORT", 0)
+    want = T.search_lag(days, *args)
+    monkeypatch.setattr(T, "SHORT", 64)
+    monkeypatch.setattr(T, "run_values", None)
+    got = T.search_lag(days, *args)
+    assert got[:2] == want[:2] and got[2] == pytest.approx(want[2])
