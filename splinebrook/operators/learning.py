@@ -3,7 +3,7 @@
 Group studies have few subjects and very many fits (pairs x models x folds x parameters x bags x permutations), so a fit is
 a small numpy computation and the fits are rows dealt over the cluster. A row names its pair, model, fold, parameters and bag
 (or its permutation); ensembles are averages over bags, accuracies and the choice of parameters are aggregations of the
-scores. The subjects' features and labels travel once as a broadcast of checked size.
+scores. The subjects' features and labels travel once as a broadcast of checked size, or, in tables_cv, as columns of tables.
 """
 
 from __future__ import annotations
@@ -15,13 +15,18 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .rsa import seed_of
+from .scratch import Steps
 
 #: Bytes of features that are broadcast at most; a larger study has to select features first.
 MOST_BYTES = 1 << 28
+#: Samples whose trees are grown together, and bags of one unit of work.
+SAMPLES, BAGS_TOGETHER = 1 << 19, 3
+#: Features that are turned into columns together.
+COLUMNS = 64
 
 
 # --- estimators: fit(x, y, weights, rng) -> self, score(x) in 0..1, importance() over their inputs ---------------------
@@ -83,49 +88,87 @@ class LinearSvm:
         return np.abs(self.b[:-1])
 
 
+def in_order(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """The stable order by keys of so many values, the least significant first, digit by digit of 16 bits."""
+    order = None
+    for key, values in keys:
+        for shift in range(0, max(int(values - 1).bit_length(), 1), 16):
+            digit = ((key >> shift) & 0xFFFF).astype(np.uint16)
+            order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def distinct_samples(x, y, w, rows):
+    """(rows of x, trees, times) of the samples. With weights of 1, equal rows of a tree's sample are one that counts several times:
+    all sums are whole numbers then, and the same."""
+    trees, n = rows.shape
+    if not (w == 1).all():
+        return rows.ravel(), np.repeat(np.arange(trees), n), np.ones(trees * n, dtype=np.int64)
+    _, first, same = np.unique(np.column_stack([x, y]), axis=0, return_index=True, return_inverse=True)
+    times = np.stack([np.bincount(same.ravel()[r], minlength=len(first)) for r in rows])
+    tree, at = np.nonzero(times)
+    return first[at], tree, times[tree, at]
+
+
 def grow(x, y, w, rows, depth, leaf, features, rng):
-    """Classification trees by weighted Gini impurity, all of them a level at a time.
+    """Classification trees by weighted Gini impurity, all of them a level at a time, and SAMPLES of them together.
 
     rows: for each tree its sample, as row numbers of x; features None looks at all columns, else at that many random ones
     of each node. Returns the nodes (column or -1, cut, first child, mean of y) and the trees' gains by column.
     """
-    trees, n = rows.shape
+    trees = len(rows)
     d = x.shape[1]
-    row, node = rows.ravel(), np.repeat(np.arange(trees), n)  # of each sample that is not in a leaf yet; nodes of this level
+    row, node, times = distinct_samples(x, y, w, rows)  # of each sample that is not in a leaf yet; nodes of this level
     tree_of, gains = np.arange(trees), np.zeros((trees, d))
     codes = np.stack([np.unique(x[:, c], return_inverse=True)[1] for c in range(d)], axis=1)
     levels, first = [], 0
     for level in range(depth + 1):
         count = len(tree_of)
-        size = np.bincount(node, minlength=count)
-        total = np.bincount(node, w[row], count)
-        positive = np.bincount(node, (w * y)[row], count)
+        weight = times * w[row]
+        size = np.bincount(node, times, count)
+        total = np.bincount(node, weight, count)
+        positive = np.bincount(node, weight * y[row], count)
         column, cut, child, best = np.full(count, -1), np.zeros(count), np.zeros(count, dtype=int), np.full(count, 1e-12)
         open_ = (size >= 2 * leaf) & (positive > 0) & (positive < total) & (level < depth)
         inside = open_[node]
-        row, node = row[inside], node[inside]
+        row, node, times, weight = row[inside], node[inside], times[inside], weight[inside]
         looks = np.tile(np.arange(d), (count, 1)) if features is None else rng.random((count, d)).argsort(axis=1)[:, :features]
-        for slot in range(looks.shape[1] if len(row) else 0):
-            at_column = looks[node, slot]
-            order = np.argsort(node * len(x) + codes[row, at_column], kind="stable")
-            r, g, c = row[order], node[order], at_column[order]
-            start = np.searchsorted(g, g)  # where each sample's node begins
-            wl, pl = np.cumsum(w[r]), np.cumsum((w * y)[r])
-            at = np.flatnonzero((g[1:] == g[:-1]) & (codes[r[1:], c[1:]] > codes[r[:-1], c[:-1]]))
-            left = at + 1 - start[at]
-            at = at[(left >= leaf) & (size[g[at]] - left >= leaf)]
-            if not len(at):
+        # samples and nodes lie in the order of trees
+        together = max(1, trees * SAMPLES // max(len(row), 1))
+        edges = np.searchsorted(tree_of[node], np.arange(0, trees + together, together))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
                 continue
-            k, before = g[at], start[at] - 1
-            l = wl[at] - np.where(before >= 0, wl[before], 0.0)
-            p = pl[at] - np.where(before >= 0, pl[before], 0.0)
-            t, q = total[k], positive[k]
-            gain = 2 * (q - q * q / t) - 2 * (p - p * p / l) - 2 * ((q - p) - (q - p) ** 2 / (t - l))
-            top = np.lexsort((at, -gain, k))  # each node's best cut, the lowest on ties
-            top = top[np.unique(k[top], return_index=True)[1]]
-            top = top[gain[top] > best[k[top]]]
-            to, i = k[top], at[top]
-            best[to], column[to], cut[to] = gain[top], c[i], (x[r[i], c[i]] + x[r[i + 1], c[i + 1]]) / 2
+            base = node[lo:hi].min()
+            here = node[lo:hi] - base
+            held = np.bincount(here)
+            begin = np.cumsum(held) - held  # where each node's samples begin, in their order
+            for slot in range(looks.shape[1]):
+                at_column = looks[node[lo:hi], slot]
+                code = codes[row[lo:hi], at_column]
+                order = in_order((code, len(x)), (here, len(held)))
+                g, code = here[order], code[order]
+                at = np.flatnonzero((g[1:] == g[:-1]) & (code[1:] > code[:-1]))
+                k, before = g[at], begin[g[at]] - 1
+                order += lo
+                left, wl, pl = (np.cumsum(v) for v in (times[order], weight[order], weight[order] * y[row[order]]))
+                left, l, p = (v[at] - np.where(before >= 0, v[before], 0) for v in (left, wl, pl))
+                enough = (left >= leaf) & (size[k + base] - left >= leaf)
+                at, k, l, p = at[enough], k[enough], l[enough], p[enough]
+                if not len(at):
+                    continue
+                t, q = total[k + base], positive[k + base]
+                gain = 2 * (q - q * q / t) - 2 * (p - p * p / l) - 2 * ((q - p) - (q - p) ** 2 / (t - l))
+                # each node's best cut, the lowest on ties
+                new = np.append(True, k[1:] != k[:-1])
+                most = np.maximum.reduceat(gain, np.flatnonzero(new))
+                run = np.cumsum(new) - 1
+                top = np.flatnonzero(gain == most[run])
+                top = top[np.append(True, run[top[1:]] != run[top[:-1]])]
+                top = top[gain[top] > best[k[top] + base]]
+                to, i = k[top] + base, at[top]
+                r, c = row[order[i]], looks[to, slot]
+                best[to], column[to], cut[to] = gain[top], c, (x[r, c] + x[row[order[i + 1]], c]) / 2
         split = np.flatnonzero(column >= 0)
         np.add.at(gains, (tree_of[split], column[split]), best[split])
         child[split] = first + count + 2 * np.arange(len(split))
@@ -133,7 +176,7 @@ def grow(x, y, w, rows, depth, leaf, features, rng):
         if not len(split):
             break
         going = column[node] >= 0
-        row, node = row[going], node[going]
+        row, node, times = row[going], node[going], times[going]
         right = x[row, column[node]] > cut[node]
         tree_of = np.repeat(tree_of[split], 2)
         node = child[node] - first - count + right
@@ -452,6 +495,52 @@ def nested_cv(spark: SparkSession, x: np.ndarray, ids: np.ndarray, pairs: dict[s
     return found.join(F.broadcast(names), "row").select("pair", "ml_model", "id", "y", F.col("score").alias("cv_prob"), (F.col("score") >= 0.5).cast("int").alias("cv_pred"))
 
 
+def tables_cv(features: DataFrame, labels: DataFrame, models: list[str], k: int = 5, seed: int = 42, key: str = "id", column: str = "x") -> DataFrame:
+    """nested_cv's rows without grids, of features (key, x) and labels (pair, key, y): the same fits on the same rows, but each unit of
+    bags gets its pair's columns by a shuffle. A pair needs two rows of each class; there may be 7 folds."""
+    if k > 7:
+        raise ValueError("more than 7 folds: whether a fit is bagged would depend on the order of rows")
+    spark, steps = features.sparkSession, Steps(features.sparkSession, "trees")
+    kept = features.select(F.col(key).alias("id"), F.col(column).alias("x"))
+    known = labels.filter(F.col("y").isin(0, 1)).select("pair", F.col(key).alias("id"), "y").join(kept.select("id"), "id", "left_semi")
+    places = steps.save(known.select("pair", (F.row_number().over(Window.partitionBy("pair").orderBy("id")) - 1).alias("place"), "id", "y"))
+    sizes = {r[0]: (int(r[1]), int(r[2])) for r in places.groupBy("pair").agg(F.sum(1 - F.col("y")), F.sum("y")).collect()}  # a row a pair
+    # fold sizes, and so the fits, follow from the classes' sizes
+    pairs = {p: np.repeat([0, 1], n) for p, n in sorted(sizes.items()) if min(n) > 1}
+    work: dict[tuple[str, int], list[tuple]] = {}
+    for n, t in enumerate(fold_tasks(pairs, models, {m: [{}] for m in models}, k, seed)):
+        for bag in range(max(t[-1], 1)):
+            work.setdefault((t[0], n * 1000 + bag // BAGS_TOGETHER), []).append((*t, bag))
+
+    def turn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        x = np.array(frame["v"].tolist()).T
+        return pd.DataFrame({"pair": frame["pair"].iloc[0], "feature": int(frame["first"].iloc[0]) + np.arange(len(x)), "x": list(x)})
+
+    cut = F.transform(F.sequence(F.lit(0), F.size("x") - 1, F.lit(COLUMNS)), lambda c: F.struct(c.alias("first"), F.slice("x", c + 1, COLUMNS).alias("v")))
+    values = places.join(kept.filter("size(x) > 0"), "id").select("pair", "place", F.explode(cut).alias("c")).select("pair", "place", "c.first", F.col("c.v").cast("array<double>").alias("v"))
+    classes = places.select("pair", "place", F.lit(-1).alias("first"), F.array(F.col("y").cast("double")).alias("v"))
+    columns = steps.save(values.unionByName(classes).groupBy("pair", "first").applyInPandas(turn, "pair string, feature int, x array<double>"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("feature")
+        x = np.stack(frame["x"].to_list(), axis=1)
+        y, x, out = x[:, 0].astype(int), np.ascontiguousarray(x[:, 1:]), []
+        for pair, model, fold, at, inner, bagged, bag in work[frame["pair"].iloc[0], int(frame["unit"].iloc[0])]:
+            test = folds(y, k, seed) == fold
+            rng = np.random.default_rng(seed_of(pair, model, fold, at, inner, bag, seed))
+            fitted = fit_bag(model, {}, x[~test], y[~test], bagged > 0, rng)
+            out.append(pd.DataFrame({"pair": pair, "ml_model": model, "place": np.flatnonzero(test), "score": fitted.score(x[test])}))
+        return pd.concat(out)
+
+    units = spark.createDataFrame(list(work) or [("", 0)], "pair string, unit int")
+    dealt = columns.join(F.broadcast(units), "pair").repartition(max(1, min(4 * len(work), 2000)), "pair", "unit")
+    found = dealt.groupBy("pair", "unit").applyInPandas(run, "pair string, ml_model string, place int, score double")
+    means = found.groupBy("pair", "ml_model", "place").agg(F.round(F.avg("score"), 12).alias("score"))
+    named = means.join(places, ["pair", "place"])
+    return named.select("pair", "ml_model", F.col("id").cast("string").alias("id"), F.col("y").cast("int").alias("y"), F.col("score").alias("cv_prob"), (F.col("score") >= 0.5).cast("int").alias("cv_pred"))
+
+
 def accuracies(predictions: DataFrame) -> DataFrame:
     """nested_cv's rows -> (pair, ml_model, balanced_accuracy)."""
     recall = predictions.groupBy("pair", "ml_model", "y").agg(F.avg((F.col("cv_pred") == F.col("y")).cast("double")).alias("r"))

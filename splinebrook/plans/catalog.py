@@ -824,16 +824,8 @@ def a27_metrics(spark, d):
     return R.classification_metrics(p, "y", "h", "score").select("tn", "fp", "fn", "tp", r6("accuracy", "accuracy"), r6("balanced_accuracy", "balanced_accuracy"), r6("auc", "auc"))
 
 
-def _pair_study(spark, d):
-    """Features of subjects (days), and labels of two pairs of parities."""
-    ids, x = learning.study(tab.subject_days(spark, d), "user_id", "y")
-    label = ids.astype(int) % 4
-    pairs = {"0 vs 1": np.where(label < 2, label, -1), "2 vs 3": np.where(label >= 2, label - 2, -1)}
-    return ids, x, {p: y for p, y in pairs.items() if np.bincount(y[y >= 0], minlength=2).min() > 1}
-
-
 def _pair_rows(spark, d):
-    """The same study as tables: features (id, x) and labels (pair, id, y)."""
+    """Features of subjects (days) as (id, x), and labels (pair, id, y) of two pairs of parities."""
     days = tab.subject_days(spark, d).select(F.col("user_id").alias("id"), F.col("y").alias("x"))
     label = F.col("id") % 4
     pair = F.when(label < 2, "0 vs 1").otherwise("2 vs 3")
@@ -843,8 +835,7 @@ def _pair_rows(spark, d):
 @query()
 def m9_nested_cv(spark, d):
     """Out-of-fold scores of logistic regression and a tree for each pair of groups."""
-    ids, x, pairs = _pair_study(spark, d)
-    tree = learning.nested_cv(spark, x, ids, pairs, ["DTree"], k=3)
+    tree = learning.tables_cv(*_pair_rows(spark, d), ["DTree"], k=3)
     linear = crossval.nested_cv(*_pair_rows(spark, d), "LR", [{"k": 10}, {"k": 20}], folds=3).withColumn("id", F.col("id").cast("string"))
     return linear.unionByName(tree.select(linear.columns)).select("pair", "ml_model", "id", "y", r6("cv_prob", "cv_prob"), "cv_pred")
 

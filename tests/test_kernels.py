@@ -172,3 +172,31 @@ def test_lag_search_reads_short_series_once(spark, monkeypatch):
     monkeypatch.setattr(T, "run_values", None)
     got = T.search_lag(days, *args)
     assert got[:2] == want[:2] and got[2] == pytest.approx(want[2])
+
+
+@pytest.mark.parametrize("least", [12, 4])
+def test_tree_study_of_tables_is_that_of_arrays(spark, least, monkeypatch):
+    """Bagged and plain fits, features in several blocks, an id without features and one without a class."""
+    monkeypatch.setattr(learning, "COLUMNS", 3)
+    x, y = blobs()
+    ids, y = np.arange(60), np.where(np.cumsum(y == 1) > least, 0, y) if least < 7 else y
+    features = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)], "id long, x array<double>")
+    labels = spark.createDataFrame([("a vs b", int(i), int(c)) for i, c in zip(ids, y, strict=True)] + [("a vs b", 99, 1), ("a vs b", 3, None), ("one", 1, 1)], "pair string, id long, y int")
+    monkeypatch.setattr(learning, "MOST_BYTES", 0)
+    got = sorted(map(tuple, learning.tables_cv(features, labels, ["DTree"], k=3).collect()))
+    want = sorted(map(tuple, nested_cv(spark, x, ids, {"a vs b": y}, ["DTree"], k=3).collect()))
+    assert got == want and len(got) == 60
+
+
+def test_trees_of_few_samples_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((80, 5))[rng.integers(0, 80, 80)]
+    y, rows = rng.integers(0, 2, 80), rng.integers(0, 80, (9, 80))
+    whole, gains = learning.grow(x, y, np.ones(80), rows, 6, 2, 2, np.random.default_rng(3))
+    monkeypatch.setattr(learning, "SAMPLES", 100)
+    some, same = learning.grow(x, y, np.ones(80), rows, 6, 2, 2, np.random.default_rng(3))
+    assert all((a == b).all() for a, b in zip(whole, some, strict=True)) and np.allclose(gains, same)
+    # equal rows that count several times are the rows themselves
+    monkeypatch.setattr(learning, "distinct_samples", lambda x, y, w, rows: (rows.ravel(), np.repeat(np.arange(9), 80), np.ones(720, dtype=int)))
+    plain, same = learning.grow(x, y, np.ones(80), rows, 6, 2, 2, np.random.default_rng(3))
+    assert all((a == b).all() for a, b in zip(whole, plain, strict=True)) and np.allclose(gains, same)
