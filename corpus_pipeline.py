@@ -22,23 +22,33 @@ from splinebrook.llm.queries import remainder
 LEAST_SHARE = 0.3
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the whole row beside them, to be carried through an operator."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+#: What an operator that takes beside(docs) has to carry.
+CARRIED = ("text", "row")
+
+
+def beside(docs: DataFrame) -> DataFrame:
+    """doc_id and text with the row's other columns beside them. The text is not among these, so that it travels once."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(True).alias("none")])).alias("row"))
+
+
+def column(name: str) -> F.Column:
+    """A column of the documents, of what was carried."""
+    return F.col(name) if name in ("doc_id", "text") else F.col("row")[name].alias(name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no clear language; fills in languages that are missing."""
     model = lang_id.train(docs, remainder(F.col("doc_id"), 5) != 0)
-    found = lang_id.identify(whole(docs), model, carry=("row",))
+    found = lang_id.identify(beside(docs), model, carry=CARRIED)
     kept = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else column(c) for c in docs.columns])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), lambda i: remainder(i, 3) != 1)
-    return toxicity.score(whole(docs), model, carry=("row",)).filter("predicted = 0").select("row.*")
+    return toxicity.score(beside(docs), model, carry=CARRIED).filter("predicted = 0").select(*map(column, docs.columns))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

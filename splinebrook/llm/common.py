@@ -86,7 +86,10 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """mapInArrow with a function that `make` builds once per task; it gets slices of a bounded number of rows."""
+    """mapInArrow with a function that `make` builds once per task; it gets slices of a bounded number of rows.
+
+    A worker waits for its next task with what Arrow's pool has kept, so that is given back at the end.
+    """
 
     def run(batches):
         step = make()
@@ -94,6 +97,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

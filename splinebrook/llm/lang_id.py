@@ -319,22 +319,23 @@ def train(df: DataFrame, is_training: F.Column, id_col: str = "doc_id", text_col
 
 
 def identify(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, lang_pred, score, *carry), one per row of df."""
-    broadcast = df.sparkSession.sparkContext.broadcast(model)
+    """Rows (id, lang_pred, score, *carry), one per row of df. A text that is carried travels once."""
+    broadcast, beside = df.sparkSession.sparkContext.broadcast(model), [c for c in carry if c != text_col]
+    at = [1 if c == text_col else 2 + beside.index(c) for c in carry]
 
     def make():
         held = broadcast.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, scores = label(held, batch.column(1).to_pylist())
-            extra = [batch.column(2 + k) for k in range(len(carry))]
+            extra = [batch.column(k) for k in at]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *extra], ["id", "lang_pred", "score", *(f"x{k}" for k in range(len(carry)))])
 
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(carry)])
-    kinds = "".join(f", x{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(beside)])
+    kinds = "".join(f", x{k} {'string' if c == text_col else df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = map_arrow(rows, make, f"id {kind}, lang_pred string, score double{kinds}", rows=128)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", *[F.col(f"x{k}").alias(c) for k, c in enumerate(carry)])
 

@@ -325,21 +325,22 @@ def train(docs: DataFrame, labels: DataFrame, is_training: F.Column, id_col: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", predict_at: float = PREDICT_AT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, score, predicted, *carry), one per row of docs."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    """Rows (id, score, predicted, *carry), one per row of docs. A text that is carried travels once."""
+    broadcast, beside = docs.sparkSession.sparkContext.broadcast(model), [c for c in carry if c != text_col]
+    at = [1 if c == text_col else 2 + beside.index(c) for c in carry]
 
     def make():
         held = broadcast.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = held.score(np.array([held.matches(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(KINDS)))
-            extra = [batch.column(2 + k) for k in range(len(carry))]
+            extra = [batch.column(k) for k in at]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= predict_at).astype(np.int32)), *extra], ["id", "score", "predicted", *(f"x{k}" for k in range(len(carry)))])
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"x{k}") for k, c in enumerate(carry)])
-    kinds = "".join(f", x{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"b{k}") for k, c in enumerate(beside)])
+    kinds = "".join(f", x{k} {'string' if c == text_col else docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
     out = map_arrow(rows, make, f"id {kind}, score double, predicted int{kinds}")
     return out.select(F.col("id").alias(id_col), "score", "predicted", *[F.col(f"x{k}").alias(c) for k, c in enumerate(carry)])

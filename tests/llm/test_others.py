@@ -408,3 +408,15 @@ def test_near_dedup_judges_rows_not_ids(spark, sf):
 def test_neighbouring_furniture_is_one_gap(between):
     assert html_extract.main_text(f"<p>The first part.</p>{between}<p>B</p><ul><li>C</ul>{between}<p>The last.</p>") == "The first part.\nB\nC\nThe last."
     assert [t for t, _, _ in html_extract.lines_of(f"<p>A</p>{between}<p>B</p>")] == ["A", "", "B"]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.language, corpus_pipeline.clean])
+def test_texts_travel_once_through_a_stage(spark, sf, docs, stage):
+    """What goes to the Python workers is each text and, beside it, the columns other than it."""
+    out = stage(spark, docs, sf)
+    sent = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project [doc_id" in line or "struct(" in line or "named_struct" in line]
+    assert sent and not any("named_struct" in line and ("text," in line.split("named_struct", 1)[1]) for line in sent)
+    assert out.columns == docs.columns
+    given = {r.doc_id: r for r in docs.collect()}
+    kept = out.collect()
+    assert kept and all(r.text == given[r.doc_id].text and r.source == given[r.doc_id].source for r in kept)
