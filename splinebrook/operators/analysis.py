@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import classify, crossval
 from .relational import classification_metrics, mid_ranks
+from .scratch import Steps
 
 
 def pair_labels(labels: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
@@ -62,11 +63,15 @@ def run(features: DataFrame, labels: DataFrame, pairs: Iterable[tuple[str, str]]
     if found is not None:
         stored(found, "importances")
     paths = []
-    for pair in pairs:
-        name = " vs ".join(pair)
-        if name in entries:
+    kept = [pair for pair in pairs if " vs ".join(pair) in entries]
+    subjects = classify.gathered(features, labels, kept)
+    try:
+        for pair in kept:
+            name = " vs ".join(pair)
             k = entries[name].get("k", 50)
-            paths.append((name, k, classify.store(classify.fit(classify.labelled(features, labels, pair), model, k), f"{folder}/models", pair, model, tag)))
+            paths.append((name, k, classify.store(classify.fit(classify.labelled(subjects, pair), model, k), f"{folder}/models", pair, model, tag)))
+    finally:
+        subjects.drop()
     models = spark.createDataFrame(paths, "pair string, k int, model_path string")
     report_rows = performance(cv).join(tested.select("pair", "permuted_mean", "permuted_sd", "p"), "pair").join(models, "pair")
     return stored(report_rows.withColumn("ml_model", F.lit(model)).withColumn("tag", F.lit(tag)), "report")
@@ -94,12 +99,17 @@ def evaluate(features: DataFrame, labels: DataFrame, root: str, tag: str | None
 
     Pairs of which the subjects have one group only are left out.
     """
-    spark, out = features.sparkSession, None
-    for r in report(spark, root, tag).select("pair", "ml_model", "model_path").collect():  # a row for each pair
-        rows = classify.labelled(features, labels, tuple(r["pair"].split(" vs ")))
-        if rows.select(classify.LABEL).distinct().count() == 2:
-            metrics = classification_metrics(classify.scored(PipelineModel.load(r["model_path"]), rows), "y", "predicted", "score")
-            named = metrics.select(F.lit(r["pair"]).alias("pair"), F.lit(r["ml_model"]).alias("ml_model"), "*")
+    spark, out, steps = features.sparkSession, None, Steps(features.sparkSession, "scores")
+    stored = [(tuple(r["pair"].split(" vs ")), r) for r in report(spark, root, tag).select("pair", "ml_model", "model_path").collect()]  # a row for each pair
+    subjects = classify.gathered(features, labels, [pair for pair, _ in stored])
+    try:
+        for pair, r in stored:
+            if not subjects.both(pair):
+                continue
+            scores = steps.save(classify.scored(PipelineModel.load(r["model_path"]), classify.labelled(subjects, pair)))
+            named = classification_metrics(scores, "y", "predicted", "score").select(F.lit(r["pair"]).alias("pair"), F.lit(r["ml_model"]).alias("ml_model"), "*")
             out = named if out is None else out.unionByName(named)
+    finally:
+        subjects.drop()
     kinds = "pair string, ml_model string, n long, tn long, fp long, fn long, tp long, accuracy double, balanced_accuracy double, auc double"
     return spark.createDataFrame([], kinds) if out is None else out

@@ -3,11 +3,16 @@
 A pipeline scales the features, keeps the k with the largest F statistic, and fits a classifier with balanced weights. The
 features are a column of the table and stay on the cluster; a stored model is a folder that pyspark.ml writes and reads.
 A pair is the same in either order: label 0 is the group that sorts first.
+
+Features and labels meet once for all pairs, in a join by shuffle, and the subjects of the pairs' groups are stored by group: fits and
+scores read the two folders of their pair. Nothing that grows with the subjects goes through the driver: neither labels as a
+broadcast nor the results of a task for each shuffle partition in every pass of a fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .relational import classification_metrics
+from .scratch import Steps
 
 SEED = 42
 LABEL, WEIGHT = "label", "weight"
@@ -34,16 +40,42 @@ def classifier(name: str) -> Estimator:
     return made[name]()
 
 
-def labelled(features: DataFrame, labels: DataFrame, pair: tuple[str, str], key: str = "id", column: str = "x") -> DataFrame:
-    """features (key, x), labels (key, group) -> (key, features, label, weight) of the pair's two groups, weights balanced."""
-    pair = sorted(pair)
-    y = F.when(F.col("group") == pair[0], 0.0).when(F.col("group") == pair[1], 1.0)
-    own = labels.select(key, y.alias(LABEL)).filter(F.col(LABEL).isNotNull())
-    rows = features.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("features")).join(own, key)
-    sizes = rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
-    share = rows.agg(F.count(F.lit(1)).alias("total"))
-    weights = sizes.crossJoin(share).select(LABEL, (F.col("total") / (2.0 * F.col("n"))).alias(WEIGHT))  # two rows
-    return rows.join(F.broadcast(weights), LABEL)
+@dataclass(frozen=True)
+class Subjects:
+    """Subjects of the groups that pairs name, stored by group until they are dropped."""
+
+    rows: DataFrame  # (key, x, place); place is a group's place in groups
+    groups: list[str]
+    sizes: dict[str, int]
+    steps: Steps
+
+    def both(self, pair: tuple[str, str]) -> bool:
+        """Whether there are subjects of both groups."""
+        return pair[0] != pair[1] and all(self.sizes.get(g) for g in pair)
+
+    def drop(self) -> None:
+        self.steps.forget(keep=0)
+
+
+def gathered(features: DataFrame, labels: DataFrame, pairs: Iterable[tuple[str, str]], key: str = "id", column: str = "x") -> Subjects:
+    """features (key, x), labels (key, group) -> the subjects of all groups of the pairs."""
+    groups = sorted({g for pair in pairs for g in pair})
+    place = F.array_position(F.array(*map(F.lit, groups)).cast("array<string>"), F.col("group").cast("string"))
+    own = labels.select(key, place.cast("int").alias("place")).filter("place > 0")
+    rows = features.select(key, F.col(column).cast("array<double>").alias("x")).join(own.hint("merge"), key)
+    steps = Steps(features.sparkSession, "subjects")
+    rows = steps.save(rows.select(key, "x", "place"), "place")
+    sizes = {groups[r["place"] - 1]: r["count"] for r in rows.groupBy("place").count().collect()}  # a row for each group
+    return Subjects(rows, groups, sizes, steps)
+
+
+def labelled(subjects: Subjects, pair: tuple[str, str], key: str = "id") -> DataFrame:
+    """(key, features, label, weight) of the pair's two groups, weights balanced. subjects.both(pair) must hold."""
+    places = [subjects.groups.index(g) + 1 for g in sorted(pair)]
+    total = sum(subjects.sizes[g] for g in pair)
+    of = lambda values: F.when(F.col("place") == places[0], values[0]).otherwise(values[1])
+    weights = [total / (2.0 * subjects.sizes[g]) for g in sorted(pair)]
+    return subjects.rows.filter(F.col("place").isin(places)).select(key, array_to_vector("x").alias("features"), of([0.0, 1.0]).alias(LABEL), of(weights).alias(WEIGHT))
 
 
 def fit(rows: DataFrame, model: str, k: int = 20) -> PipelineModel:
@@ -88,14 +120,14 @@ def scored(fitted: PipelineModel, rows: DataFrame, key: str = "id") -> DataFrame
 
 def train_all(features: DataFrame, labels: DataFrame, pairs: Iterable[tuple[str, str]], models: Iterable[str], root: str, tag: str, key: str = "id", column: str = "x", k: int = 20) -> list[str]:
     """Fit and store every model of every pair that has both groups; the paths written."""
-    paths = []
-    for pair in pairs:
-        rows = labelled(features, labels, pair, key, column).persist()
-        try:
-            if rows.select(LABEL).distinct().count() == 2:
-                paths += [store(fit(rows, model, k), root, pair, model, tag) for model in models]
-        finally:
-            rows.unpersist()
+    pairs, paths = list(pairs), []
+    subjects = gathered(features, labels, pairs, key, column)
+    try:
+        for pair in filter(subjects.both, pairs):
+            rows = labelled(subjects, pair, key)
+            paths += [store(fit(rows, model, k), root, pair, model, tag) for model in models]
+    finally:
+        subjects.drop()
     return paths
 
 
@@ -104,17 +136,19 @@ def evaluate_all(features: DataFrame, labels: DataFrame, pairs: Iterable[tuple[s
 
     Pairs without a stored model, or with subjects of one group only, are left out.
     """
-    out = None
-    models = list(models)
-    for pair in pairs:
-        rows = labelled(features, labels, pair, key, column)
-        if rows.select(LABEL).distinct().count() < 2:
-            continue
-        for model in models:
-            fitted = newest(features.sparkSession, root, pair, model)
-            if fitted is None:
-                continue
-            metrics = classification_metrics(scored(fitted, rows, key), "y", "predicted", "score")
-            named = metrics.select(F.lit(" vs ".join(sorted(pair))).alias("pair"), F.lit(model).alias("ml_model"), "*")
-            out = named if out is None else out.unionByName(named)
+    out, spark = None, features.sparkSession
+    pairs, models = list(pairs), list(models)
+    steps, subjects = Steps(spark, "scores"), gathered(features, labels, pairs, key, column)
+    try:
+        for pair in filter(subjects.both, pairs):
+            rows = labelled(subjects, pair, key)
+            for model in models:
+                fitted = newest(spark, root, pair, model)
+                if fitted is None:
+                    continue
+                metrics = classification_metrics(steps.save(scored(fitted, rows, key)), "y", "predicted", "score")
+                named = metrics.select(F.lit(" vs ".join(sorted(pair))).alias("pair"), F.lit(model).alias("ml_model"), "*")
+                out = named if out is None else out.unionByName(named)
+    finally:
+        subjects.drop()
     return out

@@ -19,9 +19,10 @@ class Steps:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, []
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
+        """df as stored, with a folder for each value of the columns `by`."""
         path = f"{folder(self.spark)}/{self.name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -19,6 +19,44 @@ def test_models_are_stored_and_score_other_subjects(spark, tmp_path):
     assert classify.newest(spark, root, ("x", "y"), "LR") is None
 
 
+def sent_to_driver(spark, since: int) -> tuple[int, int]:
+    """Bytes that tasks of stages numbered `since` and above sent to the driver, and the next stage's number."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.resultSize() for s in stages if s.stageId() >= since), max([since, *(s.stageId() + 1 for s in stages)])
+
+
+def test_little_reaches_the_driver(spark, tmp_path):
+    """Neither labels nor features go through the driver, whatever their number."""
+    sent, (_, at) = {}, sent_to_driver(spark, 0)
+    for n in (400, 40_000):
+        ids = spark.range(n)
+        x = F.array(*[F.xxhash64("id", F.lit(k)) % 1000 / 1000.0 + (F.col("id") % 2) * int(k < 2) for k in range(6)])
+        df = ids.select("id", x.alias("x"), F.when(F.col("id") % 2 == 1, "a").otherwise("b").alias("group"))
+        classify.train_all(df, df, [("a", "b")], ["LR"], f"{tmp_path}/{n}", "t", k=4)
+        found = classify.evaluate_all(df, df, [("a", "b")], ["LR"], f"{tmp_path}/{n}").collect()
+        assert [r["n"] for r in found] == [n]
+        sent[n], at = sent_to_driver(spark, at)
+    assert 0 < sent[400] and sent[40_000] < 3 * sent[400]
+
+
+def test_subjects_are_stored_once_by_group_until_dropped(spark):
+    rows = [(0, [1.0], "a"), (1, [2.0], "b"), (2, [3.0], ""), (3, [4.0], None), (4, None, "b"), (5, [6.0], "a"), (5, [6.0], "b"), (6, [7.0], "z")]
+    df = spark.createDataFrame(rows, "id long, x array<double>, group string")
+    features, labels = df.select("id", "x").dropDuplicates(["id"]), df.select("id", "group")
+    subjects = classify.gathered(features, labels, [("b", "a"), ("a", ""), ("a", "a"), ("a", "none")])
+    assert subjects.sizes == {"a": 2, "b": 3, "": 1}
+    assert [subjects.both(p) for p in [("b", "a"), ("a", ""), ("a", "a"), ("a", "none")]] == [True, True, False, False]
+    got = {(r["id"], r["label"], r["weight"]) for r in classify.labelled(subjects, ("b", "a")).drop("features").collect()}
+    assert got == {(0, 0.0, 1.25), (5, 0.0, 1.25), (1, 1.0, 5 / 6), (4, 1.0, 5 / 6), (5, 1.0, 5 / 6)}
+    subjects.drop()
+    assert not subjects.steps.paths
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        subjects.rows.count()
+
+
 def test_global_ranks_without_one_window(spark):
     rng = np.random.default_rng(1)
     values = rng.integers(0, 300, 2000).astype(float)
