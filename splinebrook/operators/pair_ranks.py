@@ -26,7 +26,7 @@ from .scratch import Steps
 #: Rows and numbers of a block of vectors, and pairs of one product.
 ROWS, NUMBERS, TOGETHER = 2048, 1 << 22, 1 << 16
 #: Cells of a range, for each of which a task has two counts, and cells that are summed up at once.
-CELLS, SLICE = 1 << 25, 1 << 22
+CELLS, SLICE = 1 << 25, 1 << 20
 #: Pairs that are sorted before they are counted.
 BUFFER = 1 << 20
 #: Buckets of cells at most, and for each subject.
