@@ -273,7 +273,7 @@ def shuffled(stored: DataFrame, sizes: list[int], scale: int, found: dict, shift
     spark, borders = stored.sparkSession, np.cumsum(sizes)
     means = spark.sparkContext.broadcast(np.concatenate(found["means"]))
     blocks = stored.count()
-    chunks = max(1, min(-(-4 * spark.sparkContext.defaultParallelism // (blocks * (blocks + 1) // 2)), -(-(n + 1) // 32)))
+    chunks = max(1, min(-(-4 * spark.sparkContext.defaultParallelism // max(1, blocks * (blocks + 1) // 2)), -(-(n + 1) // 32)))
     size = -(-(n + 1) // chunks)
 
     def add(batches):
@@ -301,9 +301,9 @@ def shuffled(stored: DataFrame, sizes: list[int], scale: int, found: dict, shift
                             sums[ks] += ((x @ rank) * y).sum(axis=1) + (x[:, own] * (x[:, own] - 1)) @ twice
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(sums)], ["k", "same"])
 
-    one = stored.coalesce(1)
-    a = one.withColumn("first", F.explode(F.array(*[F.lit(k) for k in range(0, n + 1, size)]))).repartition(min(blocks * chunks, PARTS))
-    b = one.repartition(min(blocks, PARTS)).toDF(*(f"{c}_b" for c in stored.columns))
+    first = F.explode(F.array(*[F.lit(k) for k in range(0, n + 1, size)]))
+    a = stored.withColumn("first", first).repartitionByRange(max(1, min(blocks * chunks, PARTS)), "block", "first")
+    b = stored.repartitionByRange(max(1, min(blocks, PARTS)), "block").toDF(*(f"{c}_b" for c in stored.columns))
     met = a.join(b.hint("shuffle_replicate_nl"), F.col("block") <= F.col("block_b"))
     out = {r["k"]: r["same"] for r in met.mapInArrow(add, "k long, same double").groupBy("k").agg(F.sum("same").alias("same")).collect()}
     means.destroy()
